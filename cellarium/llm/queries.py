@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cellarium.llm import exact_dedup
+from cellarium.llm import exact_dedup, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
