@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cellarium.llm import exact_dedup, url_filter
+from cellarium.llm import exact_dedup, minhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
 
 ORACLE_SQL = {
