@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cellarium.llm import exact_dedup, minhash, url_filter
+from cellarium.llm import embedding_dedup, exact_dedup, minhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_embedding_dedup": embedding_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
