@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cellarium.llm import embedding_dedup, exact_dedup, minhash, quality, url_filter, warc
+from cellarium.llm import bpe, embedding_dedup, exact_dedup, minhash, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op4_bpe_encoding": bpe.op4_bpe_encoding,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_warc_derivatives": warc.op9_warc_derivatives,
