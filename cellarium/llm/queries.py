@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellarium.llm import bpe, embedding_dedup, exact_dedup, minhash, quality, url_filter, warc
+from cellarium.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe_encoding": bpe.op4_bpe_encoding,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
