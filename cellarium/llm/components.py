@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarium.llm.common import cut
 
 
+class Forest:
+    """Roots of nodes under links, joined in whole arrays."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            a, b = self.root[x], self.root[y]
+            differ = a != b
+            x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for every node of links(a, b). Each round shuffles the links only.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm.common import cut, shared_dir, table, written
-from cellarium.llm.components import components
+from cellarium.llm.components import Forest, components
 
 SIMILAR = 0.9
 BLOCK, ROWS_AT_ONCE, PAIRS_AT_ONCE = 4096, 512, 100_000
@@ -54,22 +54,6 @@ def _unpacked(row: dict) -> list[np.ndarray]:
     return parts
 
 
-class _Forest:
-    """Roots of nodes under links, joined in whole arrays."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def link(self, x: np.ndarray, y: np.ndarray) -> None:
-        while len(x):
-            a, b = self.root[x], self.root[y]
-            differ = a != b
-            x, y, a, b = x[differ], y[differ], a[differ], b[differ]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := self.root[self.root], self.root):
-                self.root = up
-
-
 def _tile(group: pa.Table) -> pa.Table:
     blocks = [_unpacked(r) for r in sorted(group.to_pylist(), key=lambda r: r["block"])]
     alone = len(blocks) == 1
@@ -79,7 +63,7 @@ def _tile(group: pa.Table) -> pa.Table:
     other = qb.T.astype(exact)
     links_a, links_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     shift = 0 if alone else len(ids_a)
-    forest = _Forest(len(ids_b) + shift)
+    forest = Forest(len(ids_b) + shift)
     for at in range(0, len(ids_a), ROWS_AT_ONCE):
         rows = slice(at, at + ROWS_AT_ONCE)
         bound = (qa[rows].astype(exact) @ other) * (scale_a[rows, None] * scale_b[None, :])

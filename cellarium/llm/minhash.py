@@ -8,8 +8,9 @@ probability 5e-6. Weights need not be whole: cells of weight double in size, cel
 
 Joining never emits all pairs of a bucket. Copies (equal word sequences) are one class from the start; in each bucket all
 members are first compared with the bucket's smallest id only (a star), and then only members of a bucket that are still
-in different components are compared with each other, so a bucket of near copies costs a comparison per member, while no
-link between components is lost.
+in different components are compared with each other. Of a bucket with more than PAIRED members this is done in blocks:
+products of 0/1 matrices count the common elements of BLOCK by BLOCK texts, and only a spanning forest of the links leaves
+a task. So no link between components is lost, and rows grow with members, not with their pairs.
 
 Defined cases: null text counts as empty; a document without words is a class of its own; fewer than five words are one
 shingle; rows that repeat an id share its class; a null id takes the class of its copies, else null; an empty table gives an
@@ -24,16 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import shingles as S
 from cellarium.llm.common import bounded_batches, cut, shared_dir, small, table, written
-from cellarium.llm.components import components
+from cellarium.llm.components import Forest, components
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 40, 6
 FIRST_RANK = 1 / 32
+#: Members of a mixed bucket that are compared pair by pair; those of a larger one meet in blocks of so many texts, and
+#: their elements in so many columns at once.
+PAIRED, BLOCK, COLUMNS = 64, 256, 8192
+PACKED = "grp long, block long, blocks long, ids binary, rows binary, places binary, distinct binary"
 UNIT = 2.0**-53
 
 
@@ -144,6 +150,65 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long").distinct())
 
 
+def _block(group: pa.Table) -> pa.Table:
+    """One row for a block of a group: its ids and, compressed, the elements (shingle and how often before) of each text."""
+    ids, rows, elements, first = group.column("doc_id").to_numpy(), [], [], 0
+    for chunk in group.column("text").chunks:
+        for at, _, _, _, row, value, count in _weighted_shingles(chunk):
+            which = np.repeat(np.arange(len(row)), count)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            rows.append(row[which] + at + first)
+            elements.append(S.mix(value[which] + nth.astype(np.uint64) * S.BASE))
+        first += len(chunk)
+    distinct, place = np.unique(np.concatenate(elements), return_inverse=True)
+    pack = zstandard.ZstdCompressor().compress
+    return pa.table({
+        "grp": [group.column("grp")[0].as_py()], "block": [group.column("block")[0].as_py()], "blocks": [group.column("blocks")[0].as_py()],
+        "ids": [ids.tobytes()], "rows": [pack(np.concatenate(rows).astype(np.int32).tobytes())],
+        "places": [pack(place.astype(np.int32).tobytes())], "distinct": [pack(distinct.tobytes())],
+    })
+
+
+def _tile(group: pa.Table) -> pa.Table:
+    """The links between the texts of two blocks, or within one, as a spanning forest: a text with the least it reaches."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sides = []
+    for r in sorted(group.to_pylist(), key=lambda r: r["block"]):
+        distinct = np.frombuffer(unpack(r["distinct"]), np.uint64)
+        sides.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(unpack(r["rows"]), np.int32), distinct[np.frombuffer(unpack(r["places"]), np.int32)]))
+    (ids_a, rows_a, el_a), (ids_b, rows_b, el_b) = sides[0], sides[-1]
+    shared = np.intersect1d(el_a, el_b)
+    common = np.zeros((len(ids_a), len(ids_b)), np.float32)  # whole numbers below 2**24
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at : at + COLUMNS]
+        dense = []
+        for ids, rows, el in ((ids_a, rows_a, el_a), (ids_b, rows_b, el_b)):
+            place = np.minimum(np.searchsorted(part, el), len(part) - 1)
+            ours = part[place] == el
+            dense.append(np.zeros((len(ids), len(part)), np.float32))
+            dense[-1][rows[ours], place[ours]] = 1
+        common += dense[0] @ dense[1].T
+    size = np.bincount(rows_a, minlength=len(ids_a))[:, None] + np.bincount(rows_b, minlength=len(ids_b))[None, :]
+    near = (common * (1 + SIMILAR) >= SIMILAR * size - 1e-9) & (common > 0) & (ids_a[:, None] != ids_b[None, :])
+    i, j = np.nonzero(near)
+    nodes, at = np.unique(np.concatenate((ids_a[i], ids_b[j])), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.link(at[: len(i)], at[len(i) :])
+    below = np.flatnonzero(forest.root != np.arange(len(nodes)))
+    return pa.table({"a": nodes[forest.root[below]], "b": nodes[below]})
+
+
+def similar_in_blocks(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that connect what is similar within each group of groups(doc_id, grp), by products of blocks of texts."""
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    dealt = groups.join(small(cut(sizes)), "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(cut(dealt)), "doc_id")
+    packed = written(texts.groupBy("grp", "block").applyInArrow(_block, PACKED), "text-blocks")
+    tiles = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("peer"))
+    tiles = tiles.withColumns({"lo": F.least("block", "peer"), "hi": F.greatest("block", "peer")}).drop("peer")
+    return tiles.groupBy("grp", "lo", "hi").applyInArrow(_tile, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of its class) and kept for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -159,13 +224,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     # What shares a bucket but no component yet is compared pair by pair.
     label = F.coalesce("root", "doc_id").alias("root")
-    labelled = members.join(roots, members.doc_id == roots.node, "left").select("band", "doc_id", label)
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
-    labelled = labelled.join(mixed, "band", "left_semi")
-    left = labelled.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
-    right = labelled.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
+    labelled = members.join(roots, members.doc_id == roots.node, "left").select("band", "star", "doc_id", label)
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
+    labelled = written(labelled.join(mixed.select("band", (F.col("n") > PAIRED).alias("large")), "band"), "mixed")
+    few = labelled.filter("NOT large")
+    left = few.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
+    right = few.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, "band").filter("a < b AND ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = similar(cut(rest), docs)
+    # Large buckets of several bands overlap: each document is in one joined group of them, compared in blocks.
+    groups = components(labelled.filter("large").select(F.col("star").alias("a"), F.col("doc_id").alias("b")))
+    groups = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp"))
+    groups = cut(groups.union(groups.select(F.col("grp").alias("doc_id"), "grp").distinct()))
+    more = cut(similar(cut(rest), docs).union(similar_in_blocks(groups, docs)))
     if more.limit(1).count():
         roots = components(links.union(more))
     firsts = copies.select("copy_a", "copy_b", F.col("one.doc_id").alias("least"))
