@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cellarium.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, quality, url_filter, warc
+from cellarium.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_bpe_encoding": bpe.op4_bpe_encoding,
+    "op5_token_files": token_files.op5_token_files,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_lm_scoring": lm.op8_lm_scoring,
