@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cellarium.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, quality, token_files, url_filter, warc
+from cellarium.llm import bpe, embedding_dedup, exact_dedup, lm, minhash, packing, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_packing": packing.op3_packing,
     "op4_bpe_encoding": bpe.op4_bpe_encoding,
     "op5_token_files": token_files.op5_token_files,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
