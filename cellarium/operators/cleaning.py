@@ -60,7 +60,14 @@ def roles(headers: list[str], words: dict[str, tuple[str, ...]], required: tuple
 def money(text: Column) -> Column:
     """A number from text with currency signs. Of both separators the last is the decimal one; a lone comma is decimal; a
     lone dot is decimal unless three digits follow it or it occurs again. Null if it is no number."""
-    bare = F.regexp_replace(text, r"[R$\x{20AC}\s]", "")
+    return from_bare(bare_money(text))
+
+
+def bare_money(text: Column) -> Column:
+    return F.regexp_replace(text, r"[R$\x{20AC}\s]", "")
+
+
+def from_bare(bare: Column) -> Column:
     dots, commas = F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit(""))), F.instr(bare, ",")
     comma_last = F.length(F.substring_index(bare, ",", -1)) < F.length(F.substring_index(bare, ".", -1))
     english, brazilian = F.replace(bare, F.lit(","), F.lit("")), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
@@ -136,12 +143,15 @@ def load_sales(raw: DataFrame, source: str, override: dict[str, str] | None = No
     role = roles(headers, SALES_ROLES, REQUIRED["sales"], override)
     style = date_style(raw, role["date"], style)
     get = lambda r: F.nullif(F.trim(F.col(f"`{role[r]}`")), F.lit("")) if r in role else F.lit(None).cast("string")
-    quantity, value = money(get("quantity")), money(get("value"))
-    rows = raw.select(
-        dates(get("date"), style).alias("date"), get("product").alias("product"), F.coalesce(get("customer"), F.lit(NO_CUSTOMER)).alias("customer"),
-        (value * F.coalesce(quantity, F.lit(1.0))).alias("value"), quantity.alias("quantity"), money(get("cost")).alias("entry_cost"),
-        get("category").alias("category"), get("store").alias("store"), get("salesperson").alias("salesperson"), get("payment").alias("payment_method"),
-        F.lit(source).alias("source_file"), F.col(row_column).cast("long").alias("source_row"),
+    # In steps, as each would otherwise be repeated inside the next, beyond what one generated method can hold.
+    texts = raw.select(*(get(r).alias(f"_{r}") for r in SALES_ROLES), F.col(row_column).cast("long").alias("source_row"))
+    bare = texts.withColumns({f"_{r}": bare_money(F.col(f"_{r}")) for r in ("value", "quantity", "cost")})
+    typed = bare.withColumns({"v": from_bare(F.col("_value")), "q": from_bare(F.col("_quantity")), "c": from_bare(F.col("_cost"))})
+    rows = typed.select(
+        dates(F.col("_date"), style).alias("date"), F.col("_product").alias("product"), F.coalesce("_customer", F.lit(NO_CUSTOMER)).alias("customer"),
+        (F.col("v") * F.coalesce("q", F.lit(1.0))).alias("value"), F.col("q").alias("quantity"), F.col("c").alias("entry_cost"),
+        F.col("_category").alias("category"), F.col("_store").alias("store"), F.col("_salesperson").alias("salesperson"), F.col("_payment").alias("payment_method"),
+        F.lit(source).alias("source_file"), "source_row",
     )
     reason = F.when(F.col("date").isNull(), BAD_DATE).when(F.col("value").isNull(), BAD_VALUE).when(F.col("product").isNull(), NO_PRODUCT)
     rows = rows.withColumn("reason", reason)
