@@ -122,7 +122,7 @@ def _sql(t: str, by: str, **cols: str) -> str:
 
 _P, _Z = "p_retailprice", "p_size"
 ORACLE_SQL = {
-    "math_functions": f"""SELECT p_partkey, round({_Z} % 7, 6) AS r_mod, floor({_P} / 3) AS r_int, round(-floor({_P} / 7 * 100) / 100, 6) AS r_trunc, floor({_P} / 10 + 0.5) * 10 AS r_round, round(ceil({_P} / 9 * 10) / 10, 6) AS r_up,
+    "math_functions": f"""SELECT p_partkey, round({_Z} % 7, 6) AS r_mod, floor({_P} / 3) AS r_int, round(-floor({_P} / 7 * 100) / 100, 6) AS r_trunc, floor({_P} / 10 + 0.5) * 10 AS r_round, round(ceil(round({_P} / 9 * 10, 9)) / 10, 6) AS r_up,
 ceil({_P} / 5) * 5 AS r_ceil, floor({_P} / 5) * 5 AS r_floor, ceil({_Z} / 2) * 2 AS r_even, {_Z} + CASE WHEN {_Z} % 2 = 0 THEN 1 ELSE 0 END AS r_odd, {_Z} // 4 AS r_quot, {_Z} * {_Z} AS r_pow, round(sqrt({_P}), 6) AS r_sqrt, round(ln({_P}), 6) AS r_ln,
 round(ln({_P}) / ln(2), 6) AS r_log, round(sin({_Z}), 6) AS r_sin, round(atan2({_P}, {_Z}), 6) AS r_atan2, round(degrees({_Z}), 6) AS r_deg, factorial(10)::DOUBLE / (factorial({_Z} % 10) * factorial(10 - {_Z} % 10)) AS r_comb, factorial({_Z} % 15)::DOUBLE AS r_fact,
 gcd({_Z}, 12) AS r_gcd, lcm({_Z}, 12) AS r_lcm, round(({_P} - {_Z}) * 2 / ({_Z} + 1) - {_Z} / 100, 6) AS r_expr, round({_Z} + {_P}, 6) AS r_sum, CASE WHEN {_Z} = 10 THEN -1 ELSE round({_P} / ({_Z} - 10), 6) END AS r_iferror,
