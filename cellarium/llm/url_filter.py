@@ -92,15 +92,9 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def buckets(host: Column, path: Column) -> Column:
     """The hashed character n-grams of both parts; marks at either end let a gram tell start and end apart."""
-    parts = [
-        F.transform(
-            F.regexp_extract_all(F.concat(F.lit("^"), part, F.lit("$")), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)),
-            lambda g, name=name: F.pmod(F.xxhash64(F.lit(name), g), F.lit(BUCKETS)).cast("int"),
-        )
-        for name, part in (("host", host), ("path", path))
-        for n in GRAMS
-    ]
-    return F.concat(*parts)
+    grams = lambda part, n: F.regexp_extract_all(F.concat(F.lit("^"), part, F.lit("$")), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    hashed = lambda found, name: F.transform(found, lambda g: F.pmod(F.xxhash64(F.lit(name), g), F.lit(BUCKETS)).cast("int"))
+    return F.concat(*(hashed(grams(part, n), name) for name, part in (("host", host), ("path", path)) for n in GRAMS))
 
 
 def margin(cells: Column, weights: list[float]) -> Column:
