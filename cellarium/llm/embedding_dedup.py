@@ -56,7 +56,9 @@ def _unpacked(row: dict) -> list[np.ndarray]:
 
 def _tile(group: pa.Table) -> pa.Table:
     blocks = [_unpacked(r) for r in sorted(group.to_pylist(), key=lambda r: r["block"])]
-    alone = len(blocks) == 1
+    alone = group.column("lo")[0] == group.column("hi")[0]
+    if len(blocks) < 2 and not alone:  # the other block has no vector of this length
+        return pa.table({c: pa.array([], pa.int64()) for c in ("vec_id", "peer", "links")})
     left, right = blocks[0], blocks[-1]
     (ids_a, copies_a, xa, norm_a, qa, scale_a, error_a), (ids_b, copies_b, xb, norm_b, qb, scale_b, error_b) = left, right
     exact = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers that the type holds exactly

@@ -172,6 +172,8 @@ def _block(group: pa.Table) -> pa.Table:
 def _tile(group: pa.Table) -> pa.Table:
     """The links between the texts of two blocks, or within one, as a spanning forest: a text with the least it reaches."""
     unpack = zstandard.ZstdDecompressor().decompress
+    if group.num_rows < 2 and group.column("lo")[0] != group.column("hi")[0]:  # the other block is empty
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     sides = []
     for r in sorted(group.to_pylist(), key=lambda r: r["block"]):
         distinct = np.frombuffer(unpack(r["distinct"]), np.uint64)
