@@ -292,3 +292,33 @@ def compile_formula(formula: str, bind: Bind | None = None) -> Val:
         return V.err(V.REF)
 
     return compile_node(parse(formula), bind or unbound)
+
+
+def english(formula: str) -> str:
+    """The formula with the first name of each function and commas between arguments."""
+    from cellarium.functions.library import FUNCTIONS
+
+    def shown(t: Token) -> str:
+        if t.kind == "call":
+            name = t.value.upper().removeprefix("_XLFN.")
+            return FUNCTIONS[name].name if name in FUNCTIONS else name
+        return t.value
+
+    out, braces = ["="] if formula.strip().startswith("=") else [], 0
+    for t in tokens(formula):
+        braces += (t.value == "{") - (t.value == "}")
+        out.append("," if t.value == ";" and not braces else shown(t))
+    return "".join(out)
+
+
+def locale(formulas: list[str]) -> str:
+    """pt-BR if most function names that tell a language are Portuguese, else en-US."""
+    from cellarium.functions.library import FUNCTIONS
+
+    votes = 0
+    for text in formulas:
+        for t in tokens(text):
+            name = t.value.upper()
+            if t.kind == "call" and name in FUNCTIONS:
+                votes += 1 if FUNCTIONS[name].name != name and not name.isascii() or FUNCTIONS[name].name != name and "." not in name else -1
+    return "pt-BR" if votes > 0 else "en-US"

@@ -125,3 +125,11 @@ def roles(links: DataFrame) -> DataFrame:
     s, t = links.select(F.col("source").alias("name")).distinct(), links.select(F.col("target").alias("name")).distinct()
     both = s.withColumn("used", F.lit(True)).join(t.withColumn("uses", F.lit(True)), "name", "full")
     return both.select("name", F.when(F.col("uses").isNull(), "input").when(F.col("used").isNull(), "output").otherwise("intermediate").alias("role"))
+
+
+def staged(links: DataFrame, most: int = 150) -> tuple[DataFrame, DataFrame]:
+    """The nodes and links of a picture: at most so many nodes, outputs first, then inputs, then what lies between."""
+    order = F.when(F.col("role") == "output", 0).when(F.col("role") == "input", 1).otherwise(2)
+    nodes = roles(links).orderBy(order, "name").limit(most)
+    ends = [nodes.select(F.col("name").alias(c)) for c in ("source", "target")]
+    return nodes, links.select("source", "target").join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")

@@ -52,3 +52,8 @@ def test_references():
     assert X.refs(X.parse("=SUM(A:C)"))[0].bottom is None
     assert X.template(X.parse("=A1+$B2"), 1, 3) == X.template(X.parse("=A7+$B8"), 7, 3)
     assert X.constants(X.parse('=A1*1.1+"2"')) == [1.1]
+
+
+def test_languages():
+    assert X.english("=SE(A1>1;SOMA(B1:B2);\"x;y\")") == '=IF(A1>1,SUM(B1:B2),"x;y")' and X.english("={1;2}") == "={1;2}"
+    assert X.locale(["=SOMA(A1)", "=MÉDIA(A1)"]) == "pt-BR" and X.locale(["=SUM(A1)", "=IF(1,2,3)"]) == "en-US"

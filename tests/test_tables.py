@@ -122,6 +122,8 @@ def test_levels_of_diamonds_and_chains(spark):
     assert {r.name: r.level for r in order.collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3} and left.count() == 0
     with pytest.raises(ValueError, match="levels"):
         G.levels(df, most=1)
+    nodes, links = G.staged(df, 3)
+    assert [r.name for r in nodes.collect()] == ["e", "a", "b"] and [tuple(r) for r in links.select("source", "target").collect()] == [("a", "b")]
 
 
 def test_daily_stream_equals_daily_table(spark, tmp_path):
