@@ -14,7 +14,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes handled at once; a longer text is handled alone.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Position powers are needed up to the longest stretch handled at once; they restart for each block.
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
