@@ -31,7 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a compressed table in the shared folder, for what is wide or is read with few of its columns."""
+    """df as a compressed table in the shared folder, for what is wide or is read with few of its columns. The result is lazy
+    and may be read at any time, so the files stay there until the folder's owner clears it."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
