@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,6 +18,19 @@ def session(name: str = "cellarium", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(sc: SparkContext) -> None:
+    """Give executors the package, wherever they were started; once for an application."""
+    if getattr(sc, "_cellarium_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    package = os.path.join(tempfile.mkdtemp(prefix="package-"), "cellarium.zip")  # the driver serves it from here
+    with zipfile.ZipFile(package, "w", zipfile.ZIP_DEFLATED) as out:
+        for module in sorted(root.rglob("*.py")):
+            out.write(module, module.relative_to(root.parent))
+    sc.addPyFile(package)
+    sc._cellarium_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder of the cluster (a temporary one where none is set) and read from there."""
     sc = df.sparkSession.sparkContext
