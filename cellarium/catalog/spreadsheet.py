@@ -84,6 +84,13 @@ def lookup_asof(s: SparkSession, d: str) -> DataFrame:
     return R.lookup_sorted(e, "t", _price_steps(s, d), "t", "v", ["k"]).select("o_orderkey", "found")
 
 
+def index_match(s: SparkSession, d: str) -> DataFrame:
+    """The region of each customer: the place found in one table is the key of the next."""
+    nation = R.lookup(read(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", read(s, d, "nation"), "n_nationkey", "n_regionkey", "n_nationkey")
+    matched = nation.withColumnRenamed("found", "regionkey")
+    return R.lookup(matched, "regionkey", read(s, d, "region"), "r_regionkey", "r_name", "r_regionkey").select("c_custkey", "found")
+
+
 QUERIES = {
     "math_functions": _formulas("part", "p_partkey", ["p_partkey", "p_size", "p_retailprice"], MATH),
     "text_functions": _formulas("part", "p_partkey", ["p_partkey", "p_name", "p_brand"], TEXT),
@@ -107,6 +114,7 @@ QUERIES = {
     "mode": lambda s, d: R.mode(read(s, d, "part"), "p_size", ["p_type"]),
     "vlookup_join": lambda s, d: R.lookup(read(s, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", read(s, d, "supplier"), "s_nationkey", "s_name", "s_suppkey"),
     "xlookup_default": lambda s, d: R.lookup(read(s, d, "part").select("p_partkey"), "p_partkey", read(s, d, "lineitem").filter("l_quantity = 50"), "l_partkey", "l_orderkey", "l_orderkey", -1),
+    "index_match": index_match,
     "lookup_asof": lookup_asof,
     "pattern_pivot": lambda s, d: read(s, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0),
 }
@@ -158,6 +166,7 @@ SELECT o_orderpriority, round(avg(o_totalprice), 4) AS trimmed_mean FROM r WHERE
     "mode": "WITH c AS (SELECT p_type, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_type, p_size AS mode, n AS times FROM c QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_size) = 1",
     "vlookup_join": "WITH f AS (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS found FROM supplier GROUP BY 1) SELECT c_custkey, c_nationkey, found FROM customer LEFT JOIN f ON c_nationkey = s_nationkey",
     "xlookup_default": "WITH f AS (SELECT l_partkey, min(l_orderkey) AS f FROM lineitem WHERE l_quantity = 50 GROUP BY 1) SELECT p_partkey, coalesce(f, -1) AS found FROM part LEFT JOIN f ON p_partkey = l_partkey",
+    "index_match": "SELECT c_custkey, r_name AS found FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "lookup_asof": """WITH s AS (SELECT o_custkey AS k, o_orderdate AS t, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), e AS (SELECT o_orderkey, o_custkey AS k, o_orderdate + INTERVAL 40 DAY AS t FROM orders)
 SELECT o_orderkey, v AS found FROM e ASOF LEFT JOIN s ON e.k = s.k AND e.t >= s.t""",
     "pattern_pivot": "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1",
