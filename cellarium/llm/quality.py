@@ -12,7 +12,7 @@ empty result; columns other than doc_id, text and the labels' quality are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +66,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(statistics(batch.column(1)))], names=["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(statistics(batch.column(1))), *batch.columns[2:]], names=["doc_id", "stats", *batch.schema.names[2:]])
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -131,13 +131,15 @@ def _bin(raw: Column) -> Column:
     return F.floor((F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST - 1e-9), raw)) - LOWEST) * (BINS / (HIGHEST - LOWEST)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs(doc_id, text), learnt from labels(doc_id, quality)."""
+def quality_scores(docs: DataFrame, labels: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs(doc_id, text), learnt from labels(doc_id, quality). String
+    columns of docs named in also are passed through."""
     spark = docs.sparkSession
     shared_dir(spark)
     bounded_batches(spark)
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    stats = written(source.mapInArrow(_measure, "doc_id long, stats array<double>"), "statistics")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    further = "".join(f", {c} string" for c in also)
+    stats = written(source.mapInArrow(_measure, f"doc_id long, stats array<double>{further}"), "statistics")
     marks = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     part = remainder(F.col("doc_id"), 5)
     learn = written(stats.join(marks, "doc_id").filter(part != 0).select("stats", "y", part.alias("part")), "labelled")
@@ -162,10 +164,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rated = np.interp(kernel(_matrix(batch)) @ weights, centres, levels)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(rated, 0, 1))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(rated, 0, 1)), *(batch.column(c) for c in also)], names=["doc_id", "score", *also])
 
-    rated = stats.mapInArrow(score, "doc_id long, score double")
-    return rated.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+    rated = stats.mapInArrow(score, f"doc_id long, score double{further}")
+    return rated.select("doc_id", *also, (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

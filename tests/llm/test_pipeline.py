@@ -35,3 +35,30 @@ def test_pipeline_awkward(spark, awkward, none, tmp_path):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         docs.collect()
+
+
+def test_stages_decide_by_row(spark, documents, tmp_path):
+    """Repeated and null ids with different texts: no distinct text goes with another one's row."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(3, "A"), (5, "A"), (5, "B"), (None, "A"), (None, "C"), (None, "D"), (None, "D"), (6, "E x"), (6, "E\n x"), (6, "F"), (8, "F"), (9, None), (9, "G")]
+    kept = P.exact(spark, documents(*rows), str(tmp_path)).collect()
+    seen = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in kept), key=str)
+    assert seen == sorted([(3, "A"), (5, "B"), (None, "C"), (None, "D"), (6, "E x"), (6, "F"), (9, ""), (9, "G")], key=str)
+    again = P.exact(spark, documents(*reversed(rows)).repartition(7), str(tmp_path)).collect()
+    assert {tuple(r) for r in kept} == {tuple(r) for r in again}
+    one, other, third = (" ".join(f"{w}{i * i % 97}" for i in range(80)) for w in "xyz")
+    rows = [(1, one), (2, other), (2, one + " tail"), (None, other + " tail"), (None, third), (4, third + " tail")]
+    kept = P.near(spark, documents(*rows), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(1, one), (2, other), (4, third + " tail")}
+
+
+def test_quality_decides_by_row(spark, documents, tmp_path):
+    random.seed(3)
+    clean = [" ".join(f"w{random.randrange(500)}" for _ in range(60)) + "." for _ in range(120)]
+    junk = [" ".join(random.choice(("###", "$$$!", "BUY%%")) for _ in range(60)) for _ in range(40)]
+    labels = [(i, 1, 0) for i in range(1, 121)] + [(i, 0, 0) for i in range(121, 161)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good, bad = clean[0] + " more", junk[0] + " ###"
+    docs = documents(*clean, *junk).unionByName(documents((900, good), (900, bad), (None, good), (None, bad)))
+    kept = P.quality(spark, docs, str(tmp_path)).filter("doc_id IS NULL OR doc_id = 900").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("900", good), ("None", good)]
