@@ -125,6 +125,39 @@ def test_neighbours_share_rare_words():
     assert index.neighbours(0, np.array([False, True, True, True]))[0] == 1 and index.neighbours(2, np.array([True, True, False, True]))[0] == 3
 
 
+def test_windows_ask_for_all_terms_and_go_down_the_whole_list():
+    idf = np.concatenate(([0.0], np.full(99, 1.0), [0.05]))
+    long = np.arange(1, 60, dtype=np.uint32)
+    mate = np.array([55] * 3, np.uint32)  # shares one term, which is not among the first 12
+    index = packing._Index([long, np.array([70, 71]), mate], idf, 20.0)
+    assert index.neighbours(0, np.array([False, True, True])).tolist() == [2]
+    # 30 neighbours are too long for the room left; then short ones fit, and fill it.
+    seed = np.repeat(np.arange(1, 11, dtype=np.uint32), 100)
+    large = [np.append(np.full(500 + i, 1), 20 + i).astype(np.uint32) for i in range(30)]
+    short = [np.array([10, 60 + i], np.uint32) for i in range(12)]
+    first = next(packing.windows([seed, *large, np.array([99] * 24, np.uint32), *short], idf, 50.0))
+    assert sum(n for _, _, n in first) == 1024 and {d for d, _, _ in first} == {0, *range(32, 44)}
+
+
+def test_equal_documents_with_common_terms_stay_together():
+    idf = np.full(100, 0.4)
+    copy, other = np.array([1, 2, 3, 4] * 64, np.uint32), [np.array([50 + i] * 256, np.uint32) for i in range(8)]
+    docs = [d for pair in zip([copy] * 8, other, strict=True) for d in pair]
+    found = list(packing.windows(docs, idf, 256.0))
+    assert [d for d, _, _ in found[0] + found[1]] == list(range(0, 16, 2)) and sorted(d for w in found for d, _, _ in w) == list(range(16))
+
+
+def test_common_terms_have_signatures(spark, monkeypatch):
+    """Documents whose terms are all common are dealt by what they hold, not by a hash of their ids."""
+    monkeypatch.setattr(packing, "SHARD_IDS", 120)
+    texts = [np.array([1, 2, 3], "<u4"), np.array([4, 5, 6], "<u4")] * 40
+    rows = spark.createDataFrame([(i, 3, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, n long, ids binary")
+    counts = np.array([0] + [40] * 6)
+    found = packing.sharded(rows, np.log1p((80 - counts + 0.5) / (counts + 0.5))).collect()
+    held = {s: {bytes(r.ids) for r in found if r.shard == s} for s in {r.shard for r in found}}
+    assert len(held) == 2 and all(len(x) == 1 for x in held.values())
+
+
 def test_packing_awkward(awkward, none):
     assert len({r.doc_id for r in packing.pack(awkward, bpe.default_path()).collect()}) == 11
     assert packing.pack(none, bpe.default_path()).count() == 0
