@@ -6,6 +6,7 @@ cycles come from rounds of joins on the edges, each cut at the checkpoint folder
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from cellarium.session import cut
 
 PARSED = "file string, sheet string, row int, col int, formula string, template string, functions array<string>, constants array<double>, external boolean, failed boolean, refs array<struct<sheet:string,top:int,left:int,bottom:int,right:int>>"
 NODE = ["file", "sheet", "row", "col"]
+#: Links that are collected and sorted on the driver.
+FEW = 50_000
 
 
 def parsed(cells: DataFrame) -> DataFrame:
@@ -61,17 +64,44 @@ def node(sheet: str, row: str, col: str) -> F.Column:
     return F.concat(F.col(sheet), F.lit("!"), letters(F.col(col)), F.col(row).cast("string"))
 
 
-def levels(links: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """name, level of each node (0: uses nothing), and the links among nodes in cycles or after them, which have none."""
-    names = cut(links.select(F.explode(F.array("source", "target")).alias("name")).distinct())
+def _levels_here(links: list[tuple[str, str]]) -> dict[str, int]:
+    """The levels of the nodes that are on no cycle and after none."""
+    users, waits = defaultdict(list), Counter()
+    for source, target in links:
+        users[source].append(target)
+        waits[target] += 1
+    found = {name: 0 for name in users if name not in waits}
+    queue = deque(found)
+    while queue:  # first in, first out: the last of its sources gives a node its level
+        source = queue.popleft()
+        for target in users[source]:
+            waits[target] -= 1
+            if not waits[target]:
+                found[target] = found[source] + 1
+                queue.append(target)
+    return found
+
+
+def levels(links: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """name, level of each node (0: uses nothing), and the links among nodes in cycles or after them, which have none. Up to
+    FEW links are sorted on the driver, more of them in a round of joins per level, however many levels there are."""
     left, done, level = cut(links), None, 0
-    todo = names
-    while level <= most:
+    spark = links.sparkSession
+    if left.limit(FEW + 1).count() <= FEW:
+        pairs = [(r.source, r.target) for r in left.collect()]
+        found = _levels_here(pairs)
+        if most is not None and max(found.values(), default=0) >= most:
+            raise ValueError(f"formulas depend on each other over more than {most} levels")
+        stuck = [r for r in pairs if r[0] not in found]
+        return spark.createDataFrame(list(found.items()), "name string, level int"), spark.createDataFrame(stuck, "source string, target string")
+    names = cut(links.select(F.explode(F.array("source", "target")).alias("name")).distinct())
+    todo, width = names, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while most is None or level <= most:
         ready = todo.join(left.select(F.col("target").alias("name")).distinct(), "name", "left_anti")
         ready = cut(ready.withColumn("level", F.lit(level)))
         if ready.limit(1).count() == 0:
             break
-        done = ready if done is None else done.unionByName(ready)
+        done = cut((ready if done is None else done.unionByName(ready)).coalesce(width))
         todo = cut(todo.join(ready, "name", "left_anti"))
         left = cut(left.join(ready.select(F.col("name").alias("source")), "source", "left_anti"))
         level += 1

@@ -37,7 +37,7 @@ def pattern_classes(formulas: DataFrame) -> DataFrame:
     return formulas.withColumn("functions", F.array_sort(F.array_distinct("functions"))).join(F.broadcast(known), ["functions", "external"]).select(*G.NODE, "formula", "class")
 
 
-def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels: int = 200) -> DataFrame:
+def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels: int | None = None) -> DataFrame:
     """scenario, file, sheet, row, col, value (a CELL) of all cells. overrides(scenario, sheet, row, col, num) change inputs, or
     replace formulas; without them there is one scenario, "base". Cells on a cycle or after one get #CYCLE!."""
     spark = cells.sparkSession

@@ -126,6 +126,19 @@ def test_levels_of_diamonds_and_chains(spark):
     assert [r.name for r in nodes.collect()] == ["e", "a", "b"] and [tuple(r) for r in links.select("source", "target").collect()] == [("a", "b")]
 
 
+def test_levels_have_no_limit(spark, monkeypatch):
+    chain = [(f"C{i}", f"C{i + 1}") for i in range(1, 1001)] + [(f"B{i}", f"C{i}") for i in range(2, 1002)] + [("X", "Y"), ("Y", "X"), ("Y", "Z")]
+    order, left = G.levels(spark.createDataFrame(chain, "source string, target string"))
+    found = {r.name: r.level for r in order.collect()}
+    assert found == {f"B{i}": 0 for i in range(2, 1002)} | {f"C{i}": i - 1 for i in range(1, 1002)}
+    assert {tuple(r) for r in left.collect()} == {("X", "Y"), ("Y", "X"), ("Y", "Z")}
+    monkeypatch.setattr(G, "FEW", 0)  # in rounds of joins
+    short = spark.createDataFrame([r for r in chain if r[1] in ("C2", "C3", "C4", "X", "Y", "Z")], "source string, target string")
+    order, left = G.levels(short)
+    assert {r.name: r.level for r in order.collect()} == {"B2": 0, "B3": 0, "B4": 0, "C1": 0, "C2": 1, "C3": 2, "C4": 3}
+    assert {tuple(r) for r in left.collect()} == {("X", "Y"), ("Y", "X"), ("Y", "Z")}
+
+
 def test_daily_stream_equals_daily_table(spark, tmp_path):
     spark.sql("SELECT id AS event_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, id) AS ts, id % 5 AS user_id, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS event_type, id * 1.0D AS value, '{}' AS props FROM range(100)").write.parquet(f"{tmp_path}/e")
     query = windows.daily(windows.stream(spark, f"{tmp_path}/e")).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
