@@ -1,84 +1,137 @@
 """Adaptive context-mixing range coder for token ids, over many independently reset blocks at once.
 
-An id is first coded as a hit of the order-2 prediction (the id last seen after the same two ids), a hit of the order-1
-prediction, or a miss. The chance of a hit comes from counters of how reliable each order's prediction has been, mixed
-with weights that learn from every id. A missed id is coded by order 0: adaptive frequencies of its high and low byte. One
-carry-less range coder per block takes all of it. Everything is integer arithmetic, so all machines decode alike.
+Order 2 and order 1 each predict one id: the one last seen after the same two ids, or the same one. Order 0 gives each id
+that the block has had a share by its adaptive frequency, and an escape to any 16-bit id. The three are mixed: the weights
+of order 2 and order 1 are learnt from every id, apart for each pair of confidences that the two predictions have and for
+whether they agree; what is left goes to order 0. One range coder per block codes a hit of order 2, a hit of order 1, or a
+miss with its share of order 0. Everything is integer arithmetic, so all machines decode alike.
 
-Blocks are the lanes of numpy arrays: step t codes the t-th id of every block, so no Python loop runs over single ids.
+Blocks are the lanes of numpy arrays: step t codes the t-th id of every block, so no Python loop runs over single ids. The
+shares of order 0 are brought up to date at a refresh, so that an id is found by one look at a table of PARTS entries. The
+coder keeps 60 bits and moves them by digits of 20; carries are added to the digits when a block ends.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
-SLOTS, CONFIDENCE, REFRESH = 4096, 8, 64
-RAISE, MOST = 32, 40_000
-U = np.uint64
-TOP, BOT, WORD = U(1 << 48), U(1 << 32), U(16)
+#: Contexts that an order remembers, and ids that order 0 can hold, in a block (powers of two).
+SLOTS, HELD = 1024, 1024
+#: Steps between two refreshes; the first ones double. The sum at which frequencies are halved.
+REFRESH, FIRST, MOST = 256, 8, 4096
+#: A prediction that isn't there, above every id.
+NOTHING = 1 << 16
+DIGIT, TOP, FULL = 20, 40, 1 << 60
+LOW = (1 << TOP) - 1
+#: Flags and shares are coded in parts of 4096; weights learn in 16 bits by steps of 1/32.
+BITS, LEARN = 12, 5
+PARTS = 1 << BITS
+SHIFT = 33 - SLOTS.bit_length()
+SURE = 7
+
 
-SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
-STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], dtype=np.int64)
+def _prior() -> np.ndarray:
+    """First weights of both by agreement and the confidences of order 2 and order 1: the surer, the more."""
+    same, two, one = np.meshgrid([0, 1], np.arange(SURE + 1), np.arange(SURE + 1), indexing="ij")
+    chance = lambda sure: np.where(sure > 0, sure / (sure + 3.0), 0.001)
+    second = np.where(same > 0, chance(np.maximum(two, one)), chance(two) * 0.8)
+    first = np.where(same > 0, 0.001, chance(one) * 0.3)
+    second, first = ((x.reshape(-1) * 65536).astype(np.uint32).clip(32, 65504) for x in (second, first))
+    return second << np.uint32(16) | first
 
 
 class _Model:
     """What all lanes have learnt; prediction and update are the same in coding and decoding."""
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.one = np.zeros(lanes, np.int64)  # the last id, and the one before
-        self.two = np.zeros(lanes, np.int64)
-        self.seen = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.hit = [np.full(lanes * CONFIDENCE, 8192 * (2 - o), np.int64) for o in range(2)]  # chances in 16 bits, by confidence
-        self.second = np.full(lanes * CONFIDENCE, 16384, np.int64)
-        self.weight = np.tile(np.array([45_000, 12_000, 0], np.int64), (lanes * 2, 1))
-        self.counts = [np.ones((lanes, 256), np.int64) for _ in range(2)]
-        self.sums = [np.zeros((lanes, 257), np.int64) for _ in range(2)]
+        lane = np.arange(lanes, dtype=np.int64)
+        self.slots, self.states, self.rows = lane * SLOTS, lane * 128, lane * HELD
+        self.one = np.zeros(lanes, np.int64)  # the last id, and the hash of the one before
+        self.before = np.zeros(lanes, np.int64)
+        self.seen = [np.full(lanes * SLOTS, NOTHING << 3, np.int32) for _ in range(2)]  # id and confidence
+        self.weight = np.tile(_prior(), lanes)  # of order 2 in the upper half, of order 1 in the lower
+        #: Order 0 by place: the escape is the first, ids follow in the order in which they came.
+        self.ids = np.zeros(lanes * HELD, np.uint16)
+        self.known = np.ones(lanes, np.int64)
+        self.counts = np.zeros((lanes, HELD), np.int32)
+        self.counts[:, 0] = 1
+        self.share = np.zeros(lanes * HELD, np.int32)  # where a place's parts begin, and how many they are
+        self.place = np.zeros((lanes, PARTS), np.uint16)  # of each part
+        self.coded: list[np.ndarray] = []
+        self.escaped: list[np.ndarray] = []
+        self.next = FIRST
+        self._share(lanes)
 
     def refresh(self, n: int) -> None:
-        for counts, sums in zip(self.counts, self.sums, strict=True):
-            full = np.flatnonzero(sums[:n, 256] > MOST)
-            counts[full] = (counts[full] + 1) >> 1
-            np.cumsum(counts[:n], axis=1, out=sums[:n, 1:])
+        """Takes up what was coded since the last refresh."""
+        at = np.concatenate(self.coded) if self.coded else np.zeros(0, np.int64)
+        if self.escaped:
+            events = np.concatenate(self.escaped)  # lane and id, in order of time
+            distinct, first, which = np.unique(events, return_index=True, return_inverse=True)
+            order = np.lexsort((first, distinct >> 16))
+            lane = distinct[order] >> 16
+            place = self.known[lane] + np.arange(len(lane)) - np.searchsorted(lane, lane)
+            fits = place < HELD
+            self.ids[lane[fits] * HELD + place[fits]] = distinct[order][fits] & 0xFFFF
+            places = np.empty_like(place)
+            places[order] = np.where(fits, place, 0)
+            self.known = np.minimum(HELD, self.known + np.bincount(lane, minlength=len(self.known)))
+            rows = (events >> 16) * HELD
+            at = np.concatenate((at, rows, rows + places[which]))  # what doesn't fit counts for the escape alone
+        self.coded, self.escaped = [], []
+        self.counts += np.bincount(at, minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
+        full = np.flatnonzero(self.counts.sum(axis=1) > MOST)
+        self.counts[full] = (self.counts[full] + 1) >> 1
+        self._share(n)
+
+    def _share(self, n: int) -> None:
+        """Each known place gets one part and its share, by frequency, of the others."""
+        most = int(self.known[:n].max())
+        known, counts = self.known[:n, None].astype(np.int32), self.counts[:n, :most]
+        ends = np.cumsum(counts, axis=1, dtype=np.int32)
+        ends *= PARTS - known
+        ends //= ends[:, -1:] // (PARTS - known)
+        ends += np.minimum(np.arange(1, most + 1, dtype=np.int32), known)
+        widths = np.diff(ends, axis=1, prepend=np.int32(0))
+        self.share.reshape(-1, HELD)[:n, :most] = (ends - widths) << 16 | widths
+        places = np.tile(np.arange(most, dtype=np.uint16), n)
+        self.place[:n] = np.repeat(places, widths.reshape(-1)).reshape(n, PARTS)
+
+    def due(self, t: int, n: int) -> bool:
+        if t != self.next:
+            return False
+        self.next = t + min(t, REFRESH)
+        self.refresh(n)
+        return True
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of order 2 and 1, and what they take of 65536."""
-        lane, a, b = self.lane[:n], self.one[:n], self.two[:n]
-        base = lane * SLOTS
-        self.at = [base + ((a * 2654435761 + b * 40503 * 65537) >> 7 & SLOTS - 1), base + (a * 2654435761 >> 11 & SLOTS - 1)]
-        two, one = self.seen[0][self.at[0]], self.seen[1][self.at[1]]
-        place = lane * CONFIDENCE
-        self.cell = [place + self.sure[o][self.at[o]] for o in range(2)]
+        """Ids of order 2 and 1, and what they take of the parts."""
+        own = self.one[:n] * 0x9E3779B1 & 0xFFFFFFFF
+        both = (own + self.before[:n] * 5) * 0x85EBCA6B & 0xFFFFFFFF
+        self.before[:n] = own
+        self.at = ((both >> SHIFT) + self.slots[:n], (own >> SHIFT) + self.slots[:n])
+        self.held = [seen.take(at) for seen, at in zip(self.seen, self.at, strict=True)]
+        two, one = (h >> 3 for h in self.held)
+        self.sure = [h & SURE for h in self.held]
         self.same = two == one
-        self.set = lane * 2 + self.same
-        stretched = [STRETCH[self.hit[o][self.cell[o]] >> 4] for o in range(2)]
-        self.inputs = np.stack([stretched[0], np.where(self.same, stretched[1], -stretched[1]), np.full(n, 256)], axis=1)
-        self.weights = self.weight[self.set]
-        mixed = (self.weights * self.inputs).sum(axis=1) >> 16
-        self.chance = SQUASH[np.clip(mixed, -2047, 2047) + 2047]
-        first = np.where(two < 0, 1, self.chance * 16)
-        left = 65536 - first
-        other = np.where(self.same | (one < 0), 0, np.maximum(1, left * np.clip(self.second[self.cell[1]] >> 4, 1, 4094) >> 12))
+        self.state = (self.same * np.int32(64) + (self.sure[0] << 3) + self.sure[1]) + self.states[:n]
+        weight = self.weight.take(self.state)
+        self.second, self.first = weight >> np.uint32(16), weight & np.uint32(0xFFFF)
+        first = (self.second >> np.uint32(16 - BITS)).astype(np.int64)
+        other = np.maximum(((PARTS - first) * self.first) >> 16, 1)
         return two, one, first, other
 
-    def update(self, n: int, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        hits = [(ids == two).astype(np.int64), (ids == one).astype(np.int64)]
-        error = ((hits[0] << 12) - self.chance) * 14
-        self.weight[self.set] = self.weights + ((self.inputs * error[:, None] + 512) >> 10)
-        for o in range(2):
-            c = self.cell[o]
-            h = self.hit[o][c]
-            self.hit[o][c] = h + (((hits[o] << 16) - hits[o] - h) >> 5)
-            at, sure = self.at[o], self.sure[o][self.at[o]]
-            self.sure[o][at] = np.where(hits[o] > 0, np.minimum(sure + 1, CONFIDENCE - 1), sure >> 2)
-            self.seen[o][at] = np.where((hits[o] > 0) | (sure < 2), ids, self.seen[o][at])
-        c = self.cell[1]
-        s = self.second[c]
-        self.second[c] = np.where(hits[0] > 0, s, s + (((hits[1] << 16) - hits[1] - s) >> 5))
-        self.two[:n] = self.one[:n]
+    def update(self, n: int, ids: np.ndarray, is_two: np.ndarray, is_one: np.ndarray) -> None:
+        rose, learn = np.uint32((1 << 16 - LEARN) - 1), np.uint32(LEARN)
+        second = self.second - (self.second >> learn) + is_two * rose
+        # The weight of order 1 is its share of what order 2 leaves, so it learns where that missed.
+        first = np.where(is_two, self.first, self.first - (self.first >> learn) + is_one * rose)
+        self.weight[self.state] = second << np.uint32(16) | first
+        fresh = (ids.astype(np.int32) << 3) + 1
+        for seen, at, held, sure, hit in zip(self.seen, self.at, self.held, self.sure, (is_two, is_one | is_two & self.same), strict=True):
+            # A hit makes surer; a miss takes the new id, or keeps a sure prediction at a quarter of its confidence.
+            lost = np.where(sure > 3, held - sure + (sure >> 2), fresh)
+            seen[at] = np.where(hit, held + (sure < SURE), lost)
         self.one[:n] = ids
 
 
@@ -88,116 +141,177 @@ def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
 
 
+def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
+
+
+def _places(block: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+    """The place in order 0 of each id of a block, from 1 in the order in which they first occur."""
+    at = np.arange(len(block))
+    scratch[block[::-1]] = at[::-1]
+    first = scratch[block]
+    return np.cumsum(first == at)[first]
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks], np.int64)
     lanes, (order, working) = len(blocks), _order(sizes)
-    ids = np.zeros((sizes.max(initial=0), lanes), np.int64)
+    ids, places = (np.zeros((sizes.max(initial=0), lanes), np.uint16) for _ in range(2))
+    scratch = np.zeros(NOTHING, np.int64)
     for lane, block in enumerate(order):
+        if blocks[block].max(initial=0) >= NOTHING:
+            raise ValueError("ids of more than 16 bits")
         ids[: sizes[block], lane] = blocks[block]
+        places[: sizes[block], lane] = np.minimum(_places(blocks[block], scratch), HELD)
+    if not len(ids):
+        return [b""] * lanes
     model = _Model(lanes)
-    low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    out, used = np.zeros((lanes, 5 * len(ids) + 16), "<u2"), np.zeros(lanes, np.int64)
-
-    def put(lane: np.ndarray, start: np.ndarray, width: np.ndarray, total: np.ndarray | int) -> None:
-        step = span[lane] // U(total) if isinstance(total, int) else span[lane] // total.astype(U)
-        lo, r = low[lane] + step * start.astype(U), step * width.astype(U)
-        low[lane], span[lane] = lo, r
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            go = np.flatnonzero(same | (r < BOT))
-            if not len(go):
-                return
-            lane, lo, r = lane[go], lo[go], np.where(same[go], r[go], (U(0) - lo[go]) & (BOT - U(1)))
-            out[lane, used[lane]] = lo >> U(48)
-            used[lane] += 1
-            lo, r = lo << WORD, r << WORD
-            low[lane], span[lane] = lo, r
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, FULL, np.int64)
+    digits, used, own = np.zeros((len(ids) // 2 + 4 * REFRESH) * lanes, np.int32), np.arange(lanes), np.arange(lanes)
+
+    def put(digits: np.ndarray, n: int) -> None:
+        lo, r, at = low[:n], span[:n], used[:n]
+        go = r < 1 << TOP
+        digit = lo >> TOP
+        digits[at] = digit  # written again unless it is moved on
+        lo -= (digit << TOP) * go
+        shift = go * DIGIT
+        lo <<= shift
+        r <<= shift
+        at += go * lanes
+        while len(more := np.flatnonzero(r < 1 << TOP)):
+            digits[at[more]] = lo[more] >> TOP
+            lo[more] = (lo[more] & LOW) << DIGIT
+            r[more] <<= DIGIT
+            at[more] += lanes
 
     for t, n in enumerate(working.tolist()):
-        if t % REFRESH == 0:
-            model.refresh(n)
-        now = ids[t, :n]
+        if model.due(t, n) and used.max() + (2 * REFRESH + 4) * lanes > len(digits):
+            digits = np.concatenate((digits, np.zeros_like(digits)))  # an id takes two at most
+        now = ids[t, :n].astype(np.int64)
         two, one, first, other = model.predict(n)
-        is_two, is_one = now == two, (now == one) & ~model.same
-        start = np.where(is_two, 0, np.where(is_one, first, first + other))
-        width = np.where(is_two, first, np.where(is_one, other, 65536 - first - other))
-        put(model.lane[:n], start, width, 65536)
-        miss = np.flatnonzero(~(is_two | is_one))
+        is_two = now == two
+        is_one = (now == one) & ~is_two
+        hit = is_two | is_one
+        step = span[:n] >> BITS
+        low[:n] += step * np.where(is_two, 0, first + other * ~hit)
+        span[:n] = step * np.where(is_two, first, np.where(is_one, other, PARTS - first - other))
+        miss = np.flatnonzero(~hit)
         if len(miss):
-            for o, sign in enumerate((now[miss] >> 8, now[miss] & 255)):
-                sums = model.sums[o]
-                start = sums[miss, sign]
-                put(miss, start, sums[miss, sign + 1] - start, sums[miss, 256])
-                model.counts[o][miss, sign] += RAISE
-        model.update(n, now, two, one)
-    for _ in range(4):
-        out[model.lane, used] = low >> U(48)
-        used += 1
-        low <<= WORD
-    done: list[bytes] = [b""] * lanes
+            place = places[t].take(miss).astype(np.int64)
+            place *= place < model.known.take(miss)
+            at = model.rows.take(miss) + place
+            share = model.share.take(at)
+            left = span.take(miss) >> BITS
+            gone, left = left * (share >> 16), left * (share & 0xFFFF)
+            new = np.flatnonzero(place == 0)
+            model.coded.append(np.delete(at, new))
+            if len(new):
+                lane = miss[new]
+                model.escaped.append(lane << 16 | now[lane])
+                part = left[new] >> 16
+                gone[new] += part * now[lane]
+                left[new] = part
+            low[miss] += gone
+            span[miss] = left
+        put(digits, n)
+        model.update(n, now, is_two, is_one)
+    for _ in range(3):
+        digits[used] = low >> TOP
+        low = (low & LOW) << DIGIT
+        used += lanes
+    lengths = (used - own) // lanes
+    return _packed(digits.reshape(-1, lanes)[: lengths.max() + 1], lengths, order)
+
+
+def _packed(digits: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> list[bytes]:
+    """The bytes of each block, five for two digits, once carries are added to the digits before."""
+    carry = np.zeros(digits.shape[1], np.int32)
+    for row in digits[::-1]:
+        row += carry
+        carry = row >> DIGIT
+        row &= (1 << DIGIT) - 1
+    digits = digits[: len(digits) // 2 * 2].astype(np.int64)
+    pairs = np.ascontiguousarray(((digits[::2] << DIGIT) | digits[1::2]).T).astype(">u8")
+    data = pairs.view(np.uint8).reshape(*pairs.shape, 8)[:, :, 3:]
+    done: list[bytes] = [b""] * len(lengths)
     for lane, block in enumerate(order):
-        done[block] = out[lane, : used[lane]].tobytes()
+        done[block] = data[lane, : (lengths[lane] + 1) // 2].tobytes()
     return done
 
 
+def _unpacked(coded: list[bytes], order: np.ndarray) -> tuple[np.ndarray, int]:
+    """The digits of all lanes, flat, and how many a lane has."""
+    pairs = max(map(len, coded), default=0) // 5 + 3
+    data = np.zeros((len(coded), pairs, 8), np.uint8)
+    for lane, block in enumerate(order):
+        part = np.frombuffer(coded[block], np.uint8).reshape(-1, 5)
+        data[lane, : len(part), 3:] = part
+    both = data.view(">u8")[:, :, 0].astype(np.int64)
+    return np.stack((both >> DIGIT, both & (1 << DIGIT) - 1), axis=2).reshape(-1), 2 * pairs
+
+
 def decode(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     lanes, (order, working) = len(coded), _order(sizes)
-    words = max(map(len, coded), default=0) // 2 + 8
-    data = np.zeros((lanes, words), "<u2")
-    for lane, block in enumerate(order):
-        part = np.frombuffer(coded[block], "<u2")
-        data[lane, : len(part)] = part
-    ids = np.zeros((len(working), lanes), np.uint32)
+    ids = np.zeros((len(working), lanes), np.uint16)
+    if not len(ids):
+        return [np.zeros(0, np.uint32)] * lanes
+    data, width = _unpacked(coded, order)
     model = _Model(lanes)
-    low, span, code, used = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U), np.full(lanes, 4)
-    for i in range(4):
-        code = code << WORD | data[:, i].astype(U)
-
-    def take(lane: np.ndarray, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        lo, r = low[lane] + step * start.astype(U), step * width.astype(U)
-        low[lane], span[lane] = lo, r
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            go = np.flatnonzero(same | (r < BOT))
-            if not len(go):
-                return
-            lane, lo, r = lane[go], lo[go], np.where(same[go], r[go], (U(0) - lo[go]) & (BOT - U(1)))
-            code[lane] = code[lane] << WORD | data[lane, np.minimum(used[lane], words - 1)].astype(U)
-            used[lane] += 1
-            lo, r = lo << WORD, r << WORD
-            low[lane], span[lane] = lo, r
+    used, span, code = np.arange(lanes) * width, np.full(lanes, FULL, np.int64), np.zeros(lanes, np.int64)
+    last = used + width - 1
+    for _ in range(3):
+        code = code << DIGIT | data[used]
+        used += 1
+
+    def take(n: int) -> None:
+        r, x, at = span[:n], code[:n], used[:n]
+        go = r < 1 << TOP
+        shift = go * DIGIT
+        x <<= shift
+        x |= data.take(at) * go
+        r <<= shift
+        at += go
+        while len(more := np.flatnonzero(r < 1 << TOP)):
+            x[more] = x[more] << DIGIT | data[np.minimum(at[more], last[more])]
+            r[more] <<= DIGIT
+            at[more] += 1
+        np.minimum(at, last[:n], out=at)
 
     for t, n in enumerate(working.tolist()):
-        if t % REFRESH == 0:
-            model.refresh(n)
+        model.due(t, n)
         two, one, first, other = model.predict(n)
-        step = span[:n] // U(65536)
-        value = np.minimum((code[:n] - low[:n]) // step, U(65535)).astype(np.int64)
-        is_two = value < first
-        is_one = ~is_two & (value < first + other)
-        start = np.where(is_two, 0, np.where(is_one, first, first + other))
-        width = np.where(is_two, first, np.where(is_one, other, 65536 - first - other))
-        take(model.lane[:n], step, start, width)
+        step, x = span[:n] >> BITS, code[:n]
+        edge = step * first
+        is_two = x < edge
+        hit = x < edge + step * other
+        is_one = hit & ~is_two
+        x -= step * np.where(is_two, 0, first + other * ~hit)
+        span[:n] = step * np.where(is_two, first, np.where(is_one, other, PARTS - first - other))
         now = np.where(is_two, two, one).astype(np.int64)
-        miss = np.flatnonzero(~(is_two | is_one))
+        miss = np.flatnonzero(~hit)
         if len(miss):
-            found = np.zeros(len(miss), np.int64)
-            for o in range(2):
-                sums = model.sums[o].reshape(-1)
-                row, total = miss * 257, model.sums[o][miss, 256]
-                step = span[miss] // total.astype(U)
-                value = np.minimum(((code[miss] - low[miss]) // step).astype(np.int64), total - 1)
-                sign = np.zeros(len(miss), np.int64)
-                for bit in (128, 64, 32, 16, 8, 4, 2, 1):  # the last sign whose sum isn't over value
-                    sign += np.where(sums[row + sign + bit] <= value, bit, 0)
-                start = sums[row + sign]
-                take(miss, step, start, sums[row + sign + 1] - start)
-                model.counts[o][miss, sign] += RAISE
-                found = found << 8 | sign
+            left, rest = span.take(miss) >> BITS, x.take(miss)
+            place = model.place.reshape(-1).take(miss * PARTS + np.minimum(_divided(rest, left), PARTS - 1))
+            at = model.rows.take(miss) + place
+            share, found = model.share.take(at), model.ids.take(at).astype(np.int64)
+            rest -= left * (share >> 16)
+            left *= share & 0xFFFF
+            new = np.flatnonzero(place == 0)
+            model.coded.append(np.delete(at, new))
+            if len(new):
+                part = left[new] >> 16
+                found[new] = np.minimum(_divided(rest[new], part), NOTHING - 1)
+                model.escaped.append(miss[new] << 16 | found[new])
+                rest[new] -= part * found[new]
+                left[new] = part
+            x[miss] = rest
+            span[miss] = left
             now[miss] = found
-        model.update(n, now, two, one)
+        take(n)
+        model.update(n, now, is_two, is_one)
         ids[t, :n] = now
     done: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for lane, block in enumerate(order):
-        done[block] = ids[: sizes[block], lane].copy()
+        done[block] = ids[: sizes[block], lane].astype(np.uint32)
     return done

@@ -1,13 +1,13 @@
 """Token-id files: documents in ascending order, coded in independently reset, checksummed blocks.
 
 Rows are dealt by ranges of doc_id and sorted within them (a range is one task and one file), encoded, and cut into blocks
-of BLOCK ids, which mixcoder codes together. A file is a Parquet table with a row per block: its place, the number of ids,
+of BLOCK ids, of which mixcoder codes LANES together. An id that very many rows share is dealt to several ranges, by text. A file is a Parquet table with a row per block: its place, the number of ids,
 the pieces of documents that it holds, the coded ids and their CRC-32. So a file is written and committed by Spark, to
 any store, and a block can be read alone. Reading decodes and checks the blocks of a file as Spark splits them; pieces of a
 document from several blocks are put together by their lengths and checksums alone, so no document is gathered whole.
 
 Defined cases: null text counts as empty, which is the end id alone; a null doc_id comes first; rows that repeat an id
-follow each other, ordered by text; an empty table gives files without blocks and an empty result; other columns are ignored.
+follow each other, ordered by a hash of their text; an empty table gives files without blocks and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from cellarium.llm.bpe import default_path, vocabulary
 from cellarium.llm.common import bounded_batches, cut, shared_dir, small, table
 
 BLOCK, LANES, END_ID = 4096, 2048, 2
-#: Characters of text in a file, about.
-FILE_CHARS = 16_000_000
+#: Bytes of text in a file, about: no more than the first, nor fewer than the second just to give every core a file.
+FILE_BYTES, LEAST_BYTES = 512_000_000, 16_000_000
 
 FILE = "part int, block int, n_ids int, doc_ids array<long>, ordinals array<long>, starts array<long>, pieces array<int>, lengths array<int>, coded binary, crc long"
 FILE_ARROW = pa.schema([
@@ -79,7 +79,8 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, -(-size // FILE_BYTES), min(size // LEAST_BYTES, spark.sparkContext.defaultParallelism))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cutter = vocabulary(vocabulary_path), _Cutter()
@@ -92,7 +93,10 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
         if cutter.full:
             yield cutter.coded()
 
-    ranges = rows.repartitionByRange(max(1, -(-chars // FILE_CHARS)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Equal rows may change places, so which of them a range takes doesn't matter.
+    order = ["doc_id", "_text", "_row"]
+    placed = rows.withColumns({"_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ranges = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ranges.mapInArrow(code, FILE).write.mode("errorifexists").parquet(path)
 
 

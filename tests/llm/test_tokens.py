@@ -63,7 +63,7 @@ def test_coder_round_trip():
 
 def test_token_files(spark, documents, awkward, none, vocab, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 64)
-    monkeypatch.setattr(token_files, "FILE_CHARS", 4000)
+    monkeypatch.setattr(token_files, "FILE_BYTES", 4000)
     texts = [*TEXTS, "some words here " * 100, None]
     token_files.write(documents(*texts), f"{tmp_path}/a", bpe.default_path())
     at = 0
