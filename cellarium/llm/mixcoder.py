@@ -16,9 +16,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Contexts that an order remembers, and ids that order 0 can hold, in a block (powers of two).
-SLOTS, HELD = 1024, 1024
+SLOTS, HELD = 512, 512
 #: Steps between two refreshes; the first ones double. The sum at which frequencies are halved.
-REFRESH, FIRST, MOST = 256, 8, 4096
+REFRESH, FIRST, MOST = 512, 16, 4096
 #: A prediction that isn't there, above every id.
 NOTHING = 1 << 16
 DIGIT, TOP, FULL = 20, 40, 1 << 60
@@ -26,7 +26,7 @@ LOW = (1 << TOP) - 1
 #: Flags and shares are coded in parts of 4096; weights learn in 16 bits by steps of 1/32.
 BITS, LEARN = 12, 5
 PARTS = 1 << BITS
-SHIFT = 33 - SLOTS.bit_length()
+SHIFT = np.uint32(33 - SLOTS.bit_length())
 SURE = 7
 
 
@@ -46,8 +46,8 @@ class _Model:
     def __init__(self, lanes: int) -> None:
         lane = np.arange(lanes, dtype=np.int64)
         self.slots, self.states, self.rows = lane * SLOTS, lane * 128, lane * HELD
-        self.one = np.zeros(lanes, np.int64)  # the last id, and the hash of the one before
-        self.before = np.zeros(lanes, np.int64)
+        self.one = np.zeros(lanes, np.uint32)  # the hash of the last id, and of the one before
+        self.before = np.zeros(lanes, np.uint32)
         self.seen = [np.full(lanes * SLOTS, NOTHING << 3, np.int32) for _ in range(2)]  # id and confidence
         self.weight = np.tile(_prior(), lanes)  # of order 2 in the upper half, of order 1 in the lower
         #: Order 0 by place: the escape is the first, ids follow in the order in which they came.
@@ -106,33 +106,35 @@ class _Model:
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of order 2 and 1, and what they take of the parts."""
-        own = self.one[:n] * 0x9E3779B1 & 0xFFFFFFFF
-        both = (own + self.before[:n] * 5) * 0x85EBCA6B & 0xFFFFFFFF
+        own = self.one[:n]
+        both = own * np.uint32(0x85EBCA6B) + self.before[:n]
         self.before[:n] = own
         self.at = ((both >> SHIFT) + self.slots[:n], (own >> SHIFT) + self.slots[:n])
         self.held = [seen.take(at) for seen, at in zip(self.seen, self.at, strict=True)]
         two, one = (h >> 3 for h in self.held)
         self.sure = [h & SURE for h in self.held]
         self.same = two == one
-        self.state = (self.same * np.int32(64) + (self.sure[0] << 3) + self.sure[1]) + self.states[:n]
+        state = self.sure[0] << 3 | self.sure[1]
+        state |= self.same.view(np.uint8) << np.uint8(6)
+        self.state = state + self.states[:n]
         weight = self.weight.take(self.state)
         self.second, self.first = weight >> np.uint32(16), weight & np.uint32(0xFFFF)
-        first = (self.second >> np.uint32(16 - BITS)).astype(np.int64)
-        other = np.maximum(((PARTS - first) * self.first) >> 16, 1)
+        first = (self.second >> np.uint32(16 - BITS)).view(np.int32)
+        other = np.maximum(((PARTS - first).view(np.uint32) * self.first >> np.uint32(16)).view(np.int32), 1)
         return two, one, first, other
 
     def update(self, n: int, ids: np.ndarray, is_two: np.ndarray, is_one: np.ndarray) -> None:
         rose, learn = np.uint32((1 << 16 - LEARN) - 1), np.uint32(LEARN)
-        second = self.second - (self.second >> learn) + is_two * rose
+        second = self.second - (self.second >> learn) + np.where(is_two, rose, np.uint32(0))
         # The weight of order 1 is its share of what order 2 leaves, so it learns where that missed.
-        first = np.where(is_two, self.first, self.first - (self.first >> learn) + is_one * rose)
+        first = np.where(is_two, self.first, self.first - (self.first >> learn) + np.where(is_one, rose, np.uint32(0)))
         self.weight[self.state] = second << np.uint32(16) | first
-        fresh = (ids.astype(np.int32) << 3) + 1
+        fresh = (ids << 3) | 1
         for seen, at, held, sure, hit in zip(self.seen, self.at, self.held, self.sure, (is_two, is_one | is_two & self.same), strict=True):
-            # A hit makes surer; a miss takes the new id, or keeps a sure prediction at a quarter of its confidence.
-            lost = np.where(sure > 3, held - sure + (sure >> 2), fresh)
-            seen[at] = np.where(hit, held + (sure < SURE), lost)
-        self.one[:n] = ids
+            # A hit makes surer; a miss takes the new id, or keeps a sure prediction, less sure by 4.
+            lost = np.where(sure > 3, held - 4, fresh)
+            seen[at] = np.where(hit, np.minimum(held + 1, held | SURE), lost)
+        np.multiply(ids.view(np.uint32), np.uint32(0x9E3779B1), out=self.one[:n])
 
 
 def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,28 +143,34 @@ def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
 
 
+def _flag(is_two: np.ndarray, hit: np.ndarray, first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a hit of order 2, a hit of order 1 or a miss begin, and how many they are."""
+    after = first + other
+    start = np.where(is_two, 0, np.where(hit, first, after))
+    return start, np.where(is_two, first, np.where(hit, after, PARTS)) - start
+
+
 def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
 
 
 def _places(block: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     """The place in order 0 of each id of a block, from 1 in the order in which they first occur."""
-    at = np.arange(len(block))
+    at = np.arange(len(block), dtype=np.int32)
     scratch[block[::-1]] = at[::-1]
     first = scratch[block]
-    return np.cumsum(first == at)[first]
+    return np.cumsum(first == at, dtype=np.int32)[first]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(b) for b in blocks], np.int64)
     lanes, (order, working) = len(blocks), _order(sizes)
-    ids, places = (np.zeros((sizes.max(initial=0), lanes), np.uint16) for _ in range(2))
-    scratch = np.zeros(NOTHING, np.int64)
+    ids, places = (np.zeros((lanes, sizes.max(initial=0)), np.uint16) for _ in range(2))
+    scratch = np.zeros(NOTHING, np.int32)
     for lane, block in enumerate(order):
-        if blocks[block].max(initial=0) >= NOTHING:
-            raise ValueError("ids of more than 16 bits")
-        ids[: sizes[block], lane] = blocks[block]
-        places[: sizes[block], lane] = np.minimum(_places(blocks[block], scratch), HELD)
+        ids[lane, : sizes[block]] = blocks[block]
+        places[lane, : sizes[block]] = np.minimum(_places(blocks[block], scratch), HELD)
+    ids, places = np.ascontiguousarray(ids.T), np.ascontiguousarray(places.T)
     if not len(ids):
         return [b""] * lanes
     model = _Model(lanes)
@@ -188,14 +196,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for t, n in enumerate(working.tolist()):
         if model.due(t, n) and used.max() + (2 * REFRESH + 4) * lanes > len(digits):
             digits = np.concatenate((digits, np.zeros_like(digits)))  # an id takes two at most
-        now = ids[t, :n].astype(np.int64)
+        now = ids[t, :n].astype(np.int32)
         two, one, first, other = model.predict(n)
         is_two = now == two
         is_one = (now == one) & ~is_two
         hit = is_two | is_one
         step = span[:n] >> BITS
-        low[:n] += step * np.where(is_two, 0, first + other * ~hit)
-        span[:n] = step * np.where(is_two, first, np.where(is_one, other, PARTS - first - other))
+        start, width = _flag(is_two, hit, first, other)
+        low[:n] += step * start
+        np.multiply(step, width, out=span[:n])
         miss = np.flatnonzero(~hit)
         if len(miss):
             place = places[t].take(miss).astype(np.int64)
@@ -205,12 +214,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             left = span.take(miss) >> BITS
             gone, left = left * (share >> 16), left * (share & 0xFFFF)
             new = np.flatnonzero(place == 0)
-            model.coded.append(np.delete(at, new))
+            model.coded.append(at[place > 0])
             if len(new):
-                lane = miss[new]
-                model.escaped.append(lane << 16 | now[lane])
+                lane, other = miss[new], now[miss[new]].astype(np.int64)
+                model.escaped.append(lane << 16 | other)
                 part = left[new] >> 16
-                gone[new] += part * now[lane]
+                gone[new] += part * other
                 left[new] = part
             low[miss] += gone
             span[miss] = left
@@ -286,9 +295,10 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         is_two = x < edge
         hit = x < edge + step * other
         is_one = hit & ~is_two
-        x -= step * np.where(is_two, 0, first + other * ~hit)
-        span[:n] = step * np.where(is_two, first, np.where(is_one, other, PARTS - first - other))
-        now = np.where(is_two, two, one).astype(np.int64)
+        start, width = _flag(is_two, hit, first, other)
+        x -= step * start
+        np.multiply(step, width, out=span[:n])
+        now = np.where(is_two, two, one)
         miss = np.flatnonzero(~hit)
         if len(miss):
             left, rest = span.take(miss) >> BITS, x.take(miss)
@@ -298,7 +308,7 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
             rest -= left * (share >> 16)
             left *= share & 0xFFFF
             new = np.flatnonzero(place == 0)
-            model.coded.append(np.delete(at, new))
+            model.coded.append(at[place > 0])
             if len(new):
                 part = left[new] >> 16
                 found[new] = np.minimum(_divided(rest[new], part), NOTHING - 1)
@@ -312,6 +322,7 @@ def decode(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         model.update(n, now, is_two, is_one)
         ids[t, :n] = now
     done: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
+    ids = np.ascontiguousarray(ids.T)
     for lane, block in enumerate(order):
-        done[block] = ids[: sizes[block], lane].astype(np.uint32)
+        done[block] = ids[lane, : sizes[block]].astype(np.uint32)
     return done

@@ -28,7 +28,7 @@ from cellarium.llm import mixcoder
 from cellarium.llm.bpe import default_path, vocabulary
 from cellarium.llm.common import bounded_batches, cut, shared_dir, small, table
 
-BLOCK, LANES, END_ID = 4096, 2048, 2
+BLOCK, LANES, END_ID = 4096, 4096, 2
 #: Bytes of text in a file, about: no more than the first, nor fewer than the second just to give every core a file.
 FILE_BYTES, LEAST_BYTES = 512_000_000, 16_000_000
 
@@ -62,7 +62,7 @@ class _Cutter:
 
     def close(self) -> None:
         if self.held:
-            self.full.append((np.concatenate(self.ids), self.pieces))
+            self.full.append((np.concatenate(self.ids).astype(np.uint16), self.pieces))
             self.ids, self.pieces, self.held = [], [], 0
 
     def coded(self) -> pa.RecordBatch:
@@ -84,6 +84,8 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cutter = vocabulary(vocabulary_path), _Cutter()
+        if max(len(vocab.token) - 1, end_id) >= mixcoder.NOTHING:
+            raise ValueError("ids of more than 16 bits")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cutter.add(doc_id, np.append(vocab.encode(text), np.uint32(end_id)))
