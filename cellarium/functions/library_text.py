@@ -339,26 +339,25 @@ define(D, "WORKDAY DIAÚTIL DIATRABALHO", 2, 3)(_workday(False))
 define(D, "WORKDAY.INTL", 2, 4)(_workday(True))
 
 
-def _roman() -> list[tuple[int, str]]:
-    return [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+#: Ones, fives and tens of each place of a Roman number, and its digits in terms of them.
+ROMAN = ((1, "IVX"), (10, "XLC"), (100, "CDM"), (1000, "M--"))
+DIGITS = ("", "1", "11", "111", "15", "5", "51", "511", "5111", "1x")
 
 
 @define("ARITHMETIC", "ROMAN ROMANO", 1, 2)
 def _to_roman(n: Val, _: Val | None = None) -> Val:
     x, e = V.to_num(n)
-    left, parts = F.floor(x), []
-    for value, sign in _roman():
-        times = F.floor(left / value)
-        parts.append(F.repeat(F.lit(sign), times.cast("int")))
-        left = left - times * value
-    return V.guard(Val(t=F.concat(*parts), e=e), ((x < 0) | (x >= 4000), V.VALUE))
+    shapes = F.array(*(F.lit(d) for d in DIGITS))
+    place = lambda value, signs: F.translate(F.get(shapes, (F.floor(x / value) % 10).cast("int")), "15x", signs)
+    return V.guard(Val(t=F.concat(*(place(value, signs) for value, signs in reversed(ROMAN))), e=e), ((x < 0) | (x >= 4000), V.VALUE))
 
 
 @define("ARITHMETIC", "ARABIC ÁRABE", 1)
 def _to_arabic(text: Val) -> Val:
     t, e = V.to_txt(text)
     t = F.upper(F.trim(t))
-    worth = F.create_map(*(F.lit(x) for value, sign in _roman() if len(sign) == 1 for x in (sign, value)))
+    signs = [(one, value) for value, (one, _, _) in ROMAN] + [(five, 5 * value) for value, (_, five, _) in ROMAN[:3]]
+    worth = F.create_map(*(F.lit(x) for pair in signs for x in pair))
     numbers = F.transform(F.regexp_extract_all(t, F.lit("[A-Z]"), F.lit(0)), lambda c: F.coalesce(F.try_element_at(worth, c), F.lit(0)))
     signed = F.transform(numbers, lambda v, i: F.when(v < F.coalesce(F.get(numbers, i + 1), F.lit(0)), -v).otherwise(v))
     out = F.aggregate(signed, F.lit(0), lambda s, v: s + v)

@@ -135,11 +135,10 @@ def cycles(left: DataFrame) -> DataFrame:
 def risks(cells: DataFrame, formulas: DataFrame, links: DataFrame) -> DataFrame:
     """kind, name, detail: external references, unknown functions, formulas that nothing uses, numbers within formulas."""
     from cellarium.functions.library import FUNCTIONS
-    from cellarium.functions.registry import KNOWN
 
     named = formulas.withColumn("name", node("sheet", "row", "col"))
     known = F.array(*(F.lit(n) for n in sorted([*FUNCTIONS, "LET"])))
-    strange = F.filter(F.transform("functions", lambda f: F.regexp_replace(f, r"^_XLFN\.", "")), lambda f: ~F.array_contains(known, f) | f.rlike(KNOWN.pattern) & ~F.array_contains(known, f))
+    strange = F.filter(F.transform("functions", lambda f: F.regexp_replace(f, r"^_XLFN\.", "")), lambda f: ~F.array_contains(known, f))
     row = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), "name", detail.cast("string").alias("detail"))
     external = row(named.filter("external"), "external_ref", F.col("formula"))
     unknown = row(named.withColumn("u", strange).filter("failed OR size(u) > 0"), "unresolved", F.array_join("u", ","))
