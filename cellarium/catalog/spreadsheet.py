@@ -116,7 +116,6 @@ QUERIES = {
     "xlookup_default": lambda s, d: R.lookup(read(s, d, "part").select("p_partkey"), "p_partkey", read(s, d, "lineitem").filter("l_quantity = 50"), "l_partkey", "l_orderkey", "l_orderkey", -1),
     "index_match": index_match,
     "lookup_asof": lookup_asof,
-    "pattern_pivot": lambda s, d: read(s, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0),
 }
 
 _S = "date_diff('day', DATE '1899-12-30', o_orderdate::DATE)"
@@ -169,5 +168,4 @@ SELECT o_orderpriority, round(avg(o_totalprice), 4) AS trimmed_mean FROM r WHERE
     "index_match": "SELECT c_custkey, r_name AS found FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "lookup_asof": """WITH s AS (SELECT o_custkey AS k, o_orderdate AS t, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), e AS (SELECT o_orderkey, o_custkey AS k, o_orderdate + INTERVAL 40 DAY AS t FROM orders)
 SELECT o_orderkey, v AS found FROM e ASOF LEFT JOIN s ON e.k = s.k AND e.t >= s.t""",
-    "pattern_pivot": "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1",
 }

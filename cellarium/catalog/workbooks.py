@@ -1,7 +1,8 @@
 """Graph and workbook queries over cells made from tables, and their SQL.
 
 The sheet `calc` has a row for each of the first nations' suppliers' totals: inputs in A and B, formulas in C to E that were
-filled down, and totals in G. SQL says what the formulas must give.
+filled down, and totals in G. A second file has a sheet of the same name, with other formulas in the same places and cycles
+that a path joins. SQL says what the formulas must give.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     null = lambda kind: F.lit(None).cast(kind)
     grid = rows.select("r", F.inline(F.array(*(F.struct(F.lit(c).alias("col"), (v if v is not None else null("double")).alias("num"), (f if f is not None else null("string")).alias("formula")) for c, v, f in made))))
     total = spark.sql("SELECT * FROM VALUES (1, 7, '=SUM(C1:C25)'), (2, 7, '=SUMIF(D:D,\">10\")+G1'), (3, 7, '=SUM(IFERROR(E1,0),E2:E25)'), (4, 7, '=UNKNOWN.FN(A1)'), (5, 7, '=G6+1'), (6, 7, '=G5*2'), (7, 7, '=[Other.xlsx]S!A1') t(r, col, formula)")
-    all_rows = grid.unionByName(total.withColumn("num", null("double")))
-    return all_rows.select(F.lit("book").alias("file"), F.lit("calc").alias("sheet"), F.col("r").cast("int").alias("row"), "col", "num", null("string").alias("txt"), null("boolean").alias("bool"), null("string").alias("err"), "formula")
+    other = spark.sql("SELECT * FROM VALUES (1, 1, '=B1+1'), (1, 3, '=A1*2'), (1, 9, '=I2'), (2, 9, '=I1'), (3, 9, '=I2+1'), (4, 9, '=I3+I5'), (5, 9, '=I4'), (6, 9, '=I6+1'), (7, 9, '=I8'), (8, 9, '=I9'), (9, 9, '=I7'), (10, 9, '=I3*2') t(r, col, formula)")
+    other = other.withColumn("num", null("double")).unionByName(spark.sql("SELECT 1 AS r, 2 AS col, CAST(NULL AS STRING) AS formula, 2D AS num"))
+    all_rows = grid.unionByName(total.withColumn("num", null("double"))).withColumn("file", F.lit("book")).unionByName(other.withColumn("file", F.lit("other")))
+    return all_rows.select("file", F.lit("calc").alias("sheet"), F.col("r").cast("int").alias("row"), "col", "num", null("string").alias("txt"), null("boolean").alias("bool"), null("string").alias("err"), "formula")
 
 
 def _values(df: DataFrame) -> DataFrame:
-    return df.select("scenario", "row", "col", F.round("value.n", 6).alias("num"), F.col("value.e").alias("err"))
+    return df.select("scenario", "file", "row", "col", F.round("value.n", 6).alias("num"), F.col("value.e").alias("err"))
 
 
 def workbook_values(s: SparkSession, d: str) -> DataFrame:
@@ -39,66 +42,96 @@ def workbook_values(s: SparkSession, d: str) -> DataFrame:
 
 
 def scenario_recalc(s: SparkSession, d: str) -> DataFrame:
-    changes = s.sql("SELECT * FROM VALUES ('low', 'calc', 2, 1, 5D), ('high', 'calc', 2, 1, 500D), ('high', 'calc', 3, 3, 7D) t(scenario, sheet, row, col, num)")
-    return _values(W.evaluate(cells(s, d), changes)).filter("col = 7 AND row <= 3")
+    changes = s.sql("SELECT * FROM VALUES ('low', 'book', 'calc', 2, 1, 5D), ('high', 'book', 'calc', 2, 1, 500D), ('high', 'book', 'calc', 3, 3, 7D) t(scenario, file, sheet, row, col, num)")
+    return _values(W.evaluate(cells(s, d), changes))
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    c = cells(s, d)
+    return cut(G.edges(c, G.parsed(c)))
 
 
 def dag_edges(s: SparkSession, d: str) -> DataFrame:
     c = cells(s, d)
-    return G.edges(c, G.parsed(c)).select("source", "target")
+    return G.edges(c, G.parsed(c))
 
 
 def dag_levels(s: SparkSession, d: str) -> DataFrame:
-    c = cells(s, d)
-    return G.levels(cut(G.edges(c, G.parsed(c))).select("source", "target"))[0]
+    return G.levels(_links(s, d))[0]
 
 
 def dag_cycles(s: SparkSession, d: str) -> DataFrame:
-    c = cells(s, d)
-    return G.cycles(G.levels(cut(G.edges(c, G.parsed(c))).select("source", "target"))[1])
+    return G.cycles(G.levels(_links(s, d))[1])
+
+
+def dag_roles(s: SparkSession, d: str) -> DataFrame:
+    return G.roles(_links(s, d))
 
 
 def risk_findings(s: SparkSession, d: str) -> DataFrame:
     c = cells(s, d)
     f = cut(G.parsed(c))
-    return G.risks(c, f, G.edges(c, f)).filter("kind <> 'hardcoded_value'").select("kind", "name")
+    return G.risks(c, f, G.edges(c, f)).select("kind", "file", "name")
 
 
 def pattern_classes(s: SparkSession, d: str) -> DataFrame:
-    return W.pattern_classes(G.parsed(cells(s, d))).groupBy("class").count()
+    return W.pattern_classes(G.parsed(cells(s, d))).select("file", "row", "col", "class")
 
 
-def parity_join(s: SparkSession, d: str) -> DataFrame:
+def _parity(s: SparkSession, d: str) -> DataFrame:
     c = cells(s, d)
-    cached = c.withColumn("num", F.when(F.col("col") == 3, F.lit(50.0)).otherwise(F.col("num")))
-    return W.parity(W.evaluate(c), cached).groupBy("status").count()
+    return W.parity(W.evaluate(c), c.withColumn("num", F.when(F.col("col") == 3, F.lit(50.0)).otherwise(F.col("num"))))
+
+
+def parity_join(s: SparkSession, d: str) -> DataFrame:
+    return _parity(s, d).select("file", "row", "col", "status")
+
+
+def parity_score(s: SparkSession, d: str) -> DataFrame:
+    return W.parity_score(_parity(s, d)).withColumn("score", F.round("score", 6))
+
+
+def pattern_pivot(s: SparkSession, d: str) -> DataFrame:
+    """Formulas of each class by what parity says of them."""
+    classes = W.pattern_classes(G.parsed(cells(s, d)))
+    return W.pattern_breakdown(classes, _parity(s, d)).select("class", "PASSED", "FAILED", "SKIPPED_NO_CACHE", "SKIPPED_EXTERNAL_REF")
 
 
 QUERIES = {
     "workbook_values": workbook_values, "scenario_recalc": scenario_recalc, "dag_edges": dag_edges, "dag_levels": dag_levels, "dag_cycles": dag_cycles, "risk_findings": risk_findings,
-    "pattern_classes": pattern_classes, "parity_join": parity_join, "daily_events": lambda s, d: windows.daily(read(s, d, "events")).withColumn("value", F.round("value", 4)),
+    "pattern_classes": pattern_classes, "parity_join": parity_join, "parity_score": parity_score, "pattern_pivot": pattern_pivot, "dag_roles": dag_roles, "daily_events": lambda s, d: windows.daily(read(s, d, "events")).withColumn("value", F.round("value", 4)),
 }
 
-_X = """x AS (SELECT n_nationkey AS a, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS b FROM nation), c AS (SELECT *, a * 2 + b AS c FROM x), e AS (SELECT *, CASE WHEN c > 40 THEN c - b ELSE b END AS d FROM c)"""
-_ALL = f"""WITH {_X}, t AS (SELECT sum(c) AS g1, sum(c) + coalesce(sum(d) FILTER (d > 10), 0) AS g2, sum(d::DOUBLE / a) FILTER (a > 0) AS g3 FROM e), v AS (
-SELECT a + 1 AS row, 1 AS col, a::DOUBLE AS num, NULL AS err FROM e UNION ALL SELECT a + 1, 2, b, NULL FROM e UNION ALL SELECT a + 1, 3, c, NULL FROM e UNION ALL SELECT a + 1, 4, d, NULL FROM e
-UNION ALL SELECT a + 1, 5, d::DOUBLE / nullif(a, 0), CASE WHEN a = 0 THEN '#DIV/0!' END FROM e UNION ALL SELECT 1, 7, g1, NULL FROM t UNION ALL SELECT 2, 7, g2, NULL FROM t UNION ALL SELECT 3, 7, g3, NULL FROM t
-UNION ALL SELECT 4, 7, NULL, '#NAME?' UNION ALL SELECT 5, 7, NULL, '#CYCLE!' UNION ALL SELECT 6, 7, NULL, '#CYCLE!' UNION ALL SELECT 7, 7, NULL, '#EXT!')"""
-_EDGES = f"""WITH {_X}, k AS (SELECT (a + 1)::VARCHAR AS r FROM x), g AS (SELECT 'calc!A' || r AS source, 'calc!C' || r AS target FROM k UNION ALL SELECT 'calc!B' || r, 'calc!C' || r FROM k UNION ALL SELECT 'calc!C' || r, 'calc!D' || r FROM k
+_X = """q(s, v, w) AS (VALUES ('base', NULL, NULL), ('low', 5, NULL), ('high', 500, 7)), x AS (SELECT s, w, n_nationkey AS k, CASE WHEN n_nationkey = 1 THEN coalesce(v, 1) ELSE n_nationkey END AS a,
+(SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS b FROM nation, q), c AS (SELECT *, CASE WHEN k = 2 THEN coalesce(w, a * 2 + b) ELSE a * 2 + b END AS c FROM x), e AS (SELECT *, CASE WHEN c > 40 THEN c - b ELSE b END AS d FROM c)"""
+_ALL = f"""WITH {_X}, t AS (SELECT s, sum(c) AS g1, sum(c) + coalesce(sum(d) FILTER (d > 10), 0) AS g2, sum(d::DOUBLE / a) FILTER (k > 0) AS g3 FROM e GROUP BY s), v AS (
+SELECT s AS scenario, 'book' AS file, k + 1 AS row, 1 AS col, a::DOUBLE AS num, NULL AS err FROM e UNION ALL SELECT s, 'book', k + 1, 2, b, NULL FROM e UNION ALL SELECT s, 'book', k + 1, 3, c, NULL FROM e UNION ALL SELECT s, 'book', k + 1, 4, d, NULL FROM e
+UNION ALL SELECT s, 'book', k + 1, 5, d::DOUBLE / nullif(a, 0), CASE WHEN a = 0 THEN '#DIV/0!' END FROM e UNION ALL SELECT s, 'book', 1, 7, g1, NULL FROM t UNION ALL SELECT s, 'book', 2, 7, g2, NULL FROM t UNION ALL SELECT s, 'book', 3, 7, g3, NULL FROM t
+UNION ALL SELECT s, f, r, c, n, e FROM q, (VALUES ('book', 4, 7, NULL, '#NAME?'), ('book', 5, 7, NULL, '#CYCLE!'), ('book', 6, 7, NULL, '#CYCLE!'), ('book', 7, 7, NULL, '#EXT!'), ('other', 1, 1, 3, NULL), ('other', 1, 2, 2, NULL), ('other', 1, 3, 6, NULL)) o(f, r, c, n, e)
+UNION ALL SELECT s, 'other', i, 9, NULL, '#CYCLE!' FROM q, range(1, 11) r(i))"""
+_EDGES = """WITH k AS (SELECT (n_nationkey + 1)::VARCHAR AS r FROM nation), b AS (SELECT 'calc!A' || r AS source, 'calc!C' || r AS target FROM k UNION ALL SELECT 'calc!B' || r, 'calc!C' || r FROM k UNION ALL SELECT 'calc!C' || r, 'calc!D' || r FROM k
 UNION ALL SELECT 'calc!B' || r, 'calc!D' || r FROM k UNION ALL SELECT 'calc!D' || r, 'calc!E' || r FROM k UNION ALL SELECT 'calc!A' || r, 'calc!E' || r FROM k UNION ALL SELECT 'calc!C' || r, 'calc!G1' FROM k UNION ALL SELECT 'calc!D' || r, 'calc!G2' FROM k
-UNION ALL SELECT 'calc!G1', 'calc!G2' UNION ALL SELECT 'calc!E' || r, 'calc!G3' FROM k UNION ALL SELECT 'calc!A1', 'calc!G4' UNION ALL SELECT 'calc!G6', 'calc!G5' UNION ALL SELECT 'calc!G5', 'calc!G6')"""
+UNION ALL SELECT 'calc!G1', 'calc!G2' UNION ALL SELECT 'calc!E' || r, 'calc!G3' FROM k UNION ALL SELECT 'calc!A1', 'calc!G4' UNION ALL SELECT 'calc!G6', 'calc!G5' UNION ALL SELECT 'calc!G5', 'calc!G6'),
+g AS (SELECT 'book' AS file, source, target FROM b UNION ALL SELECT 'other', 'calc!' || s, 'calc!' || t FROM (VALUES ('B1', 'A1'), ('A1', 'C1'), ('I2', 'I1'), ('I1', 'I2'), ('I2', 'I3'), ('I3', 'I4'), ('I5', 'I4'), ('I4', 'I5'), ('I6', 'I6'), ('I8', 'I7'), ('I9', 'I8'), ('I7', 'I9'), ('I3', 'I10')) o(s, t))"""
+_FORMULAS = """WITH k AS (SELECT n_nationkey + 1 AS row, n_nationkey * 2 + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS c FROM nation), f AS (SELECT 'book' AS file, row, 3 AS col, 'ARITHMETIC' AS class, CASE WHEN c = 50 THEN 'PASSED' ELSE 'FAILED' END AS status FROM k
+UNION ALL SELECT 'book', row, 4, 'CONDITIONAL', 'SKIPPED_NO_CACHE' FROM k UNION ALL SELECT 'book', row, 5, 'ARITHMETIC', 'SKIPPED_NO_CACHE' FROM k UNION ALL SELECT 'book', i, 7, 'AGGREGATION', 'SKIPPED_NO_CACHE' FROM range(1, 4) r(i) UNION ALL SELECT 'book', 4, 7, 'UNRESOLVED', 'SKIPPED_NO_CACHE'
+UNION ALL SELECT 'book', i, 7, 'ARITHMETIC', 'SKIPPED_NO_CACHE' FROM range(5, 7) r(i) UNION ALL SELECT 'book', 7, 7, 'EXTERNAL_REF', 'SKIPPED_EXTERNAL_REF' UNION ALL SELECT 'other', 1, 1, 'ARITHMETIC', 'SKIPPED_NO_CACHE' UNION ALL SELECT 'other', 1, 3, 'ARITHMETIC', 'FAILED'
+UNION ALL SELECT 'other', i, 9, 'ARITHMETIC', 'SKIPPED_NO_CACHE' FROM range(1, 11) r(i))"""
 
 ORACLE_SQL = {
-    "workbook_values": f"{_ALL} SELECT 'base' AS scenario, row, col, round(num, 6) AS num, err FROM v",
-    "scenario_recalc": f"""WITH {_X.replace("SELECT n_nationkey AS a,", "SELECT s AS s, n_nationkey AS k, CASE WHEN n_nationkey = 1 THEN v ELSE n_nationkey END AS a,").replace("FROM nation)", "FROM nation, (VALUES ('low', 5), ('high', 500)) q(s, v))").replace("a * 2 + b AS c", "CASE WHEN s = 'high' AND k = 2 THEN 7 ELSE a * 2 + b END AS c")},
-t AS (SELECT s, sum(c) AS g1, sum(c) + coalesce(sum(d) FILTER (d > 10), 0) AS g2, sum(d::DOUBLE / a) FILTER (k > 0) AS g3 FROM e GROUP BY s)
-SELECT s AS scenario, 1 AS row, 7 AS col, g1::DOUBLE AS num, NULL AS err FROM t UNION ALL SELECT s, 2, 7, g2, NULL FROM t UNION ALL SELECT s, 3, 7, round(g3, 6), NULL FROM t""",
-    "dag_edges": f"{_EDGES} SELECT source, target FROM g",
-    "dag_levels": f"""{_EDGES}, m AS (SELECT DISTINCT source AS name FROM g UNION SELECT target FROM g) SELECT name, CASE WHEN name[6:6] IN ('A', 'B') THEN 0 WHEN name[6:6] = 'C' THEN 1 WHEN name[6:6] = 'D' OR name = 'calc!G1' THEN 2
-WHEN name[6:6] = 'E' OR name = 'calc!G2' THEN 3 WHEN name = 'calc!G3' THEN 4 ELSE 1 END AS level FROM m WHERE name NOT IN ('calc!G5', 'calc!G6')""",
-    "dag_cycles": "SELECT * FROM (VALUES ('calc!G5', 'calc!G5', 2::BIGINT, 'direct'), ('calc!G6', 'calc!G5', 2, 'direct')) t(name, cycle, size, kind)",
-    "risk_findings": "SELECT * FROM (VALUES ('external_ref', 'calc!G7'), ('unresolved', 'calc!G4'), ('orphan_cell', 'calc!G2'), ('orphan_cell', 'calc!G3'), ('orphan_cell', 'calc!G4'), ('orphan_cell', 'calc!G7')) t(kind, name)",
-    "pattern_classes": "SELECT * FROM (VALUES ('ARITHMETIC', 52::BIGINT), ('CONDITIONAL', 25), ('AGGREGATION', 3), ('UNRESOLVED', 1), ('EXTERNAL_REF', 1)) t(class, count)",
-    "parity_join": f"WITH {_X} SELECT 'PASSED' AS status, count(*) AS count FROM e WHERE c = 50 HAVING count(*) > 0 UNION ALL SELECT 'FAILED', count(*) FROM e WHERE c <> 50 HAVING count(*) > 0 UNION ALL SELECT 'SKIPPED_NO_CACHE', 56 UNION ALL SELECT 'SKIPPED_EXTERNAL_REF', 1",
+    "workbook_values": f"{_ALL} SELECT scenario, file, row, col, round(num, 6) AS num, err FROM v WHERE scenario = 'base'",
+    "scenario_recalc": f"{_ALL} SELECT scenario, file, row, col, round(num, 6) AS num, err FROM v WHERE scenario <> 'base'",
+    "dag_edges": f"{_EDGES} SELECT file, source, target FROM g",
+    "dag_levels": f"""{_EDGES}, m AS (SELECT DISTINCT file, source AS name FROM g UNION SELECT file, target FROM g) SELECT file, name, CASE WHEN file = 'other' THEN CASE name[6:6] WHEN 'B' THEN 0 WHEN 'A' THEN 1 ELSE 2 END WHEN name[6:6] IN ('A', 'B') THEN 0 WHEN name[6:6] = 'C' THEN 1
+WHEN name[6:6] = 'D' OR name = 'calc!G1' THEN 2 WHEN name[6:6] = 'E' OR name = 'calc!G2' THEN 3 WHEN name = 'calc!G3' THEN 4 ELSE 1 END AS level FROM m WHERE NOT (file = 'book' AND name IN ('calc!G5', 'calc!G6')) AND NOT (file = 'other' AND name[6:6] = 'I')""",
+    "dag_cycles": """SELECT * FROM (VALUES ('book', 'calc!G5', 'calc!G5', 2::BIGINT, 'direct'), ('book', 'calc!G6', 'calc!G5', 2, 'direct'), ('other', 'calc!I1', 'calc!I1', 2, 'direct'), ('other', 'calc!I2', 'calc!I1', 2, 'direct'), ('other', 'calc!I4', 'calc!I4', 2, 'direct'),
+('other', 'calc!I5', 'calc!I4', 2, 'direct'), ('other', 'calc!I6', 'calc!I6', 1, 'self'), ('other', 'calc!I7', 'calc!I7', 3, 'indirect'), ('other', 'calc!I8', 'calc!I7', 3, 'indirect'), ('other', 'calc!I9', 'calc!I7', 3, 'indirect')) t(file, name, cycle, size, kind)""",
+    "dag_roles": f"{_EDGES}, m AS (SELECT DISTINCT file, source AS name FROM g UNION SELECT file, target FROM g) SELECT file, name, CASE WHEN NOT EXISTS (FROM g WHERE g.file = m.file AND g.target = m.name) THEN 'input' WHEN NOT EXISTS (FROM g WHERE g.file = m.file AND g.source = m.name) THEN 'output' ELSE 'intermediate' END AS role FROM m",
+    "risk_findings": """SELECT kind, file, 'calc!' || n AS name FROM (VALUES ('external_ref', 'book', 'G7'), ('unresolved', 'book', 'G4'), ('orphan_cell', 'book', 'G2'), ('orphan_cell', 'book', 'G3'), ('orphan_cell', 'book', 'G4'), ('orphan_cell', 'book', 'G7'), ('orphan_cell', 'other', 'C1'), ('orphan_cell', 'other', 'I10'),
+('hardcoded_value', 'book', 'G6'), ('hardcoded_value', 'other', 'C1'), ('hardcoded_value', 'other', 'I10')) t(kind, file, n) UNION ALL SELECT 'hardcoded_value', 'book', 'calc!' || c || (n_nationkey + 1) FROM nation, (VALUES ('C'), ('D')) o(c)""",
+    "pattern_classes": f"{_FORMULAS} SELECT file, row, col, class FROM f",
+    "parity_join": f"{_FORMULAS} SELECT file, row, col, status FROM f",
+    "parity_score": f"{_FORMULAS}, n AS (SELECT count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status IN ('PASSED', 'FAILED')) AS counted FROM f) SELECT passed, counted, round(passed / counted, 6) AS score, CASE WHEN passed = counted THEN 'PASSED' WHEN passed > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM n",
+    "pattern_pivot": f"{_FORMULAS} SELECT class, count(*) FILTER (status = 'PASSED') AS PASSED, count(*) FILTER (status = 'FAILED') AS FAILED, count(*) FILTER (status = 'SKIPPED_NO_CACHE') AS SKIPPED_NO_CACHE, count(*) FILTER (status = 'SKIPPED_EXTERNAL_REF') AS SKIPPED_EXTERNAL_REF FROM f GROUP BY class",
     "daily_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }

@@ -22,7 +22,7 @@ FEW = 50_000
 
 
 def parsed(cells: DataFrame) -> DataFrame:
-    """The formulas of cells with what is in them; distinct templates are few, as cells are filled down."""
+    """The formulas of cells with what is in them. References that name no sheet are to the formula's own."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from cellarium.functions import formula as X
@@ -47,7 +47,8 @@ def references(formulas: DataFrame) -> DataFrame:
 
 
 def edges(cells: DataFrame, formulas: DataFrame) -> DataFrame:
-    """source and target (sheet!row:col) of each existing cell that a formula uses, and of single cells that don't exist."""
+    """file, and source and target (as Sheet!A1) of each existing cell that a formula uses, and of single cells that don't
+    exist. Files are apart: a name counts within its file."""
     refs = references(formulas)
     single = (F.col("ref_top") == F.col("ref_bottom")) & (F.col("ref_left") == F.col("ref_right"))
     direct = refs.filter(single).select(*NODE, F.col("ref_sheet").alias("s"), F.col("ref_top").alias("r"), F.col("ref_left").alias("c"))
@@ -64,8 +65,8 @@ def node(sheet: str, row: str, col: str) -> F.Column:
     return F.concat(F.col(sheet), F.lit("!"), letters(F.col(col)), F.col(row).cast("string"))
 
 
-def _levels_here(links: list[tuple[str, str]]) -> dict[str, int]:
-    """The levels of the nodes that are on no cycle and after none."""
+def _levels_here(links: list[tuple]) -> dict[tuple, int]:
+    """The levels of the nodes that are on no cycle and after none, from pairs of nodes."""
     users, waits = defaultdict(list), Counter()
     for source, target in links:
         users[source].append(target)
@@ -83,82 +84,118 @@ def _levels_here(links: list[tuple[str, str]]) -> dict[str, int]:
 
 
 def levels(links: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """name, level of each node (0: uses nothing), and the links among nodes in cycles or after them, which have none. Up to
-    FEW links are sorted on the driver, more of them in a round of joins per level, however many levels there are."""
-    left, done, level = cut(links), None, 0
+    """file, name, level of each node (0: uses nothing), and the links among nodes in cycles or after them, which have none.
+    Up to FEW links are sorted on the driver, more of them in a round of joins per level, however many levels there are."""
+    left, done, level = cut(links.select("file", "source", "target")), None, 0
     spark = links.sparkSession
     if left.limit(FEW + 1).count() <= FEW:
-        pairs = [(r.source, r.target) for r in left.collect()]
+        pairs = [((r.file, r.source), (r.file, r.target)) for r in left.collect()]
         found = _levels_here(pairs)
         if most is not None and max(found.values(), default=0) >= most:
             raise ValueError(f"formulas depend on each other over more than {most} levels")
-        stuck = [r for r in pairs if r[0] not in found]
-        return spark.createDataFrame(list(found.items()), "name string, level int"), spark.createDataFrame(stuck, "source string, target string")
-    names = cut(links.select(F.explode(F.array("source", "target")).alias("name")).distinct())
+        stuck = [(*a, b[1]) for a, b in pairs if a not in found]
+        order = [(file, name, n) for (file, name), n in found.items()]
+        return spark.createDataFrame(order, "file string, name string, level int"), spark.createDataFrame(stuck, "file string, source string, target string")
+    names = cut(links.select("file", F.explode(F.array("source", "target")).alias("name")).distinct())
     todo, width = names, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while most is None or level <= most:
-        ready = todo.join(left.select(F.col("target").alias("name")).distinct(), "name", "left_anti")
+        ready = todo.join(left.select("file", F.col("target").alias("name")).distinct(), ["file", "name"], "left_anti")
         ready = cut(ready.withColumn("level", F.lit(level)))
         if ready.limit(1).count() == 0:
             break
         done = cut((ready if done is None else done.unionByName(ready)).coalesce(width))
-        todo = cut(todo.join(ready, "name", "left_anti"))
-        left = cut(left.join(ready.select(F.col("name").alias("source")), "source", "left_anti"))
+        todo = cut(todo.join(ready, ["file", "name"], "left_anti"))
+        left = cut(left.join(ready.select("file", F.col("name").alias("source")), ["file", "source"], "left_anti"))
         level += 1
     else:
         raise ValueError(f"formulas depend on each other over more than {most} levels")
     return done if done is not None else names.limit(0).withColumn("level", F.lit(0)), left
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """links without those of nodes that nothing leads to or that lead nowhere, as these are on no cycle."""
+    while True:
+        kept = links.join(links.select("file", F.col("source").alias("target")).distinct(), ["file", "target"], "left_semi")
+        kept = cut(kept.join(links.select("file", F.col("target").alias("source")).distinct(), ["file", "source"], "left_semi").select("file", "source", "target"))
+        if kept.count() == links.count():
+            return kept
+        links = kept
+
+
+def _least_reaching(links: DataFrame) -> DataFrame:
+    """file, name, least: the least node from which each node is reached along links (itself included)."""
+    found = cut(links.select("file", F.explode(F.array("source", "target")).alias("name")).distinct().withColumn("least", F.col("name")))
+    while True:
+        step = links.join(found.withColumnRenamed("name", "source"), ["file", "source"]).groupBy("file", F.col("target").alias("name")).agg(F.min("least").alias("near"))
+        new = cut(found.join(step, ["file", "name"], "left").select("file", "name", F.least("least", "near").alias("least"), (F.col("near") < F.col("least")).alias("moved")))
+        moved = new.filter("moved").limit(1).count()
+        found = new.drop("moved")
+        if not moved:
+            return found
+
+
 def cycles(left: DataFrame) -> DataFrame:
-    """name, cycle (its least member), size, kind (self, direct, indirect) of the nodes on cycles, from what levels() left."""
-    own = left.filter("source = target").select(F.col("source").alias("name"), F.col("source").alias("cycle"), F.lit(1).cast("long").alias("size"), F.lit("self").alias("kind"))
-    rest = cut(left.filter("source <> target").select("source", "target"))
-    while True:  # what nothing depends on is on no cycle
-        kept = rest.join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        kept = cut(kept.select("source", "target"))
-        if kept.count() == rest.count():
-            break
-        rest = kept
-    both = rest.select("source", "target").union(rest.select(F.col("target"), F.col("source"))).distinct()
-    label = cut(both.select(F.col("source").alias("name"), F.col("source").alias("cycle")).distinct())
+    """file, name, cycle (its least member), size, kind (self, direct, indirect) of the nodes on cycles, from what levels()
+    left. A cycle is a strongly connected component: nodes that reach each other.
+
+    In each round a node takes the least node that reaches it. Those that also reach that node back are its component;
+    they go, and links between nodes of different least ones can be on no cycle, so they go, too."""
+    own = left.filter("source = target").select("file", F.col("source").alias("name"), F.col("source").alias("cycle"), F.lit(1).cast("long").alias("size"), F.lit("self").alias("kind"))
+    rest, done = cut(left.filter("source <> target").select("file", "source", "target").distinct()), None
     while True:
-        spread = both.join(label, both.target == label.name).groupBy("source").agg(F.min("cycle").alias("near"))
-        new = cut(label.join(spread, label.name == spread.source, "left").select("name", F.least("cycle", "near").alias("cycle")))
-        if new.join(label.withColumnRenamed("cycle", "old"), "name").filter("cycle <> old").limit(1).count() == 0:
+        rest = _trimmed(rest)
+        if rest.limit(1).count() == 0:
             break
-        label = new
-    sized = label.join(label.groupBy("cycle").agg(F.count("*").alias("size")), "cycle")
-    return own.unionByName(sized.select("name", "cycle", "size", F.when(F.col("size") == 2, "direct").otherwise("indirect").alias("kind")))
+        least = _least_reaching(rest)
+        ends = least.select("file", F.col("name").alias("source"), F.col("least").alias("a"))
+        rest = rest.join(ends, ["file", "source"]).join(ends.select("file", F.col("source").alias("target"), F.col("a").alias("b")), ["file", "target"])
+        rest = cut(rest.filter("a = b").select("file", "source", "target", "a"))
+        # Backwards from each least node within what it reaches.
+        back = cut(rest.select("file", F.col("a").alias("name"), "a").distinct())
+        while True:
+            more = rest.join(back.select("file", F.col("name").alias("target"), "a"), ["file", "target", "a"]).select("file", F.col("source").alias("name"), "a").distinct()
+            new = cut(back.union(more).distinct())
+            if new.count() == back.count():
+                break
+            back = new
+        done = cut(back if done is None else done.union(back))
+        gone = back.select("file", "name")
+        rest = rest.join(gone.withColumnRenamed("name", "source"), ["file", "source"], "left_anti").join(gone.withColumnRenamed("name", "target"), ["file", "target"], "left_anti")
+        rest = cut(rest.select("file", "source", "target"))
+    if done is None:
+        return own
+    sizes = done.groupBy("file", "a").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = done.join(sizes, ["file", "a"])
+    return own.unionByName(sized.select("file", "name", F.col("a").alias("cycle"), "size", F.when(F.col("size") == 2, "direct").otherwise("indirect").alias("kind")))
 
 
 def risks(cells: DataFrame, formulas: DataFrame, links: DataFrame) -> DataFrame:
-    """kind, name, detail: external references, unknown functions, formulas that nothing uses, numbers within formulas."""
+    """kind, file, name, detail: external references, unknown functions, formulas that nothing uses, numbers within formulas."""
     from cellarium.functions.library import FUNCTIONS
 
     named = formulas.withColumn("name", node("sheet", "row", "col"))
     known = F.array(*(F.lit(n) for n in sorted([*FUNCTIONS, "LET"])))
     strange = F.filter(F.transform("functions", lambda f: F.regexp_replace(f, r"^_XLFN\.", "")), lambda f: ~F.array_contains(known, f))
-    row = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), "name", detail.cast("string").alias("detail"))
+    row = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), "file", "name", detail.cast("string").alias("detail"))
     external = row(named.filter("external"), "external_ref", F.col("formula"))
     unknown = row(named.withColumn("u", strange).filter("failed OR size(u) > 0"), "unresolved", F.array_join("u", ","))
-    used = links.select(F.col("source").alias("name")).distinct()
-    orphan = row(named.join(used, "name", "left_anti"), "orphan_cell", F.col("formula"))
+    used = links.select("file", F.col("source").alias("name")).distinct()
+    orphan = row(named.join(used, ["file", "name"], "left_anti"), "orphan_cell", F.col("formula"))
     fixed = F.filter("constants", lambda c: ~c.isin(0.0, 1.0))
     hard = row(named.withColumn("k", fixed).filter("size(k) > 0"), "hardcoded_value", F.array_join(F.transform("k", lambda c: c.cast("string")), ","))
     return external.unionByName(unknown).unionByName(orphan).unionByName(hard)
 
 
 def roles(links: DataFrame) -> DataFrame:
-    """name, role: input (used, uses nothing), output (uses, not used), intermediate."""
-    s, t = links.select(F.col("source").alias("name")).distinct(), links.select(F.col("target").alias("name")).distinct()
-    both = s.withColumn("used", F.lit(True)).join(t.withColumn("uses", F.lit(True)), "name", "full")
-    return both.select("name", F.when(F.col("uses").isNull(), "input").when(F.col("used").isNull(), "output").otherwise("intermediate").alias("role"))
+    """file, name, role: input (used, uses nothing), output (uses, not used), intermediate."""
+    s, t = (links.select("file", F.col(c).alias("name")).distinct() for c in ("source", "target"))
+    both = s.withColumn("used", F.lit(True)).join(t.withColumn("uses", F.lit(True)), ["file", "name"], "full")
+    return both.select("file", "name", F.when(F.col("uses").isNull(), "input").when(F.col("used").isNull(), "output").otherwise("intermediate").alias("role"))
 
 
 def staged(links: DataFrame, most: int = 150) -> tuple[DataFrame, DataFrame]:
     """The nodes and links of a picture: at most so many nodes, outputs first, then inputs, then what lies between."""
     order = F.when(F.col("role") == "output", 0).when(F.col("role") == "input", 1).otherwise(2)
-    nodes = roles(links).orderBy(order, "name").limit(most)
-    ends = [nodes.select(F.col("name").alias(c)) for c in ("source", "target")]
-    return nodes, links.select("source", "target").join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")
+    nodes = roles(links).orderBy(order, "name", "file").limit(most)
+    ends = [nodes.select("file", F.col("name").alias(c)) for c in ("source", "target")]
+    return nodes, links.select("file", "source", "target").join(ends[0], ["file", "source"], "left_semi").join(ends[1], ["file", "target"], "left_semi")

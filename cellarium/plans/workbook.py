@@ -38,24 +38,27 @@ def pattern_classes(formulas: DataFrame) -> DataFrame:
 
 
 def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels: int | None = None) -> DataFrame:
-    """scenario, file, sheet, row, col, value (a CELL) of all cells. overrides(scenario, sheet, row, col, num) change inputs, or
-    replace formulas; without them there is one scenario, "base". Cells on a cycle or after one get #CYCLE!."""
+    """scenario, file, sheet, row, col, value (a CELL) of all cells. overrides(scenario, file, sheet, row, col, num) change inputs,
+    or replace formulas (without a column file, or where it is null, in all files); without overrides there is one scenario,
+    "base". Cells on a cycle or after one get #CYCLE!. Files are apart."""
     spark = cells.sparkSession
     formulas = cut(G.parsed(cells))
     links = cut(G.edges(cells, formulas))
-    order, stuck = G.levels(links.select("source", "target"), most_levels)
+    order, stuck = G.levels(links, most_levels)
     names = formulas.withColumn("name", G.node("sheet", "row", "col"))
-    levelled = cut(names.join(order, "name", "left").withColumn("level", F.coalesce("level", F.when(F.size("refs") == 0, 0))))
-    stuck_names = stuck.select(F.col("target").alias("name")).distinct()
-    levelled = cut(levelled.join(stuck_names.withColumn("stuck", F.lit(True)), "name", "left").withColumn("level", F.when(F.col("stuck"), None).otherwise(F.coalesce("level", F.lit(0)))))
+    levelled = names.join(order, ["file", "name"], "left")
+    stuck_names = stuck.select("file", F.col("target").alias("name")).distinct().withColumn("stuck", F.lit(True))
+    # A formula without references is on level 0; one that is stuck has no level.
+    levelled = cut(levelled.join(stuck_names, ["file", "name"], "left").withColumn("level", F.when(F.col("stuck"), None).otherwise(F.coalesce("level", F.lit(0)))))
     if overrides is None:
-        overrides = spark.createDataFrame([], "scenario string, sheet string, row int, col int, num double")
+        overrides = spark.createDataFrame([], "scenario string, file string, sheet string, row int, col int, num double")
         scenarios = spark.createDataFrame([("base",)], "scenario string")
     else:
         scenarios = overrides.select("scenario").distinct()
-    changed = overrides.select("scenario", F.col("sheet").alias("os"), F.col("row").alias("orow"), F.col("col").alias("ocol"), F.col("num").alias("onum"))
+    which = F.col("file") if "file" in overrides.columns else F.lit(None).cast("string")
+    changed = overrides.select("scenario", which.alias("ofile"), F.col("sheet").alias("os"), F.col("row").alias("orow"), F.col("col").alias("ocol"), F.col("num").alias("onum"))
     base = cells.crossJoin(F.broadcast(scenarios))  # as many copies of the inputs as scenarios
-    here = (base.scenario == changed.scenario) & (base.sheet == changed.os) & (base.row == changed.orow) & (base.col == changed.ocol)
+    here = (base.scenario == changed.scenario) & F.coalesce(changed.ofile == base.file, F.lit(True)) & (base.sheet == changed.os) & (base.row == changed.orow) & (base.col == changed.ocol)
     base = base.join(F.broadcast(changed), here, "left").select(base.scenario, *(base[c] for c in G.NODE), "formula", _cell().alias("own"), "onum", F.col("orow").isNotNull().alias("fixed"))
     new = F.struct(F.col("onum").alias("n"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("string").alias("e"))
     state = cut(base.filter("formula IS NULL OR fixed").select(*KEY, F.when(F.col("fixed"), new).otherwise(F.col("own")).alias("value")))
@@ -122,6 +125,15 @@ def parity(computed: DataFrame, cells: DataFrame) -> DataFrame:
     return both.select("scenario", *G.NODE, "formula", text(want).alias("expected"), text(got).alias("actual"), status.alias("status"))
 
 
+STATUSES = ("PASSED", "FAILED", "ERROR", "SKIPPED_NO_CACHE", "SKIPPED_EXTERNAL_REF")
+
+
+def pattern_breakdown(classes: DataFrame, results: DataFrame) -> DataFrame:
+    """class, total and a count of each of STATUSES: the formulas of classes() by what parity says of them."""
+    both = classes.select(*G.NODE, "class").join(results.select(*G.NODE, "status"), G.NODE)
+    return both.groupBy("class").agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
+
+
 def parity_score(results: DataFrame) -> DataFrame:
     """score and status of all results; skipped ones don't count, and nothing counts as a pass."""
     counts = results.agg(F.count_if(F.col("status") == "PASSED").alias("passed"), F.count_if(~F.col("status").startswith("SKIPPED")).alias("counted"))
@@ -138,7 +150,7 @@ def diagnose(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     cells = cut(xlsx.cells(spark, path))
     formulas = cut(G.parsed(cells))
     links = cut(G.edges(cells, formulas))
-    order, stuck = G.levels(links.select("source", "target"))
+    order, stuck = G.levels(links)
     return {"compatibility": xlsx.compatibility(spark, path), "classes": pattern_classes(formulas), "links": links, "levels": order, "cycles": G.cycles(stuck), "risks": G.risks(cells, formulas, links), "roles": G.roles(links)}
 
 

@@ -117,7 +117,7 @@ def test_parity_and_seal(spark):
 
 
 def test_levels_of_diamonds_and_chains(spark):
-    df = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "source string, target string")
+    df = spark.createDataFrame([("f", "a", "b"), ("f", "a", "c"), ("f", "b", "d"), ("f", "c", "d"), ("f", "d", "e")], "file string, source string, target string")
     order, left = G.levels(df)
     assert {r.name: r.level for r in order.collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3} and left.count() == 0
     with pytest.raises(ValueError, match="levels"):
@@ -128,15 +128,38 @@ def test_levels_of_diamonds_and_chains(spark):
 
 def test_levels_have_no_limit(spark, monkeypatch):
     chain = [(f"C{i}", f"C{i + 1}") for i in range(1, 1001)] + [(f"B{i}", f"C{i}") for i in range(2, 1002)] + [("X", "Y"), ("Y", "X"), ("Y", "Z")]
-    order, left = G.levels(spark.createDataFrame(chain, "source string, target string"))
+    links = lambda rows: spark.createDataFrame([("f", *r) for r in rows], "file string, source string, target string")
+    order, left = G.levels(links(chain))
     found = {r.name: r.level for r in order.collect()}
     assert found == {f"B{i}": 0 for i in range(2, 1002)} | {f"C{i}": i - 1 for i in range(1, 1002)}
-    assert {tuple(r) for r in left.collect()} == {("X", "Y"), ("Y", "X"), ("Y", "Z")}
+    assert {tuple(r)[1:] for r in left.collect()} == {("X", "Y"), ("Y", "X"), ("Y", "Z")}
     monkeypatch.setattr(G, "FEW", 0)  # in rounds of joins
-    short = spark.createDataFrame([r for r in chain if r[1] in ("C2", "C3", "C4", "X", "Y", "Z")], "source string, target string")
-    order, left = G.levels(short)
+    order, left = G.levels(links([r for r in chain if r[1] in ("C2", "C3", "C4", "X", "Y", "Z")]))
     assert {r.name: r.level for r in order.collect()} == {"B2": 0, "B3": 0, "B4": 0, "C1": 0, "C2": 1, "C3": 2, "C4": 3}
-    assert {tuple(r) for r in left.collect()} == {("X", "Y"), ("Y", "X"), ("Y", "Z")}
+    assert {(r.source, r.target) for r in left.collect()} == {("X", "Y"), ("Y", "X"), ("Y", "Z")}
+
+
+def test_cycles_are_strong_components(spark, monkeypatch):
+    """Cycles that a path joins are apart, what lies between or after is on none, and files are apart; on the driver and in rounds."""
+    import random
+
+    random.seed(4)
+    links = {(random.randrange(30), random.randrange(30)) for _ in range(45)}
+    reach = {a: {a} for a in range(30)}
+    for _ in range(30):
+        for a, b in links:
+            for r in reach.values():
+                if a in r:
+                    r.add(b)
+    name = lambda i: f"N{i:02d}"
+    want = {(name(a), name(min(b for b in reach[a] if a in reach[b])), sum(a in reach[b] for b in reach[a])) for a in range(30) if sum(a in reach[b] for b in reach[a]) > 1}
+    rows = [("f", name(a), name(b)) for a, b in links] + [("g", "N01", "N02"), ("g", "N02", "N03")]
+    df = spark.createDataFrame(rows, "file string, source string, target string")
+    for few in (50_000, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        found = G.cycles(G.levels(df)[1]).collect()
+        assert {(r.name, r.cycle, r.size) for r in found if r.kind != "self"} == want and {r.file for r in found} == {"f"}
+        assert {r.name for r in found if r.kind == "self"} == {name(a) for a, b in links if a == b}
 
 
 def test_daily_stream_equals_daily_table(spark, tmp_path):
