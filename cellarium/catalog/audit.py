@@ -55,7 +55,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return read(spark, sf_dir, "customer").select(
         F.col("c_name").alias("customer_id"), F.when(key % 3 != 0, F.concat(F.lit("+55 "), key.cast("string"))).alias("phone"),
-        F.when(key % 5 == 0, "").when(key % 5 == 1, F.concat((key - 1).cast("string"), F.lit(".000-00"))).otherwise(F.concat(key.cast("string"), F.lit("00000"))).alias("document"),
+        F.when(key % 5 == 0, "").when(key % 5 == 2, F.concat((key - 1).cast("string"), F.lit(".000-00"))).otherwise(F.concat(key.cast("string"), F.lit("00000"))).alias("document"),
     )
 
 
@@ -120,7 +120,7 @@ stock AS (
 _CUSTOMERS = """
 people AS (
   SELECT c_name AS customer_id, CASE WHEN c_custkey % 3 <> 0 THEN '+55 ' || c_custkey END AS phone,
-    CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN (c_custkey - 1) || '.000-00' ELSE c_custkey || '00000' END AS document
+    CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 2 THEN (c_custkey - 1) || '.000-00' ELSE c_custkey || '00000' END AS document
   FROM customer
 )"""
 _PNL = f"""

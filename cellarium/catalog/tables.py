@@ -124,7 +124,7 @@ QUERIES = {
     "column_profile": column_profile, "kpi_rates": lambda s, d: L.kpi_rates(_spend(s, d), "l_returnflag", "l_quantity"),
     "group_distribution": lambda s, d: L.group_sums(_spend(s, d), "l_linestatus", "l_quantity"),
     "entity_ranking_topk": lambda s, d: L.group_sums(_spend(s, d), "l_suppkey", "l_quantity").limit(L.TOP),
-    "concentration": lambda s, d: L.concentration(L.kpi_rates(_spend(s, d).filter("l_returnflag <> 'A'"), "l_returnflag", "l_quantity")),
+    "concentration": lambda s, d: L.concentration(L.kpi_rates(_spend(s, d), "l_linestatus", "l_quantity")),
 }
 
 _RAW = """r AS (SELECT o_orderkey AS k, o_orderdate, o_orderpriority, o_custkey, round(o_totalprice, 2) AS p FROM orders)"""
@@ -154,5 +154,5 @@ t(position, name, type, semantic_role, business_role, cardinality)""",
 UNION ALL SELECT k || '_rate', v / t, v, t, 'ok' FROM g""",
     "group_distribution": "SELECT l_linestatus AS key, sum(l_quantity) AS value FROM lineitem GROUP BY 1",
     "entity_ranking_topk": "SELECT l_suppkey::VARCHAR AS key, sum(l_quantity) AS value FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
-    "concentration": f"WITH g AS ({_KPI.format(chr(10) + 'WHERE l_returnflag <> ' + chr(39) + 'A' + chr(39))}) SELECT 'concentration' AS type, 'high' AS severity, k || '_rate' AS metric, v / t AS value FROM g WHERE v / t > 0.5",
+    "concentration": "WITH g AS (SELECT l_linestatus AS k, sum(l_quantity) AS v, sum(sum(l_quantity)) OVER () AS t FROM lineitem GROUP BY 1) SELECT 'concentration' AS type, 'high' AS severity, k || '_rate' AS metric, v / t AS value FROM g WHERE v / t > 0.5",
 }

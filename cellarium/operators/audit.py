@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellarium.operators.ranges import ranked
 from cellarium.operators.thresholds import DAYS_PER_MONTH, NO_CUSTOMER, NO_SALESPERSON, NO_STORE, PLACEHOLDERS, Thresholds
 
 SALES = (
@@ -140,23 +141,17 @@ def quantile_score(rank: Column, n: Column, bins: int) -> Column:
 
 
 def rfm_champions(sales: DataFrame, t: Thresholds) -> DataFrame:
-    """Active customers in the top bin by frequency and by money.
-
-    Ranks are global: they order one row a customer in one task after the grouped aggregate. Ranking by ranges of the
-    aggregate would spread it; what reaches the task here is 24 bytes a customer."""
+    """Active customers in the top bin by frequency and by money. Ranks are taken in ranges, so no task sorts all customers."""
     rows = sales.filter(known(F.col("customer"), NO_CUSTOMER) & not_service(t))
     people = rows.groupBy("customer").agg(
         F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("date").alias("frequency"), F.sum("value").alias("monetary")
     )
     people = people.crossJoin(F.broadcast(rows.agg(F.max("date").alias("newest"))))
-    people = people.withColumn("recency_days", F.datediff("newest", "last"))
-    everything = Window.partitionBy(F.lit(0))
-    order = lambda c: Window.orderBy(c, "customer")
-    people = people.withColumn("n", F.count("*").over(everything)).withColumns({
-        "fs": quantile_score(F.row_number().over(order(F.col("frequency"))), F.col("n"), t.rfm_bins),
-        "ms": quantile_score(F.row_number().over(order(F.col("monetary"))), F.col("n"), t.rfm_bins),
-        "rs": quantile_score(F.row_number().over(order(-F.col("recency_days"))), F.col("n"), t.rfm_bins),
-    })
+    people = people.withColumns({"recency_days": F.datediff("newest", "last"), "_r": -F.datediff("newest", "last")})
+    for name, by in (("fs", "frequency"), ("ms", "monetary"), ("rs", "_r")):
+        people = ranked(people, [by, "customer"], name)
+    people = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n"))))
+    people = people.withColumns({c: quantile_score(F.col(c), F.col("n"), t.rfm_bins) for c in ("fs", "ms", "rs")})
     active = (F.col("frequency") > 1) & (F.col("recency_days") <= F.datediff("last", "first") / (F.col("frequency") - 1) * t.churn_cadence)
     return people.filter((F.col("n") >= t.rfm_bins) & active & (F.col("fs") == t.rfm_bins) & (F.col("ms") == t.rfm_bins)).select(
         "customer", "recency_days", "frequency", "monetary", F.col("rs").alias("recency_score"), F.col("fs").alias("frequency_score"), F.col("ms").alias("monetary_score")
@@ -212,8 +207,8 @@ def customer_concentration(sales: DataFrame, t: Thresholds) -> DataFrame:
     groups = sales.groupBy(F.coalesce("store", F.lit(NO_STORE)).alias("store"), F.coalesce("customer", F.lit(NO_CUSTOMER)).alias("customer")).agg(
         F.sum("value").alias("customer_revenue"), F.count("value").alias("sample_size")
     )
-    groups = groups.withColumn("store_revenue", F.sum("customer_revenue").over(Window.partitionBy("store")))
-    groups = groups.filter(known(F.col("customer"), NO_CUSTOMER) & (F.col("store_revenue") != 0))
+    groups = groups.join(groups.groupBy("store").agg(F.sum("customer_revenue").alias("store_revenue")), "store")  # a store may hold very many
+    groups = groups.select("store", "customer", "customer_revenue", "sample_size", "store_revenue").filter(known(F.col("customer"), NO_CUSTOMER) & (F.col("store_revenue") != 0))
     return groups.withColumn("concentration_pct", 100.0 * F.col("customer_revenue") / F.col("store_revenue")).filter(F.col("concentration_pct") >= t.concentration_pct)
 
 
@@ -311,7 +306,7 @@ def canonical_ids(customers: DataFrame) -> DataFrame:
 def pseudonyms(sales: DataFrame) -> DataFrame:
     """customer, pseudonym (Client_A, ... Client_Z, Client_AA, ...) by falling revenue, then name."""
     people = sales.filter(known(F.col("customer"), NO_CUSTOMER)).groupBy("customer").agg(F.round(F.sum("value"), 4).alias("v"))
-    numbered = people.withColumn("i", F.row_number().over(Window.orderBy(F.desc("v"), "customer")).cast("long"))
+    numbered = ranked(people, [F.desc("v"), "customer"], "i")
     letters = F.lit("")
     digits, left = [], F.col("i")
     for _ in range(7):  # 26**7 customers

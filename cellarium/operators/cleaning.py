@@ -143,10 +143,12 @@ def load_sales(raw: DataFrame, source: str, override: dict[str, str] | None = No
     role = roles(headers, SALES_ROLES, REQUIRED["sales"], override)
     style = date_style(raw, role["date"], style)
     get = lambda r: F.nullif(F.trim(F.col(f"`{role[r]}`")), F.lit("")) if r in role else F.lit(None).cast("string")
-    # In steps, as each would otherwise be repeated inside the next, beyond what one generated method can hold.
     texts = raw.select(*(get(r).alias(f"_{r}") for r in SALES_ROLES), F.col(row_column).cast("long").alias("source_row"))
-    bare = texts.withColumns({f"_{r}": bare_money(F.col(f"_{r}")) for r in ("value", "quantity", "cost")})
-    typed = bare.withColumns({"v": from_bare(F.col("_value")), "q": from_bare(F.col("_quantity")), "c": from_bare(F.col("_cost"))})
+    # One higher-order call parses the three: its parts are evaluated once, where nested projections would repeat each within
+    # the next until no generated method can hold them.
+    bare = F.transform(F.array(*(F.col(f"_{r}") for r in ("value", "quantity", "cost"))), bare_money)
+    parsed = texts.withColumn("_numbers", F.transform(bare, from_bare))
+    typed = parsed.withColumns({name: F.col("_numbers")[i] for i, name in enumerate(("v", "q", "c"))})
     rows = typed.select(
         dates(F.col("_date"), style).alias("date"), F.col("_product").alias("product"), F.coalesce("_customer", F.lit(NO_CUSTOMER)).alias("customer"),
         (F.col("v") * F.coalesce("q", F.lit(1.0))).alias("value"), F.col("q").alias("quantity"), F.col("c").alias("entry_cost"),

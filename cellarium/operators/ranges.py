@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellarium.functions.criteria import meets
+from cellarium.session import cut
+
+
+def ranked(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """df with the place of each row, from 1, in this order, which should be total. Rows are sorted in ranges, a task each, and
+    a range's places follow those of the ranges before; what is ordered in one task is a row a range."""
+    # Ranges are cut, as the places depend on how rows are dealt.
+    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = ranges.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_b"))
+    out = ranges.join(F.broadcast(before), F.shiftright("_id", 33) == F.col("_p"))
+    return out.withColumn(name, F.col("_b") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_p", "_b")
 
 
 def _use(df: DataFrame, criteria: dict[str, object]) -> Column:

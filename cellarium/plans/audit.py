@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.operators import audit as A
+from cellarium.operators import cleaning as C
 from cellarium.operators.thresholds import Thresholds
 from cellarium.session import cut
+from cellarium.sources import tables, xlsx
+
+# Sheets that hold side tables.
+SIDE_SHEETS = {"estoque": "stock", "clientes": "customers", "financeiro": "finance"}
+SIDE = {
+    "stock": (C.STOCK_ROLES, ("cost", "qty_on_hand"), ("last_movement",)), "customers": (C.CUSTOMER_ROLES, (), ()), "finance": (C.FINANCE_ROLES, ("service_revenue",), ()),
+}
+#: How far frozen capital by item may be from its total.
+TOLERANCE = 0.05
 
 
 def with_canonical_customers(sales: DataFrame, customers: DataFrame) -> DataFrame:
@@ -62,3 +72,65 @@ def frozen_capital(dead_skus: DataFrame, stock: DataFrame, by: list[str]) -> Dat
         raise ValueError(f"{missing} or more items are not in the stock")
     rows = stock.join(dead_skus.select("sku").distinct(), "sku", "left_semi")
     return rows.groupBy(*by).agg(F.sum(F.col("qty_on_hand") * F.col("cost")).alias("capital"), F.count("*").alias("items"))
+
+
+def reconciled(dead: DataFrame, by_item: DataFrame) -> DataFrame:
+    """total, by_item, difference and whether it is within TOLERANCE: frozen capital of dead_stock() beside that of frozen_capital()."""
+    parts = by_item.agg(F.coalesce(F.sum("capital"), F.lit(0.0)).alias("by_item"))
+    both = dead.agg(F.coalesce(F.sum("capital_frozen"), F.lit(0.0)).alias("total")).crossJoin(parts)  # two rows
+    return both.withColumn("difference", F.col("by_item") - F.col("total")).withColumn("reconciled", F.abs("difference") <= TOLERANCE)
+
+
+def folder(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> tuple[C.Loaded, dict[str, DataFrame], list[tuple[str, str]]]:
+    """Sales with their discards, side tables by name, and what was skipped with its reason, of the CSV files and workbooks
+    under path. Sheets named as in SIDE_SHEETS are side tables, all others sales; sheets with the same side table are united."""
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # names only
+    loaded, skipped = tables.sales_folder(spark, [f for f in files if f.lower().endswith(".csv")], mapping)
+    accepted, discarded, side = [loaded.accepted], [loaded.discarded], {}
+    for file in files:
+        if not file.lower().endswith(".xlsx"):
+            skipped += [] if file.lower().endswith(".csv") else [(file, "neither csv nor xlsx")]
+            continue
+        cells = cut(xlsx.cells(spark, file))
+        for sheet, width in sorted((r.sheet, r.width) for r in cells.groupBy("sheet").agg(F.max("col").alias("width")).collect()):
+            raw = tables.named(*xlsx.grid(cells, sheet, width))
+            name = SIDE_SHEETS.get(C.plain(sheet).strip())
+            try:
+                if name:
+                    roles, numbers, dated = SIDE[name]
+                    found = C.by_roles(_dated(raw.drop("row_no"), roles, dated), roles, C.REQUIRED[name], numbers, dated)
+                    side[name] = side[name].unionByName(found, allowMissingColumns=True) if name in side else found
+                else:
+                    more = C.load_sales(_dated(raw, C.SALES_ROLES, ("date",)), f"{file}#{sheet}", mapping)
+                    accepted.append(more.accepted)
+                    discarded.append(more.discarded)
+            except (C.MissingRole, C.AmbiguousDates) as e:
+                skipped.append((f"{file}#{sheet}", str(e)))
+    for df in accepted[1:]:
+        accepted[0] = accepted[0].unionByName(df)
+    for df in discarded[1:]:
+        discarded[0] = discarded[0].unionByName(df)
+    return C.Loaded(accepted[0], discarded[0]), side, skipped
+
+
+def _dated(raw: DataFrame, words: dict[str, tuple[str, ...]], dated: tuple[str, ...]) -> DataFrame:
+    """raw with serial numbers in columns of dates as ISO dates, as workbooks keep them."""
+    role = C.roles([c for c in raw.columns if c != "row_no"], words, ())
+    for column in (role[r] for r in dated if r in role):
+        c = F.col(f"`{column}`")
+        serial = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), F.floor(c.try_cast("double")).cast("int")), "yyyy-MM-dd")
+        raw = raw.withColumn(column, F.when(c.rlike(r"^[0-9]{4,5}([.][0-9]+)?$"), serial).otherwise(c))
+    return raw
+
+
+def audit_folder(spark: SparkSession, path: str, thresholds: Thresholds | None = None, mapping: dict[str, str] | None = None, anonymous: bool = False) -> dict[str, DataFrame]:
+    """run_audit() over the CSV files and workbooks under path, with "discards" by reason and "skipped" sources beside it."""
+    loaded, side, skipped = folder(spark, path, mapping)
+    stock, customers = side.get("stock"), side.get("customers")
+    if stock is not None and "category" not in stock.columns:
+        stock = stock.withColumn("category", F.lit(None).cast("string"))
+    for c in ("phone", "document"):
+        if customers is not None and c not in customers.columns:
+            customers = customers.withColumn(c, F.lit(None).cast("string"))
+    out = run_audit(loaded.accepted, stock, customers, side.get("finance"), thresholds, anonymous)
+    return out | {"discards": loaded.summary(), "skipped": spark.createDataFrame(skipped, "source string, reason string")}

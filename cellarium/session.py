@@ -15,7 +15,9 @@ def session(name: str = "cellarium", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark.sparkContext)
+    return spark
 
 
 def ship(sc: SparkContext) -> None:
@@ -31,9 +33,20 @@ def ship(sc: SparkContext) -> None:
     sc._cellarium_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder of the cluster (a temporary one where none is set) and read from there."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local mode, as in tests) a temporary one."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if at is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read from there: later plans start at these files."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
