@@ -2,14 +2,21 @@
 
 All records are built by string expressions, so nothing leaves the JVM. Blocks and headers follow WARC 1.1; identifiers are
 UUIDs made from digests, so that a repeated run gives the same records. Files are written with the record separator
-(two line ends) as the line separator of Spark's text sink, whose commits survive lost executors, and read with it too.
+(two line ends) as the line separator of Spark's text sink, whose commits survive lost executors. A file is read as a whole by
+one task, as record ends can't be told from within it, so files must stay below 2 GB (Spark's limit for a value).
 
-Defined cases: a null url gives an empty target, a null page is an empty payload with the digest of nothing; repeated rows
-give repeated records with equal identifiers; an empty table gives an empty result; columns other than those named are ignored.
+Text is decoded once: entities by code (&#233; or &#xE9;; codes that are no character give U+FFFD) and by the names of HTML 4
+and &apos;, others stay as they are. Control characters of a url are percent-encoded in headers, so no url can start a line.
+
+Defined cases: a null url gives an empty target, a null page is an empty payload with the digest of nothing; very long pages
+are converted whole; repeated rows give repeated records with equal identifiers; an empty table gives an empty result; columns
+other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +26,11 @@ END = "\r\n"
 #: Pages carry no time; records need one.
 CAPTURED = "1970-01-01T00:00:00Z"
 
-#: HTML elements that start a new line in text, and the named entities that are decoded.
+#: HTML elements that start a new line in text.
 LINE_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Characters by the names of HTML 4.
+NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+LONGEST = max(map(len, NAMED))
 
 
 def digest(text: Column) -> Column:
@@ -33,14 +42,39 @@ def identifier(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
+
+
+def decoded(text: Column) -> Column:
+    """text with its entities decoded, once. It is split at ampersands, so only what follows one is looked at."""
+    names = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+
+    def part(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z0-9]{{2,{LONGEST}}});", 1)
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
+        sign = F.when(name == "", F.lit(None).cast("string")).when(name.startswith("#"), _character(code)).otherwise(F.try_element_at(names, name))
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), p)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
+
+
+def header_safe(url: Column) -> Column:
+    """url with its control characters percent-encoded."""
+    signs = F.regexp_extract_all(url, F.lit(r"(?s)[\x00-\x1F\x7F]|[^\x00-\x1F\x7F]+"), F.lit(0))
+    safe = F.transform(signs, lambda c: F.when(c.rlike(r"^[\x00-\x1F\x7F]"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), F.array_join(safe, "")).otherwise(url)
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: no scripts, styles or comments, line elements on lines of their own, entities decoded."""
     out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{LINE_TAGS})\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[a-zA-Z/!?][^>]*>", "")
-    for name, sign in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
+    out = F.regexp_replace(decoded(out), r"[ \t\r\f\x{00A0}]+", " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
@@ -80,7 +114,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     rows = rows.withColumns({"block_digest": digest(F.col("block")), "record_id": identifier(F.col("record_type"), F.col("refers_to"))})
     headers = _headers(
         ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", F.col("date")),
-        ("WARC-Target-URI", F.col("target_uri")), ("WARC-Refers-To", F.col("refers_to")), ("WARC-Refers-To-Target-URI", F.col("target_uri")),
+        ("WARC-Target-URI", header_safe(F.col("target_uri"))), ("WARC-Refers-To", F.col("refers_to")), ("WARC-Refers-To-Target-URI", header_safe(F.col("target_uri"))),
         ("WARC-Refers-To-Date", F.col("date")), ("WARC-Payload-Digest", F.col("payload_digest")), ("WARC-Block-Digest", F.col("block_digest")),
         ("Content-Type", F.col("content_type")), ("Content-Length", F.octet_length("block").cast("string")),
     )
@@ -91,7 +125,7 @@ def response_records(records: DataFrame) -> DataFrame:
     """headers and block of response records, for write()."""
     block = F.concat("http_headers", F.lit(END), "payload")
     headers = _headers(
-        ("WARC-Type", "response"), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", F.col("date")), ("WARC-Target-URI", F.col("target_uri")),
+        ("WARC-Type", "response"), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", F.col("date")), ("WARC-Target-URI", header_safe(F.col("target_uri"))),
         ("WARC-Payload-Digest", digest(F.col("payload"))), ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", F.octet_length("block").cast("string")),
     )
@@ -104,9 +138,7 @@ def write(records: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """headers (a map of lower-case names) and block (binary) of the records in WARC files under path.
-
-    A file is parsed by its Content-Length fields in one task, as record ends can't be told from within it."""
+    """headers (a map of lower-case names) and block (binary) of the records in WARC files under path, by their lengths."""
     from pyspark.sql.types import BinaryType, MapType, StringType, StructField, StructType
 
     kind = StructType([StructField("headers", MapType(StringType(), StringType())), StructField("block", BinaryType())])
@@ -138,9 +170,14 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UUID = "'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
 _TEXT = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
 _TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '(?i)</?(?:{LINE_TAGS})\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g')"
-for _name, _sign in ENTITIES:
-    _TEXT = f"replace({_TEXT}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
-_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_QUOTED = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+_NAME = f"regexp_extract(p, '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z0-9]{{2,{LONGEST}}});', 1)"
+_CODE = f"CASE WHEN lower(substr({_NAME}, 2, 1)) = 'x' THEN ('0x' || substr({_NAME}, 3))::BIGINT ELSE try_cast(substr({_NAME}, 2) AS BIGINT) END"
+_SIGN = f"CASE WHEN {_NAME} = '' THEN NULL WHEN {_NAME}[1] = '#' THEN CASE WHEN {_CODE} BETWEEN 1 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111 THEN chr(({_CODE})::INT) ELSE chr(65533) END ELSE ({_QUOTED(NAMED.values())})[list_position({_QUOTED(NAMED)}, {_NAME})] END"
+_PART = f"CASE WHEN i = 1 THEN p ELSE coalesce({_SIGN} || substr(p, length({_NAME}) + 2), '&' || p) END"
+_TEXT = f"array_to_string(list_transform(string_split({_TEXT}, '&'), lambda p, i: {_PART}), '')"
+_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[ \t\r\f\x{{00A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_URL = r"array_to_string(list_transform(regexp_extract_all(url, '(?s)[\x00-\x1F\x7F]|[^\x00-\x1F\x7F]+'), lambda c: CASE WHEN regexp_matches(c, '^[\x00-\x1F\x7F]') THEN printf('%%%02X', ord(c)) ELSE c END), '')"
 _N = "chr(13) || chr(10)"
 
 SQL = rf"""
@@ -165,8 +202,8 @@ WITH p AS (
 ), i AS (SELECT *, {_UUID.format(h="h")} AS record_id FROM r)
 SELECT page_id, record_type, record_id, rid AS refers_to, url AS target_uri, pd AS payload_digest,
   'WARC/1.1' || {_N} || 'WARC-Type: ' || record_type || {_N} || 'WARC-Record-ID: ' || record_id || {_N}
-  || 'WARC-Date: {CAPTURED}' || {_N} || 'WARC-Target-URI: ' || url || {_N} || 'WARC-Refers-To: ' || rid || {_N}
-  || 'WARC-Refers-To-Target-URI: ' || url || {_N} || 'WARC-Refers-To-Date: {CAPTURED}' || {_N}
+  || 'WARC-Date: {CAPTURED}' || {_N} || 'WARC-Target-URI: ' || {_URL} || {_N} || 'WARC-Refers-To: ' || rid || {_N}
+  || 'WARC-Refers-To-Target-URI: ' || {_URL} || {_N} || 'WARC-Refers-To-Date: {CAPTURED}' || {_N}
   || 'WARC-Payload-Digest: ' || pd || {_N} || 'WARC-Block-Digest: ' || block_digest || {_N}
   || 'Content-Type: ' || ct || {_N} || 'Content-Length: ' || strlen(block) || {_N} AS headers, block, block_digest
 FROM i
