@@ -7,8 +7,8 @@ grows until both of its ends are places where every encoding splits, so the resu
 the whole text.
 
 Defined cases: null text counts as empty and has no ids; rows that repeat are encoded each; a null doc_id is kept; an empty
-table gives an empty result; other columns are ignored. Reuse covers the SHARED most common shared chunks, a bound on what
-is broadcast; further ones are encoded where they stand, with equal results.
+table gives an empty result; other columns are ignored. All shared chunks are reused: their digests are broadcast where
+there are SHARED at most, and joined by shuffle where there are more.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import shingles as S
-from cellarium.llm.common import bounded_batches, cut, shared_dir, table, written
+from cellarium.llm.common import bounded_batches, cut, shared_dir, shuffle_width, table, written
 
 #: Bytes that the rolling hash spans, bytes between cuts on average (a power of two) and at least.
 SPAN, MEAN, LEAST = 32, 2048, 256
+#: Digests that are broadcast, of 16 bytes each; about 100 MB in memory.
 SHARED = 1_000_000
 
 
@@ -134,13 +135,13 @@ def cuts(data: np.ndarray, rows: np.ndarray) -> list[list[int]]:
     return places
 
 
-CHUNKS = "doc_id long, text_key binary, last int, pos int, chunk_a long, chunk_b long, chunk string"
+CHUNKS = "doc_id long, text_key binary, text_row long, last int, pos int, chunk_a long, chunk_b long, chunk string"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, data, rows in S.blocks(batch.column(2)):
+        ids, keys, numbers = (batch.column(i).to_pylist() for i in range(3))
+        for first, data, rows in S.blocks(batch.column(3)):
             raw, out = data.tobytes(), []
             for i, places in enumerate(cuts(data, rows)):
                 if len(places) == 1:
@@ -148,9 +149,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for pos, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)):
                     piece = raw[a:b]
                     digest = hashlib.blake2b(piece, digest_size=16).digest()
-                    out.append((ids[first + i], keys[first + i], len(places) - 2, pos, int.from_bytes(digest[:8], "little", signed=True),
+                    out.append((ids[first + i], keys[first + i], numbers[first + i], len(places) - 2, pos, int.from_bytes(digest[:8], "little", signed=True),
                                 int.from_bytes(digest[8:], "little", signed=True), piece.decode("utf-8")))
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             names = [c.split()[0] for c in CHUNKS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -186,15 +187,18 @@ def encode_chunked(docs: DataFrame, path: str, finish: Callable = digests, done:
     shared_dir(spark)
     bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    pieces = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text")).mapInArrow(_chunks, CHUNKS)
+    pieces = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("text_key"), F.monotonically_increasing_id(), text.alias("text")).mapInArrow(_chunks, CHUNKS)
     # A text that repeats its own chunk shares it with itself.
     counts = pieces.filter("chunk <> ''").groupBy("chunk_a", "chunk_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    common = counts.orderBy(F.desc("n"), "chunk_a", "chunk_b").limit(SHARED).select("chunk_a", "chunk_b", F.lit(True).alias("shared"))
-    marked = pieces.join(F.broadcast(cut(common)), ["chunk_a", "chunk_b"], "left")
+    common = cut(counts.select("chunk_a", "chunk_b", F.lit(True).alias("shared")))
+    few = common.limit(SHARED + 1).count() <= SHARED
+    marked = pieces.join(F.broadcast(common) if few else common, ["chunk_a", "chunk_b"], "left")
+    if not few:
+        marked = marked.repartition(shuffle_width(spark), "text_row").sortWithinPartitions("text_row", "pos")
     names = [c.split()[0] for c in done.split(", ")]
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A broadcast join keeps the order of its streamed side, so the chunks of a text follow each other.
+        # A broadcast join keeps the order of its streamed side, and the other one is sorted, so a text's chunks follow each other.
         vocab, held = vocabulary(path), []
         for batch in batches:
             out = []
