@@ -14,10 +14,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one, set here once."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local mode, as in tests) a temporary one."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if at is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
@@ -53,6 +55,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows and 32 MB at most, so that batches of very long texts still fit a Python worker."""
+    """Arrow batches of so many rows and 32 MB at most, so that batches of very long texts still fit a Python worker. The
+    settings stay, as plans are lazy and read them when they run; they change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

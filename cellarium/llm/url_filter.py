@@ -12,6 +12,7 @@ unlabelled training table (empty, or with null labels) leaves weights at zero, w
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,26 +45,23 @@ RULES = (
     Rule("example.net/de/8", "block"), Rule("org/es/", "block"),
 )
 
-#: The small labelled table: 1 is blocked.
-LABELLED = [
-    *((u, 1) for u in (
-        "http://free-casino-bonus.win/slots/jackpot", "http://best-poker-bets.top/play?ref=1", "https://xxx-videos.click/watch/hot",
-        "http://cheap-pills-rx.biz/buy/viagra", "http://win-money-now.loan/claim/prize", "https://adult-cams.live/xxx/teen",
-        "http://torrent-crack.download/keygen/full", "http://warez-free.ru/crack/serial", "https://bet365-bonus.casino/slots/free",
-        "http://payday-loan-fast.top/apply/cash", "http://replica-watches.shop/cheap/rolex", "https://hot-singles.date/chat/xxx",
-        "http://click-ads-earn.win/track?aff=9", "http://spam-links.biz/seo/backlinks", "http://casino.example.org/slots/win",
-        "https://ads.tracker.click/pixel/aff", "http://viagra.pharma-cheap.ru/order/pills", "http://porn-tube.top/videos/xxx",
-    )),
-    *((u, 0) for u in (
-        "https://docs.python.org/3/library/re.html", "https://en.wikipedia.org/wiki/Logistic_regression", "https://www.bbc.co.uk/news/world",
-        "https://blog.example.com/en/102", "https://example.net/fr/25930", "https://news.example.org/de/311", "https://example.org/fr/88",
-        "https://www.nature.com/articles/s41586", "https://arxiv.org/abs/1706.03762", "https://github.com/apache/spark",
-        "https://stackoverflow.com/questions/11227809", "https://www.gov.uk/browse/education", "https://www.mit.edu/research/",
-        "https://developer.mozilla.org/en-US/docs/Web", "https://shop.example.net/es/12", "https://wiki.example.org/en/page/4",
-        "https://www.who.int/health-topics", "https://europa.eu/index_fr.htm", "https://www.lemonde.fr/sciences/", "https://www.spiegel.de/kultur/",
-        "https://elpais.com/cultura/2020", "https://forum.example.com/de/77", "https://archive.org/details/texts", "https://www.loc.gov/collections/",
-    )),
-]
+#: Words and endings of the small labelled table, which is made of them by labelled(): of blocked urls, and of others.
+BLOCKED_WORDS = "casino bonus jackpot slots poker bets viagra pills pharma xxx porn adult cams loan payday casino torrent crack warez keygen replica singles escort backlinks".split()
+BLOCKED_ENDS = "win top click biz loan download shop date casino xyz".split()
+NEUTRAL_WORDS = "news library research garden weather museum recipes history travel school science sports music language nature health kitchen market city people review guide article docs".split()
+NEUTRAL_ENDS = "org com net edu gov info fr de es co.uk".split()
+#: Urls of each label.
+LABELLED_URLS = 240
+
+
+def labelled() -> Iterator[tuple[str, int]]:
+    """url, blocked (1 or 0) of the labelled table: two words make the host, others the path."""
+    for words, ends, blocked in ((BLOCKED_WORDS, BLOCKED_ENDS, 1), (NEUTRAL_WORDS, NEUTRAL_ENDS, 0)):
+        for i in range(LABELLED_URLS):
+            a, b, c, d = (words[(i * k + i // 24 * m) % len(words)] for k, m in ((1, 0), (5, 1), (7, 3), (11, 2)))
+            host = f"{a}-{b}" if i % 3 else f"{a}{i % 97}"
+            path = (f"/{c}/{d}", f"/{c}/{i}", f"/{c}-{d}.html", f"/{d}?ref={i}", "/")[i % 5]
+            yield f"{('http', 'https')[i % 2]}://{('www.', '', '')[i % 3]}{host}.{ends[i % len(ends)]}{path}", blocked
 
 
 def host_of(url: Column) -> Column:
@@ -134,7 +132,7 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules: tuple[Rule, ...] =
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    pairs = F.array(*(F.struct(F.lit(u).alias("url"), F.lit(y).alias("blocked")) for u, y in LABELLED))
+    pairs = F.array(*(F.struct(F.lit(u).alias("url"), F.lit(y).alias("blocked")) for u, y in labelled()))
     return spark.range(1, numPartitions=1).select(F.inline(pairs))
 
 
