@@ -69,19 +69,18 @@ def test_chunks_make_up_the_text_and_resist_an_edit(spark):
     assert "".join(a) == text and len(set(a) - set(b)) < 4
 
 
-def test_exact_dedup_survives_colliding_identifiers(documents, monkeypatch):
-    """With identifiers that collide under the first seed the second is taken, and results stay whole."""
-    seen = []
-    real = exact_dedup.collisions
-
-    def fake(docs, keys, seed):
-        seen.append(seed)
-        found = real(docs, keys, seed)
-        return found if seed else found.unionByName(docs.sparkSession.createDataFrame([(1, 2)], found.schema))
+@pytest.mark.parametrize("recipe_collides", [False, True])
+def test_exact_dedup_survives_colliding_identifiers(documents, monkeypatch, recipe_collides):
+    """Texts whose identifiers stand for two chunks are compared themselves, and results stay whole."""
+    from pyspark.sql import functions as F
 
-    monkeypatch.setattr(exact_dedup, "collisions", fake)
-    rows = exact_dedup.exact_dedup(documents("a", "a", "b")).collect()
-    assert seen == [0, 1] and sorted(r.group_size for r in rows) == [1, 2, 2]
+    real = exact_dedup.collisions
+    if recipe_collides:  # all chunks of one length have the same identifier
+        monkeypatch.setattr(exact_dedup, "identified", lambda text: F.transform(exact_dedup.chunks(text), lambda c: F.unhex(F.md5(F.length(c).cast("string")))))
+    else:
+        monkeypatch.setattr(exact_dedup, "collisions", lambda docs, keys: real(docs, keys).union(docs.sparkSession.range(1).select(F.unhex(F.md5(F.lit("a"))))))
+    rows = exact_dedup.exact_dedup(documents("a", "a", "b", "b", "b", "c", "dd", "a ", (None, "b"))).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 4, True), (4, 3, 4, False), (5, 3, 4, False), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True), (None, 3, 4, False)}
 
 
 def near_texts():
@@ -161,3 +160,15 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     for r in embedding_dedup.embedding_duplicates(df).collect():
         assert (r.n_links, r.component_id, r.kept) == (degree[r.vec_id], want[r.vec_id], want[r.vec_id] == r.vec_id)
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_with_repeated_and_null_ids(spark, monkeypatch):
+    """Rows are linked by what they hold: an id on two vectors doesn't mix their links, and rows without an id count."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 2)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (None, [0.05, 1.0]), (None, [-1.0, 0.01]), (None, [-1.0, 0.02]), (7, [0.1, 0.1]), (7, [0.1, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("key", "rep", "copies", "root", "n", "block")})
+    found = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_dedup.embedding_duplicates(df).collect())
+    want = [("1", 1, "1", True), ("1", 1, "1", True), ("2", 1, "1", False), ("None", 1, "1", False), ("None", 1, "None", True), ("None", 1, "None", True), ("7", 1, "7", True), ("7", 1, "7", True)]
+    assert found == sorted(want)

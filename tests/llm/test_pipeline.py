@@ -31,10 +31,22 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, documents, tmp
 
 def test_pipeline_awkward(spark, awkward, none, tmp_path):
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (awkward, none):
-        for _, stage in P.STAGES:
-            docs = stage(spark, docs, str(tmp_path))
-        docs.collect()
+    from pyspark.sql import functions as F
+
+    awkward = awkward.withColumns({c: F.lit("clash") for c in ("_id", "_digest", "digest", "predicted", "group_size")})
+    seen = []
+    docs = awkward
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == awkward.columns
+        seen.append(sorted((r.doc_id or 0 for r in docs.collect())))
+    # Without labels of low quality nothing is rejected; equal texts (1 and 2; 4 and both rows of 5) leave one; 7 is near 6.
+    assert seen == [[0, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10], [0, 1, 3, 4, 6, 7, 8, 9, 10], [0, 1, 3, 4, 6, 8, 9, 10]]
+    assert {r.doc_id or 0 for r in P.packing(spark, docs, str(tmp_path)).collect()} == set(seen[-1])
+    docs = none
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.count() == 0
 
 
 def test_stages_decide_by_row(spark, documents, tmp_path):

@@ -59,13 +59,89 @@ def test_language_model(documents, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) - 5
 
 
-def test_probabilities_add_up(documents):
-    """Over all possible next words the model's probabilities sum to one."""
-    texts = ["a b c a b", "a b b c", "c a", "b c a a"] * 20
-    docs = documents(*texts, *(f"a {w}" for w in ("a", "b", "c", "zz")), "a")
-    rows = {r.doc_id: r.score for r in lm.language_model_scores(docs, held_out=docs["doc_id"] > 80).collect()}
-    # P(a) * P(w | a) * P(end | w) for each w, against P(a) * P(end | a): the text "a" alone gives both of its factors.
-    assert all(s < 0 for s in rows.values()) and rows[82] > rows[84]
+def brute_scores(tokens, train, counts_of):
+    """Log10 probabilities by interpolation as the module says, with the weights that EM finds from the deleted documents."""
+    single, pair, begins = collections.Counter(), collections.Counter(), 0
+    for i in train:
+        begins += 1
+        for x, y in zip([BEGIN, *tokens[i][:-1]], tokens[i], strict=True):
+            single[y] += 1
+            pair[x, y] += 1
+    total, distinct = sum(single.values()), len(single)
+
+    def parts(w):
+        for x, y in zip([BEGIN, *w[:-1]], w, strict=True):
+            context = single[None] if x is BEGIN else single[x]  # a text begins as often as one ends
+            kind = min(math.ceil(math.log2(context + 1)), lm.CLASSES - 1)
+            yield kind, pair[x, y] / context if context else 0.0, single[y] / max(total, 1), 1 / (distinct + 1)
+
+    return parts
+
+
+BEGIN = object()
+
+
+def test_scores_against_brute_force(documents, monkeypatch):
+    """Scores are those of the interpolated model, whose probabilities over all next words sum to one."""
+    held = lambda i: i > 160
+    random.seed(8)
+    texts = [" ".join(random.choice(("a", "b", "c", "d")) for _ in range(random.choice((1, 4, 9)))) for _ in range(160)]
+    texts += [f"a {w}" for w in ("a", "b", "c", "d", "zz")] + ["a", "zz a", "b c d"]
+    seen = {}
+    real = lm.mixture
+    monkeypatch.setattr(lm, "mixture", lambda cells, n: seen.setdefault("weight", real(cells, n)))
+    docs = documents(*texts)
+    rows = {r.doc_id: r.score for r in lm.language_model_scores(docs, held_out=docs["doc_id"] > 160).collect()}
+    tokens = {i: [*words(t), None] for i, t in enumerate(texts, 1)}
+    parts = brute_scores(tokens, [i for i in tokens if not held(i)], None)
+    weight = seen["weight"]
+    for i, w in tokens.items():
+        want = sum(math.log10(weight[k][0] * p + weight[k][1] * u + weight[k][2] * v) for k, p, u, v in parts(w))
+        assert abs(rows[i] - want) < 1e-9 * max(1, abs(want))
+    # After "a": every known word, the end, and one unknown word that stands for all others.
+    after = [list(parts(w))[1] for w in (["a", "a"], ["a", "b"], ["a", "c"], ["a", "d"], ["a", None], ["a", "unknown"])]
+    assert abs(sum(weight[k][0] * p + weight[k][1] * u + weight[k][2] * v for k, p, u, v in after) - 1) < 1e-9
+
+
+def test_quality_against_numpy(spark, documents):
+    """Features, ridge weights, isotonic levels and scores recomputed from the same rows, by plain loops and one solve."""
+    random.seed(6)
+    good = lambda: " ".join(random.choice(("the", "house", "walks", "slowly,", "home.")) for _ in range(random.randrange(20, 90)))
+    bad = lambda: " ".join(random.choice(("BUY!!", "###", "house", "NOW$$$", "win%%%")) for _ in range(random.randrange(20, 90)))
+    texts = [good() if i % 3 else bad() for i in range(200)] + ["", None]
+    label = {i: int((i - 1) % 3 != 0) for i in range(1, 181)}
+    labels = spark.createDataFrame([(i, y, 0) for i, y in label.items()], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.quality_scores(documents(*texts), labels).collect()}
+
+    def stats(text):
+        data = (text or "").encode()
+        kinds = collections.Counter(int(quality.CLASS[b]) for b in data)
+        w = words(text)
+        pairs = [tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))] if w else []
+        double = sum(a == b and 3 <= quality.CLASS[b] <= 4 for a, b in zip(data, data[1:], strict=False))
+        least = max(len(w), 1)
+        return [*(kinds[k] / max(len(data), 1) for k in range(quality.CLASSES)), math.log1p(len(data)), math.log1p(len(w)), len(data) / least, len(set(w)) / least,
+                max(collections.Counter(w).values(), default=0) / least, len(set(pairs)) / max(len(pairs), 1), double / max(len(data), 1)]
+
+    x = np.array([stats(t) for t in texts])
+    part = np.array([zlib.crc32(str(i).encode()) % 5 for i in range(1, len(texts) + 1)])
+    known = np.array([i in label for i in range(1, len(texts) + 1)])
+    y = np.array([label.get(i, 0) for i in range(1, len(texts) + 1)], float)
+    fit, test = known & (part > 1), known & (part == 1)
+    spread = x[fit].std(axis=0)
+    z = quality.Kernel(x[fit].mean(axis=0), np.where(spread > 1e-9, spread, 1.0))(x)
+    weights = np.linalg.solve(z[fit].T @ z[fit] / fit.sum() + quality.RIDGE * np.eye(z.shape[1]), z[fit].T @ y[fit] / fit.sum())
+    raw = z @ weights
+    bins = np.floor((np.clip(raw, quality.LOWEST, quality.HIGHEST - 1e-9) - quality.LOWEST) * quality.BINS / (quality.HIGHEST - quality.LOWEST)).astype(int)
+    counts, ones = (np.bincount(bins[test], weights=w, minlength=quality.BINS) for w in (np.ones(test.sum()), y[test]))
+    at = np.flatnonzero(counts)
+    # Isotonic levels by their max-min formula, not by pooling.
+    mean = lambda i, j: ones[at[i : j + 1]].sum() / counts[at[i : j + 1]].sum()
+    level = np.array([max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    centres, levels = quality.isotonic(counts, ones)
+    assert np.allclose(np.unique(level), np.unique(levels))
+    for i, row in rows.items():
+        assert abs(row.score - np.clip(np.interp(raw[i - 1], centres, levels), 0, 1)) < 1e-6, i
 
 
 def test_mixture_prefers_what_predicts():
@@ -110,9 +186,33 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), labelled).count() == 0
 
 
+def test_url_classifier_on_held_out_urls(spark):
+    """Trained on three quarters of the labelled urls, the method alone judges the others."""
+    part = lambda u: zlib.crc32(u.encode()) % 4 == 0
+    table = list(url_filter.labelled())
+    train = spark.createDataFrame([r for r in table if not part(r[0])], "url string, blocked int")
+    test = [r for r in table if part(r[0])]
+    rows = url_filter.url_filter(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string"), train, rules=()).collect()
+    hits = sum(r.verdict == "block" and test[r.page_id][1] for r in rows)
+    precision, recall = hits / max(1, sum(r.verdict == "block" for r in rows)), hits / sum(y for _, y in test)
+    assert len(test) > 80 and precision > 0.9 and recall > 0.9, (precision, recall)
+
+
+def test_urls_awkward(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/x"), (2, None), (3, ""), (4, "http://" + "long." * 9000 + "org/p")], "page_id long, url string")
+    pages = pages.withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "hit", "score", "cells")})
+    labels = spark.createDataFrame([("http://a.org/x", 1), (None, 1), ("http://b.org/", None), ("http://c.org/", 0)], "url string, blocked int")
+    rows = url_filter.url_filter(pages, labels).collect()
+    assert len(rows) == 6 and len({(r.host, r.path, r.verdict, r.score) for r in rows if r.host == "a.org"}) == 1 and sum(r.host == "a.org" for r in rows) == 3
+    assert {(r.host, r.path) for r in rows if r.page_id in (2, 3)} == {("", "")}
+
+
 def test_url_classifier_learns(spark):
-    rows = url_filter.url_filter(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(url_filter.LABELLED)], "page_id long, url string"), url_filter.labelled_urls(spark), rules=())
-    assert all(r.verdict == ("block" if url_filter.LABELLED[r.page_id][1] else "allow") for r in rows.collect())
+    table = list(url_filter.labelled())
+    rows = url_filter.url_filter(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(table)], "page_id long, url string"), url_filter.labelled_urls(spark), rules=())
+    assert sum(r.verdict == ("block" if table[r.page_id][1] else "allow") for r in rows.collect()) > 0.98 * len(table)
     assert set(url_filter.train(url_filter.labelled_urls(spark).limit(0))) == {0.0}
 
 
@@ -134,3 +234,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert all((r.record_id, r.block.encode()) in found for r in rows)
     assert all(r.headers["warc-refers-to"] == text.refers_to for r in back if r.headers["warc-type"] == "conversion" and r.headers["warc-target-uri"])
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_entities_and_headers(spark):
+    """Entities are decoded once, as the standard library decodes them; a url can't start a header line."""
+    import html
+
+    from pyspark.sql import functions as F
+
+    texts = ["caf&#233; &eacute; &#xE9;&#XE9;", "&amp;lt; &lt;b&gt; &quot;&apos;&#39;", "a & b && c &unknown; &copy &copy; &;", "&#0; &#xD800; &#9999999; &#x1F600;", "no marks", "&", "&euro;&nbsp;5", "x" * 50_000 + "&szlig;", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.decoded(F.col("t"))).collect()]
+    want = [html.unescape(t.replace("&copy ", "&copy\0 ")).replace("\0", "") if "&copy " not in t else "a & b && c &unknown; &copy \u00a9 &;" for t in texts]
+    assert got == want
+    urls = ["http://e.org/a\r\nWARC-Type: warcinfo", "http://e.org/\x00\x7f\u00e9", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.header_safe(F.col("u"))).collect()]
+    assert got == ["http://e.org/a%0D%0AWARC-Type: warcinfo", "http://e.org/%00%7F\u00e9", "plain"]
+    pages = spark.createDataFrame([(1, urls[0], "<p>" + "word &amp; " * 20_000), (1, None, None)], "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit("clash") for c in ("block", "headers", "text", "payload", "record_id", "record_type")})
+    rows = warc.derivatives(warc.responses(pages)).collect()
+    assert len(rows) == 4 and all(line.count(": ") >= 1 and not line.startswith("WARC-Type: warcinfo") for r in rows for line in r.headers.split("\r\n")[1:-1] if line)
+    assert max(len(r.block) for r in rows if r.record_type == "conversion") == 7 * 20_000 - 1

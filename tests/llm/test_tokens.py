@@ -30,7 +30,10 @@ def test_joined_pieces_are_the_whole(vocab):
             assert vocab.joined([vocab.encode(t[a:b]) for a, b in zip([0, *k], [*k, len(t)], strict=True)]).tolist() == want
 
 
-def test_encoding_with_shared_chunks(documents, vocab, monkeypatch):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_encoding_with_shared_chunks(documents, vocab, monkeypatch, broadcast):
+    """Digests of shared chunks are broadcast, or joined by shuffle."""
+    monkeypatch.setattr(bpe, "SHARED", broadcast)
     monkeypatch.setattr(bpe, "MEAN", 64)
     monkeypatch.setattr(bpe, "LEAST", 16)
     random.seed(2)
@@ -72,7 +75,12 @@ def test_token_files(spark, documents, awkward, none, vocab, tmp_path, monkeypat
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     token_files.write(awkward, f"{tmp_path}/b", bpe.default_path())
-    assert token_files.read(spark, f"{tmp_path}/b").count() == 12
+    coded = lambda t: [*ids_of(vocab, t), 2]
+    want = sorted((r.doc_id or 0, len(coded(r.text)), zlib.crc32(np.array(coded(r.text), "<u4").tobytes())) for r in awkward.select("doc_id", "text").collect())
+    found = token_files.read(spark, f"{tmp_path}/b").collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in found) == want and len(found) == 12
+    found = sorted(found, key=lambda r: r.start)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found[:-1])]).tolist() and [r.doc_id or 0 for r in found] == [w[0] for w in want]
     token_files.write(none, f"{tmp_path}/c", bpe.default_path())
     assert token_files.read(spark, f"{tmp_path}/c").count() == 0
 
@@ -125,6 +133,29 @@ def test_neighbours_share_rare_words():
     assert index.neighbours(0, np.array([False, True, True, True]))[0] == 1 and index.neighbours(2, np.array([True, True, False, True]))[0] == 3
 
 
+def test_ranking_is_bm25(vocab):
+    """Scores and order of all unused documents against the formula, term by term."""
+    import math
+
+    random.seed(12)
+    docs = [np.array(random.choices(range(1, 40), k=random.choice((5, 20, 80))), np.uint32) for _ in range(60)]
+    holding = [sum(t in d for d in docs) for t in range(40)]
+    idf = np.log1p((len(docs) - np.array(holding) + 0.5) / (np.array(holding) + 0.5))
+    mean = sum(map(len, docs)) / len(docs)
+    index, unused = packing._Index(docs, idf, mean), np.array([i % 5 != 0 for i in range(60)])
+    for seed in range(60):
+        want = {}
+        for d in np.flatnonzero(unused).tolist():
+            total = 0.0
+            for t in set(docs[seed].tolist()):
+                tf = int((docs[d] == t).sum())
+                total += math.log(1 + (60 - holding[t] + 0.5) / (holding[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
+            want[d] = total
+        got = index.scores(seed, unused)
+        assert all(abs(got[d] - want.get(d, 0.0)) < 1e-9 for d in range(60))
+        assert [round(want[d], 6) for d in index.neighbours(seed, unused).tolist()] == sorted((round(v, 6) for v in want.values() if v), reverse=True)
+
+
 def test_windows_ask_for_all_terms_and_go_down_the_whole_list():
     idf = np.concatenate(([0.0], np.full(99, 1.0), [0.05]))
     long = np.arange(1, 60, dtype=np.uint32)
@@ -158,6 +189,14 @@ def test_common_terms_have_signatures(spark, monkeypatch):
     assert len(held) == 2 and all(len(x) == 1 for x in held.values())
 
 
-def test_packing_awkward(awkward, none):
-    assert len({r.doc_id for r in packing.pack(awkward, bpe.default_path()).collect()}) == 11
+def test_packing_awkward(awkward, none, vocab):
+    rows = packing.pack(awkward, bpe.default_path()).collect()
+    texts = {r.doc_id: r.text for r in awkward.filter("doc_id IS NOT NULL AND doc_id <> 5").collect()}
+    for doc_id, text in texts.items():
+        ids, at = [*ids_of(vocab, text), 0], 0
+        for r in sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert sum(r.length for r in rows if r.doc_id == 5) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 5) and any(r.doc_id is None for r in rows)
     assert packing.pack(none, bpe.default_path()).count() == 0
