@@ -33,10 +33,19 @@ def _digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _matched(docs: DataFrame, keys: DataFrame, digest: Column, how: str) -> DataFrame:
     """The rows of docs whose id and digest are (left_semi) or are not (left_anti) in keys(doc_id, digest)."""
-    found = small(cut(keys.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()), FEW)
-    return docs.join(found, _id(docs).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), how)
+    key, sign = _free(docs, "_id"), _free(docs, "_digest")
+    found = small(cut(keys.select(F.col("doc_id").alias(key), F.col("digest").alias(sign)).distinct()), FEW)
+    return docs.join(found, _id(docs).eqNullSafe(F.col(key)) & (digest == F.col(sign)), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,18 +72,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    out, key, sign, row = (_free(docs, n) for n in ("_gone", "_id", "_digest", "_row"))
     ids = docs.select(_id(docs).alias("doc_id")).groupBy("doc_id").count()
     if ids.filter("count > 1 OR doc_id IS NULL").limit(1).count() == 0:
-        gone = small(cut(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"))))
-        return docs.join(gone, _id(docs) == F.col("_gone"), "left_anti")
+        gone = small(cut(near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(out))))
+        return docs.join(gone, _id(docs) == F.col(out), "left_anti")
     # Texts are numbered in the order of their ids, so that each has its own id and the smallest is still the first.
     digest = _digest(docs["text"])
-    keys = docs.select(_id(docs).alias("_id"), digest.alias("_digest")).distinct().orderBy(F.asc_nulls_last("_id"), "_digest")
-    keys = cut(keys.withColumn("_row", F.monotonically_increasing_id()))
-    rows = written(docs.join(keys, _id(docs).eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))).drop("_id", "_digest"), "numbered")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    gone = small(cut(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()))
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    keys = docs.select(_id(docs).alias(key), digest.alias(sign)).distinct().orderBy(F.asc_nulls_last(key), sign)
+    keys = cut(keys.withColumn(row, F.monotonically_increasing_id()))
+    rows = written(docs.join(keys, _id(docs).eqNullSafe(F.col(key)) & (digest == F.col(sign))).drop(key, sign), "numbered")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    gone = small(cut(found.filter("NOT kept").select(F.col("doc_id").alias(out)).distinct()))
+    return rows.join(gone, F.col(row) == F.col(out), "left_anti").drop(row)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
