@@ -119,7 +119,14 @@ def frozen_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return P.reconciled(A.dead_stock(rows, T), by_item).select(F.round("total", 2).alias("total"), F.round("by_item", 2).alias("by_item"), "reconciled")
 
 
+def restricted_items(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{_new(spark)}/book.xlsx"
+    put(spark, at, xlsx.written({"A": [["=NOW()+1", "=[X.xlsx]S!A1", "=1+1", "=SNOW(1)"]], "B": [[1, "=rand()"]], "C": [[2, "=B!A1"]]}, hidden=("B", "C")))
+    return xlsx.restricted_items(xlsx.cells(spark, at), xlsx.sheets(spark, at)).drop("file")
+
+
 QUERIES = {
+    "restricted_items": restricted_items,
     "csv_scan": csv_scan, "xlsx_cells": xlsx_cells, "xlsx_sheets": xlsx_sheets, "workbook_class": workbook_class, "missing_cache": missing_cache, "folder_scan": folder_scan, "audit_folder": audit_folder,
     "frozen_reconciliation": frozen_reconciliation,
 }
@@ -147,6 +154,7 @@ def _cell_sql() -> str:
 
 
 ORACLE_SQL = {
+    "restricted_items": "SELECT * FROM (VALUES ('volatile', 'A', 'A1', '=NOW()+1'), ('external_ref', 'A', 'B1', '=[X.xlsx]S!A1'), ('volatile', 'B', 'B1', '=rand()'), ('hidden_sheet', 'B', NULL, NULL)) t(kind, sheet, cell, formula)",
     "csv_scan": f"SELECT CASE WHEN {_K} = 7 THEN 'soon' ELSE lpad((1 + {_K} % 28)::VARCHAR, 2, '0') || '/01/2024' END AS data, CASE WHEN {_K} <> 9 THEN 'item ' || {_K} % 5 END AS produto, n_name AS cliente, CASE WHEN {_K} = 11 THEN '?' ELSE 'R$ 1.' || lpad({_K}::VARCHAR, 3, '0') || ',50' END AS valor, {_K} || ',25' AS custo, 'store ' || n_regionkey AS loja, {_K} + 2 AS row_no FROM nation",
     "xlsx_cells": f"SELECT sheet, row, col, chr((64 + col)::INT) || row AS coord, num::DOUBLE AS num, txt, NULL AS bool, NULL AS err, formula FROM ({_cell_sql()}) WHERE num IS NOT NULL OR txt IS NOT NULL OR formula IS NOT NULL",
     "xlsx_sheets": "SELECT * FROM (VALUES ('Vendas', 0, 'visible', 26, 5), ('Estoque', 1, 'visible', 26, 5), ('Clientes', 2, 'visible', 26, 3), ('Notas', 3, 'visible', 2, 2)) t(sheet, position, state, rows, columns)",

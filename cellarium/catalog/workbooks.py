@@ -41,9 +41,22 @@ def workbook_values(s: SparkSession, d: str) -> DataFrame:
     return _values(W.evaluate(cells(s, d)))
 
 
+def _changes(s: SparkSession) -> DataFrame:
+    return s.sql("SELECT * FROM VALUES ('low', 'book', 'calc', 2, 1, 5D), ('high', 'book', 'calc', 2, 1, 500D), ('high', 'book', 'calc', 3, 3, 7D) t(scenario, file, sheet, row, col, num)")
+
+
 def scenario_recalc(s: SparkSession, d: str) -> DataFrame:
-    changes = s.sql("SELECT * FROM VALUES ('low', 'book', 'calc', 2, 1, 5D), ('high', 'book', 'calc', 2, 1, 500D), ('high', 'book', 'calc', 3, 3, 7D) t(scenario, file, sheet, row, col, num)")
-    return _values(W.evaluate(cells(s, d), changes))
+    return _values(W.evaluate(cells(s, d), _changes(s)))
+
+
+def override_trail(s: SparkSession, d: str) -> DataFrame:
+    return W.override_trail(cells(s, d), _changes(s)).drop("sheet")
+
+
+def certification_gate(s: SparkSession, d: str) -> DataFrame:
+    """Parity results that claim too much: the status PASSED, and a pass for what failed in row 2."""
+    claimed = _parity(s, d).withColumn("status", F.when(F.col("row") == 2, F.regexp_replace("status", "FAILED", "PASSED")).otherwise(F.col("status")))
+    return W.certification_gate(claimed, "PASSED").drop("sheet")
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
@@ -75,7 +88,7 @@ def risk_findings(s: SparkSession, d: str) -> DataFrame:
 
 
 def pattern_classes(s: SparkSession, d: str) -> DataFrame:
-    return W.pattern_classes(G.parsed(cells(s, d))).select("file", "row", "col", "class")
+    return W.pattern_classes(G.parsed(cells(s, d))).select("file", "row", "col", "class", "matched", F.round("density", 4).alias("density"))
 
 
 def _parity(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +112,7 @@ def pattern_pivot(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "workbook_values": workbook_values, "scenario_recalc": scenario_recalc, "dag_edges": dag_edges, "dag_levels": dag_levels, "dag_cycles": dag_cycles, "risk_findings": risk_findings,
-    "pattern_classes": pattern_classes, "parity_join": parity_join, "parity_score": parity_score, "pattern_pivot": pattern_pivot, "dag_roles": dag_roles, "daily_events": lambda s, d: windows.daily(read(s, d, "events")).withColumn("value", F.round("value", 4)),
+    "pattern_classes": pattern_classes, "parity_join": parity_join, "parity_score": parity_score, "override_trail": override_trail, "certification_gate": certification_gate, "pattern_pivot": pattern_pivot, "dag_roles": dag_roles, "daily_events": lambda s, d: windows.daily(read(s, d, "events")).withColumn("value", F.round("value", 4)),
 }
 
 _X = """q(s, v, w) AS (VALUES ('base', NULL, NULL), ('low', 5, NULL), ('high', 500, 7)), x AS (SELECT s, w, n_nationkey AS k, CASE WHEN n_nationkey = 1 THEN coalesce(v, 1) ELSE n_nationkey END AS a,
@@ -129,7 +142,10 @@ WHEN name[6:6] = 'D' OR name = 'calc!G1' THEN 2 WHEN name[6:6] = 'E' OR name = '
     "dag_roles": f"{_EDGES}, m AS (SELECT DISTINCT file, source AS name FROM g UNION SELECT file, target FROM g) SELECT file, name, CASE WHEN NOT EXISTS (FROM g WHERE g.file = m.file AND g.target = m.name) THEN 'input' WHEN NOT EXISTS (FROM g WHERE g.file = m.file AND g.source = m.name) THEN 'output' ELSE 'intermediate' END AS role FROM m",
     "risk_findings": """SELECT kind, file, 'calc!' || n AS name FROM (VALUES ('external_ref', 'book', 'G7'), ('unresolved', 'book', 'G4'), ('orphan_cell', 'book', 'G2'), ('orphan_cell', 'book', 'G3'), ('orphan_cell', 'book', 'G4'), ('orphan_cell', 'book', 'G7'), ('orphan_cell', 'other', 'C1'), ('orphan_cell', 'other', 'I10'),
 ('hardcoded_value', 'book', 'G6'), ('hardcoded_value', 'other', 'C1'), ('hardcoded_value', 'other', 'I10')) t(kind, file, n) UNION ALL SELECT 'hardcoded_value', 'book', 'calc!' || c || (n_nationkey + 1) FROM nation, (VALUES ('C'), ('D')) o(c)""",
-    "pattern_classes": f"{_FORMULAS} SELECT file, row, col, class FROM f",
+    "pattern_classes": f"""{_FORMULAS} SELECT file, row, col, class, CASE WHEN col = 4 THEN 'IF' WHEN col = 7 AND row IN (1, 3) THEN 'SUM' WHEN col = 7 AND row = 2 THEN 'SUMIF' END AS matched,
+CASE WHEN file = 'other' THEN CASE WHEN col = 9 AND row = 4 THEN 0.6667 ELSE 1 END WHEN col < 7 THEN [0.6, 0.3333, 0.6667][col - 2] ELSE [0.75, 0.625, 0.3636, 0.75, 1, 1, 1][row] END AS density FROM f""",
+    "override_trail": "SELECT * FROM (VALUES ('low', 'book', 2, 1, NULL, '1', 5, 'changes_input'), ('high', 'book', 2, 1, NULL, '1', 500, 'changes_input'), ('high', 'book', 3, 3, '=A3*2+B3', NULL, 7, 'replaces_formula')) t(scenario, file, row, col, formula, before, after, kind)",
+    "certification_gate": f"{_FORMULAS}, g AS (SELECT *, CASE WHEN row = 2 AND status = 'FAILED' THEN 'PASSED' ELSE status END AS said FROM f WHERE status IN ('PASSED', 'FAILED')) SELECT 'status' AS kind, NULL AS file, NULL AS row, NULL AS col, CASE WHEN count(*) FILTER (said = 'PASSED') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS detail FROM g HAVING count(*) FILTER (said = 'FAILED') > 0 UNION ALL SELECT 'flag', file, row, col, said FROM g WHERE said <> status",
     "parity_join": f"{_FORMULAS} SELECT file, row, col, status FROM f",
     "parity_score": f"{_FORMULAS}, n AS (SELECT count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status IN ('PASSED', 'FAILED')) AS counted FROM f) SELECT passed, counted, round(passed / counted, 6) AS score, CASE WHEN passed = counted THEN 'PASSED' WHEN passed > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM n",
     "pattern_pivot": f"{_FORMULAS} SELECT class, count(*) FILTER (status = 'PASSED') AS PASSED, count(*) FILTER (status = 'FAILED') AS FAILED, count(*) FILTER (status = 'SKIPPED_NO_CACHE') AS SKIPPED_NO_CACHE, count(*) FILTER (status = 'SKIPPED_EXTERNAL_REF') AS SKIPPED_EXTERNAL_REF FROM f GROUP BY class",

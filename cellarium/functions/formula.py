@@ -201,6 +201,12 @@ def constants(node: Node) -> list[float]:
     return own + [c for a in node.args for c in constants(a)]
 
 
+def density(formula: str) -> float:
+    """Kinds of tokens for each token: near 1 for plain formulas, low for long ones of the same few kinds."""
+    found = [t.kind for t in tokens(formula)]
+    return len(set(found)) / max(1, len(found))
+
+
 def template(node: Node, row: int, column: int) -> str:
     """The formula relative to its cell: equal for cells that were filled down or across."""
 

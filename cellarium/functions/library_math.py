@@ -408,16 +408,16 @@ numeric(A, "ERFC ERFC.PRECISE FUNERROCOMPL", 1, 1, python_number(math.erfc))
 # Units by dimension, each in terms of the first.
 UNITS = {
     "mass": {"g": 1.0, "kg": 1000.0, "mg": 0.001, "lbm": 453.59237, "ozm": 28.349523125, "ton": 907184.74, "sg": 14593.9029372064},
-    "length": {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "mi": 1609.344, "Nmi": 1852.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "ang": 1e-10},
+    "length": {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "nm": 1e-9, "mi": 1609.344, "Nmi": 1852.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "ang": 1e-10},
     "time": {"sec": 1.0, "s": 1.0, "mn": 60.0, "min": 60.0, "hr": 3600.0, "day": 86400.0, "d": 86400.0, "yr": 31557600.0},
     "pressure": {"Pa": 1.0, "p": 1.0, "kPa": 1000.0, "atm": 101325.0, "at": 101325.0, "mmHg": 133.322, "psi": 6894.757293168},
     "force": {"N": 1.0, "dyn": 1e-5, "lbf": 4.4482216152605},
-    "energy": {"J": 1.0, "kJ": 1000.0, "e": 1e-7, "c": 4.184, "cal": 4.1868, "eV": 1.602176487e-19, "Wh": 3600.0, "kWh": 3.6e6, "BTU": 1055.05585262, "HPh": 2684519.5376962},
-    "power": {"W": 1.0, "kW": 1000.0, "HP": 745.69987158227, "PS": 735.49875},
+    "energy": {"J": 1.0, "kJ": 1000.0, "e": 1e-7, "erg": 1e-7, "c": 4.184, "cal": 4.1868, "kcal": 4186.8, "eV": 1.602176487e-19, "ev": 1.602176487e-19, "Wh": 3600.0, "kWh": 3.6e6, "BTU": 1055.05585262, "btu": 1055.05585262, "HPh": 2684519.5376962},
+    "power": {"W": 1.0, "kW": 1000.0, "MW": 1e6, "HP": 745.69987158227, "PS": 735.49875},
     "volume": {"l": 1.0, "L": 1.0, "lt": 1.0, "ml": 0.001, "m3": 1000.0, "gal": 3.785411784, "qt": 0.946352946, "pt": 0.473176473, "cup": 0.2365882365, "tsp": 0.00492892159375, "tbs": 0.01478676478125, "oz": 0.0295735295625},
     "area": {"m2": 1.0, "km2": 1e6, "ha": 10000.0, "ft2": 0.09290304, "in2": 0.00064516, "mi2": 2589988.110336, "acre": 4046.8564224},
     "speed": {"m/s": 1.0, "m/h": 1 / 3600, "km/h": 1 / 3.6, "mph": 0.44704, "kn": 1852 / 3600},
-    "information": {"bit": 1.0, "byte": 8.0},
+    "information": {"bit": 1.0, "byte": 8.0, "kbit": 1e3, "Mbit": 1e6, "Gbit": 1e9},
 }
 
 

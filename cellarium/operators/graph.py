@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellarium.session import cut
 
-PARSED = "file string, sheet string, row int, col int, formula string, template string, functions array<string>, constants array<double>, external boolean, failed boolean, refs array<struct<sheet:string,top:int,left:int,bottom:int,right:int>>"
+PARSED = "file string, sheet string, row int, col int, formula string, template string, functions array<string>, constants array<double>, density double, external boolean, failed boolean, refs array<struct<sheet:string,top:int,left:int,bottom:int,right:int>>"
 NODE = ["file", "sheet", "row", "col"]
 #: Links that are collected and sorted on the driver.
 FEW = 50_000
@@ -34,9 +34,9 @@ def parsed(cells: DataFrame) -> DataFrame:
                 try:
                     node = X.parse(text)
                     refs = [(r.sheet or sheet, r.top, r.left, r.bottom, r.right) for r in X.refs(node)]
-                    rows.append((file, sheet, row, col, text, X.template(node, row, col), X.calls(node), X.constants(node), "[" in text, False, refs))
+                    rows.append((file, sheet, row, col, text, X.template(node, row, col), X.calls(node), X.constants(node), X.density(text), "[" in text, False, refs))
                 except X.FormulaError:
-                    rows.append((file, sheet, row, col, text, text, [], [], "[" in text, True, []))
+                    rows.append((file, sheet, row, col, text, text, [], [], None, "[" in text, True, []))
             yield pd.DataFrame(rows, columns=names)
 
     return cells.filter("formula IS NOT NULL").select(*NODE, "formula").mapInPandas(run, PARSED)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellarium.functions import formula as X
 from cellarium.functions import values as V
-from cellarium.functions.registry import classify
+from cellarium.functions.registry import classify, deciding
 from cellarium.operators import graph as G
 from cellarium.session import cut
 from cellarium.sources import xlsx
@@ -29,12 +29,13 @@ def _cell() -> F.Column:
 
 
 def pattern_classes(formulas: DataFrame) -> DataFrame:
-    """sheet, row, col, class of each formula; the distinct sets of functions are classified on the driver."""
+    """file, sheet, row, col, formula, class, matched (the function that decides the class) and density of each formula; the
+    distinct sets of functions, which are few, are classified on the driver."""
     sets = formulas.select(F.array_sort(F.array_distinct("functions")).alias("functions"), "external").distinct().collect()
-    table = [(sorted(r.functions), r.external, "EXTERNAL_REF" if r.external else classify(list(r.functions))) for r in sets]
+    table = [(sorted(r.functions), r.external, "EXTERNAL_REF" if r.external else classify(list(r.functions)), None if r.external else deciding(list(r.functions))) for r in sets]
     spark = formulas.sparkSession
-    known = spark.createDataFrame(table, "functions array<string>, external boolean, class string")
-    return formulas.withColumn("functions", F.array_sort(F.array_distinct("functions"))).join(F.broadcast(known), ["functions", "external"]).select(*G.NODE, "formula", "class")
+    known = spark.createDataFrame(table, "functions array<string>, external boolean, class string, matched string")
+    return formulas.withColumn("functions", F.array_sort(F.array_distinct("functions"))).join(F.broadcast(known), ["functions", "external"]).select(*G.NODE, "formula", "class", "matched", "density")
 
 
 def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels: int | None = None) -> DataFrame:
@@ -141,6 +142,35 @@ def parity_score(results: DataFrame) -> DataFrame:
     return counts.select("passed", "counted", score.alias("score"), F.when(score >= 1, "PASSED").when(score > 0, "PARTIAL").otherwise("FAILED").alias("status"))
 
 
+def certification_gate(results: DataFrame, claimed: str) -> DataFrame:
+    """kind, file, sheet, row, col, detail of what speaks against the claimed status of parity results: a status that the
+    results don't give, a pass or failure that the values don't bear out, an error value among the passes. None: certified."""
+    nowhere = [F.lit(None).cast(t).alias(c) for c, t in zip(G.NODE, ("string", "string", "int", "int"), strict=True)]
+    status = parity_score(results).filter(F.col("status") != claimed).select(F.lit("status").alias("kind"), *nowhere, F.col("status").alias("detail"))
+    want, got = (F.col(c).try_cast("double") for c in ("expected", "actual"))
+    near = F.abs(got - want) <= CLOSE * F.greatest(F.abs(got), F.abs(want))
+    same = F.coalesce(near, F.col("expected").eqNullSafe(F.col("actual")))
+    passed = F.col("status") == "PASSED"
+    counted = results.filter(~F.col("status").startswith("SKIPPED"))
+    flags = counted.filter(passed != same).select(F.lit("flag").alias("kind"), *G.NODE, F.col("status").alias("detail"))
+    errors = counted.filter(passed & F.col("actual").rlike(r"#[A-Z/0]+[!?]|#N/A")).select(F.lit("error_in_passed").alias("kind"), *G.NODE, F.col("actual").alias("detail"))
+    return status.unionByName(flags).unionByName(errors)
+
+
+def override_trail(cells: DataFrame, overrides: DataFrame) -> DataFrame:
+    """scenario, file, sheet, row, col, formula, before, after and kind (changes_input, replaces_formula, no_such_cell) of each
+    override(scenario, file, sheet, row, col, num)."""
+    before = cells.select(*G.NODE, "formula", F.coalesce("txt", V.shown(F.col("num")), F.upper(F.col("bool").cast("string")), "err").alias("before"), F.lit(True).alias("there"))
+    both = overrides.select("scenario", *G.NODE, F.col("num").alias("after")).join(before, G.NODE, "left")
+    kind = F.when(F.col("there").isNull(), "no_such_cell").when(F.col("formula").isNotNull(), "replaces_formula").otherwise("changes_input")
+    return both.select("scenario", *G.NODE, "formula", "before", "after", kind.alias("kind"))
+
+
+def verify_seal(document: dict, digest: str) -> bool:
+    """Whether the digest is the document's."""
+    return seal(document) == digest
+
+
 def seal(document: dict) -> str:
     """The digest of a document's canonical JSON."""
     return hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -158,6 +158,17 @@ def compatibility(spark: SparkSession, path: str) -> DataFrame:
     return _over(spark, path, rows, "file string, formulas long, has_macros boolean, has_external_links boolean, volatile_formulas long, verdict string")
 
 
+def restricted_items(cells_: DataFrame, sheets_: DataFrame) -> DataFrame:
+    """kind, file, sheet, cell, formula of what restricts a workbook: references to other books, volatile functions, and hidden
+    sheets with either."""
+    volatile = F.col("formula").rlike(rf"(?i)(?<![\w.])(?:{'|'.join(VOLATILE)})\(")
+    kind = F.when(F.col("formula").contains("["), "external_ref").when(volatile, "volatile")
+    items = cells_.withColumn("kind", kind).filter("kind IS NOT NULL").select("kind", "file", "sheet", F.col("coord").alias("cell"), F.substring("formula", 1, 200).alias("formula"))
+    hidden = items.select("file", "sheet").distinct().join(sheets_.filter("state <> 'visible'").select("file", "sheet"), ["file", "sheet"])
+    none = F.lit(None).cast("string")
+    return items.unionByName(hidden.select(F.lit("hidden_sheet").alias("kind"), "file", "sheet", none.alias("cell"), none.alias("formula")))
+
+
 def missing_cache(cells_: DataFrame) -> DataFrame:
     """Formula cells that hold no computed value."""
     none = F.col("num").isNull() & F.col("txt").isNull() & F.col("bool").isNull() & F.col("err").isNull()
@@ -172,13 +183,14 @@ def grid(cells_: DataFrame, sheet: str, width: int) -> tuple[DataFrame, list[str
     return rows.filter("row_no > 1"), [(head[f"c{i}"] or "") if head else "" for i in range(width)]
 
 
-def written(tables: dict[str, list[list[object]]]) -> bytes:
+def written(tables: dict[str, list[list[object]]], hidden: tuple[str, ...] = ()) -> bytes:
     """A small workbook of these sheets; a text that begins with = is a formula. For fixtures and reports."""
     out = io.BytesIO()
     escape = lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    state = lambda name: ' state="hidden"' if name in hidden else ""
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(tables, 1)) + "</sheets></workbook>")
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"{state(n)}/>' for i, n in enumerate(tables, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="x" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(tables) + 1)) + "</Relationships>")
         for i, rows in enumerate(tables.values(), 1):
             body = []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellarium.operators import audit as A
 from cellarium.operators.thresholds import Thresholds
 from cellarium.plans.audit import frozen_capital, run_audit
+from cellarium.plans.dashboard import views
 
 T = Thresholds()
 
@@ -112,5 +113,9 @@ def test_whole_audit_and_empty_input(sales, spark):
     assert full["outliers"].first().original_value == 1e6
     assert {r.id for r in full["executive_totals"].collect()} <= {"act-operational", "act-capital", "act-ltv"}
     assert all(r.customer.startswith("Client_") for r in full["customer_concentration"].collect())
+    shown = views(full)
+    assert [r.store for r in shown["ranked_stores"].collect()] == full["store_macro"].first().revenue_rank
+    money = [r.monetary for r in shown["rfm_champions"].collect()]
+    assert money == sorted(money, reverse=True) and shown["dead_skus"].count() == full["dead_skus"].count() and shown["masked_stores"].filter("NOT masks_negative_product_margin").count() == 0
     for name, df in run_audit(sales([]), stock.limit(0), people.limit(0), finance.limit(0)).items():
         assert df.count() == 0, name

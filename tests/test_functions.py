@@ -21,7 +21,7 @@ CASES = {
     "dates": [("=DATE(2024,1,1)", 45292), ("=DATE(2024,13,1)", 45658), ("=YEAR(45292)", 2024), ("=WEEKDAY(45292)", 2), ("=EDATE(45322,1)", 45351), ("=EOMONTH(45292,1)", 45351), ('=DATEDIF(45292,45350,"M")', 1), ("=DAYS360(45292,45658)", 360), ("=NETWORKDAYS(45292,45296)", 5), ("=WORKDAY(45292,5)", 45299), ("=HOUR(0.75)", 18), ('=DATEVALUE("x")', "#VALUE!")],
     "lookup": [('=VLOOKUP(2,{1,"a";2,"b"},2,FALSE)', "b"), ('=VLOOKUP(9,{1,"a";2,"b"},2)', "#N/A"), ('=HLOOKUP(2,{1,2;"x","y"},2)', "y"), ("=INDEX({1,2;3,4},2,1)", 3), ("=INDEX({1,2},9)", "#REF!"), ("=MATCH(6,{1,5,9})", 2), ('=XLOOKUP(7,{1,2},{3,4},"no")', "no"), ('=LOOKUP(6,{1,5,9},{"a","b","c"})', "b"), ("=ADDRESS(2,28)", "$AB$2"), ("=SUM(FILTER({1,5,9},{0,1,1}))", 14), ("=SUM(UNIQUE({1,1,2}))", 3)],
     "finance": [("=PMT(0.01,12,1000)", -88.8488), ("=RATE(12,-88.8488,1000)", 0.01), ("=IRR({-100,60,60})", 0.130662), ("=NPV(0.1,100,100)", 173.5537), ("=MIRR({-100,60,60},0.1,0.1)", 0.122497), ("=DDB(100,10,5,2)", 24), ("=IPMT(0.01,1,12,1000)", -10), ("=XNPV(0.1,{-100,110},{0,365})", 0), ("=DOLLARDE(1.02,16)", 1.125)],
-    "engineering": [("=DEC2BIN(-2)", "1111111110"), ('=HEX2DEC("FF")', 255), ('=HEX2DEC("XYZ")', "#NUM!"), ("=BITAND(12,10)", 8), ('=CONVERT(100,"C","F")', 212), ('=CONVERT(1,"km","kg")', "#N/A"), ("=ERF(1)", 0.842701), ('=IMABS("3+4i")', 5), ('=IMSUM("1+i","2-3i")', "3-2i"), ("=BASE(255,16)", "FF"), ('=DECIMAL("FF",16)', 255)],
+    "engineering": [("=DEC2BIN(-2)", "1111111110"), ('=HEX2DEC("FF")', 255), ('=HEX2DEC("XYZ")', "#NUM!"), ("=BITAND(12,10)", 8), ('=CONVERT(100,"C","F")', 212), ('=CONVERT(1,"km","kg")', "#N/A"), ('=CONVERT(1,"kcal","J")', 4186.8), ('=CONVERT(1,"Gbit","Mbit")', 1000), ('=CONVERT(2,"MW","kW")', 2000), ('=ROMAN(3999)', "MMMCMXCIX"), ('=ARABIC("-MCMXCIV")', -1994), ("=ERF(1)", 0.842701), ('=IMABS("3+4i")', 5), ('=IMSUM("1+i","2-3i")', "3-2i"), ("=BASE(255,16)", "FF"), ('=DECIMAL("FF",16)', 255)],
     "names": [("=FOO(1)", "#NAME?"), ("=BESSELI(1,2)", "#UNSUPPORTED!"), ("=DISCOUNT(1)", "#NAME?"), ("=PRICELIST(1)", "#NAME?"), ("=_xlfn.BYROW(1,2)", "#UNSUPPORTED!"), ('=_xlfn.SWITCH(1,1,"a")', "a"), ("=SOMA(1,2)", 3), ("=[Book.xlsx]S!A1", "#EXT!"), ("=MÉDIA(1,3)", 2), ("=PROCV(1,{1,5},2)", 5), ("=SUM()", "#VALUE!")],
 }
 

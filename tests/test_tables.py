@@ -167,3 +167,21 @@ def test_daily_stream_equals_daily_table(spark, tmp_path):
     query = windows.daily(windows.stream(spark, f"{tmp_path}/e")).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert sorted(spark.table("daily").collect()) == sorted(windows.daily(spark.read.parquet(f"{tmp_path}/e")).collect())
+
+
+def test_files_with_equal_sheet_names_are_apart(spark):
+    rows = [("f", "S", 1, 1, "A1", None, None, None, None, "=B1+1"), ("f", "S", 1, 2, "B1", 2.0, None, None, None, None), ("g", "S", 1, 2, "B1", None, None, None, None, "=A1*2"), ("g", "S", 1, 1, "A1", 5.0, None, None, None, None)]
+    cells = spark.createDataFrame(rows, xlsx.CELLS)
+    found = {(r.file, r.col): r.value.n for r in W.evaluate(cells).collect()}
+    assert found == {("f", 1): 3.0, ("f", 2): 2.0, ("g", 2): 10.0, ("g", 1): 5.0}
+    changes = spark.createDataFrame([("s", "g", "S", 1, 1, 7.0), ("t", None, "S", 1, 1, 1.0)], "scenario string, file string, sheet string, row int, col int, num double")
+    found = {(r.scenario, r.file, r.col): r.value.n for r in W.evaluate(cells, changes).collect()}
+    assert found["s", "g", 2] == 14.0 and found["s", "f", 1] == 3.0 and found["t", "g", 2] == 2.0 and found["t", "f", 1] == 1.0
+
+
+def test_certification(spark):
+    rows = [("base", "f", "S", 1, 1, "=1", "1", "1", "PASSED"), ("base", "f", "S", 1, 2, "=1", "1", "2", "PASSED"), ("base", "f", "S", 1, 3, "=1", "#N/A", "#N/A", "PASSED"), ("base", "f", "S", 1, 4, "=1", "2", "2.0000000001", "FAILED"), ("base", "f", "S", 1, 5, "=1", None, "9", "SKIPPED_NO_CACHE")]
+    results = spark.createDataFrame(rows, "scenario string, file string, sheet string, row int, col int, formula string, expected string, actual string, status string")
+    assert {(r.kind, r.col) for r in W.certification_gate(results, "PASSED").collect()} == {("status", None), ("flag", 2), ("flag", 4), ("error_in_passed", 3)}
+    assert W.certification_gate(results.filter("col = 1"), "PASSED").count() == 0
+    assert W.verify_seal({"a": 1}, W.seal({"a": 1})) and not W.verify_seal({"a": 2}, W.seal({"a": 1}))
