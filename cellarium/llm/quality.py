@@ -2,7 +2,7 @@
 
 Statistics come from whole texts in one pass and are stored; the text is not read again. Cosines of fixed random
 projections of the standardised statistics approximate a Gaussian kernel; their normal equations are summed within each
-task, then in FANS groups, so a fixed number of small matrices reaches the driver. Ridge is solved there, and the scores
+task, then in a tree of FANS, always in the same order, so a fixed number of small matrices reaches the driver. Ridge is solved there, and the scores
 of a part of the labelled rows kept from it are binned (BINS counts) for the isotonic fit.
 
 Defined cases: null text counts as empty and is scored as such; a null doc_id counts as held out; rows that repeat are
@@ -23,7 +23,7 @@ from cellarium.llm import shingles as S
 from cellarium.llm.common import bounded_batches, shared_dir, table, written
 
 FEATURES, WIDTH, RIDGE, SEED = 256, 4.0, 1e-3, 20240607
-BINS, FANS, CUTOFF = 2000, 8, 0.3
+BINS, FANS, CUTOFF = 2000, (1024, 32), 0.3
 LOWEST, HIGHEST = -1.0, 2.0
 
 #: Classes of bytes: lower case, upper case, digit, sentence mark, other mark, space, line end, other control, not ASCII.
@@ -101,13 +101,18 @@ def fit_ridge(rows: DataFrame, kernel: Kernel) -> np.ndarray:
             total += z.T @ np.column_stack([z, np.array(batch.column("y"))])
             seen += len(z)
         if seen:
-            yield pa.RecordBatch.from_pydict({"fan": [int(total[0, 0] * 1e6) % FANS], "sums": [total.tobytes()], "n": [seen]})
+            yield pa.RecordBatch.from_pydict({"fan": [int(total[0, 0] * 1e6)], "sums": [total.tobytes()], "n": [seen]})
 
     def summed(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b) for b in group.column("sums").to_pylist())
-        return pa.table({"sums": [total.tobytes()], "n": [sum(group.column("n").to_pylist())]})
-
-    parts = rows.mapInArrow(partial, "fan long, sums binary, n long").groupBy("fan").applyInArrow(summed, "sums binary, n long").collect()
+        # Sorted, as sums of doubles depend on their order and rows arrive in any.
+        total = sum(map(np.frombuffer, sorted(group.column("sums").to_pylist())))
+        return pa.table({"fan": group.column("fan")[:1], "sums": [total.tobytes()], "n": [sum(group.column("n").to_pylist())]})
+
+    kind = "fan long, sums binary, n long"
+    parts = rows.mapInArrow(partial, kind)
+    for width in FANS:
+        parts = parts.withColumn("fan", F.pmod("fan", F.lit(width))).groupBy("fan").applyInArrow(summed, kind)
+    parts = sorted(parts.collect(), key=lambda p: p.sums)
     total = sum((np.frombuffer(p.sums) for p in parts), np.zeros((FEATURES + 1) * (FEATURES + 2))).reshape(FEATURES + 1, FEATURES + 2)
     n = max(1, sum(p.n for p in parts))
     return np.linalg.solve(total[:, :-1] / n + RIDGE * np.eye(FEATURES + 1), total[:, -1] / n)
