@@ -46,14 +46,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """first row, bytes and row offsets of stretches of about BLOCK bytes; nulls count as empty."""
+def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """first row, bytes and row offsets of stretches of about `size` bytes; nulls count as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + size, side="right")) - 1)
         yield first, data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
         first = last
 
