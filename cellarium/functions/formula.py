@@ -54,18 +54,25 @@ def tokens(formula: str) -> list[Token]:
 
 @dataclass(frozen=True)
 class Ref:
-    """A rectangle of cells; a cell is one of one row and column. Open columns have no last row."""
+    """A rectangle of cells; a cell is one of one row and column. Open columns have no last row. fixed says which of its sides
+    (top, left, bottom, right) stay where they are when the formula is filled down or across."""
 
     sheet: str | None
     top: int
     left: int
     bottom: int | None
     right: int
-    fixed: tuple[bool, bool] = (False, False)
+    fixed: tuple[bool, bool, bool, bool] = (False, False, False, False)
 
     @property
     def single(self) -> bool:
-        return (self.top, self.left) == (self.bottom, self.right)
+        """One cell, and one in each cell that the formula is filled into."""
+        return (self.top, self.left) == (self.bottom, self.right) and self.fixed[:2] == self.fixed[2:]
+
+    @property
+    def steady(self) -> bool:
+        """Of one shape in each cell that the formula is filled into."""
+        return self.bottom is not None and self.fixed[:2] == self.fixed[2:]
 
 
 @dataclass(frozen=True)
@@ -86,11 +93,13 @@ def parse_ref(text: str) -> Ref:
     sheet, _, area = text.rpartition("!")
     sheet = sheet.strip("'").replace("''", "'") or None
     a, _, b = area.partition(":")
+    sides = sorted(((column_number(re.sub(r"[$\d]", "", x)), x.startswith("$")) for x in (a, b or a)), key=lambda s: s[0])
+    (left, left_fixed), (right, right_fixed) = sides
     if not re.search(r"\d", area):
-        return Ref(sheet, 1, column_number(a.replace("$", "")), None, column_number((b or a).replace("$", "")))
-    (c1, r1), (c2, r2) = CELL.match(a).groups(), CELL.match(b or a).groups()
-    rows, columns = sorted((int(r1), int(r2))), sorted((column_number(c1), column_number(c2)))
-    return Ref(sheet, rows[0], columns[0], rows[1], columns[1], (a.startswith("$"), "$" in a[1:]))
+        return Ref(sheet, 1, left, None, right, (True, left_fixed, True, right_fixed))
+    ends = sorted(((int(CELL.match(x)[2]), "$" in x[1:]) for x in (a, b or a)), key=lambda s: s[0])
+    (top, top_fixed), (bottom, bottom_fixed) = ends
+    return Ref(sheet, top, left, bottom, right, (top_fixed, left_fixed, bottom_fixed, right_fixed))
 
 
 class _Parser:
@@ -208,12 +217,13 @@ def density(formula: str) -> float:
 
 
 def template(node: Node, row: int, column: int) -> str:
-    """The formula relative to its cell: equal for cells that were filled down or across."""
+    """The formula relative to its cell, but for fixed sides: equal for cells that were filled down or across."""
 
     def place(r: Ref) -> str:
-        bottom = "" if r.bottom is None else f"R[{r.bottom - row}]"
-        top = "" if r.bottom is None else f"R[{r.top - row}]"
-        return f"{r.sheet or ''}!{top}C[{r.left - column}]:{bottom}C[{r.right - column}]"
+        side = lambda at, fixed, own: f"{at}" if fixed else f"[{at - own}]"
+        top, left, bottom, right = r.fixed
+        rows = ("", "") if r.bottom is None else (f"R{side(r.top, top, row)}", f"R{side(r.bottom, bottom, row)}")
+        return f"{r.sheet or ''}!{rows[0]}C{side(r.left, left, column)}:{rows[1]}C{side(r.right, right, column)}"
 
     if node.kind == "ref":
         return place(node.value)

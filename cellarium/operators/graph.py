@@ -134,14 +134,50 @@ def _least_reaching(links: DataFrame) -> DataFrame:
             return found
 
 
+def _circles_here(links: list[tuple]) -> list[list[tuple]]:
+    """The strong components of more than one node: a walk forward gives an order, and walks back in it the components."""
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for a, b in links:
+        ahead[a].append(b)
+        behind[b].append(a)
+    order, seen = [], set()
+    for start in list(ahead):
+        path = [] if start in seen else [(start, iter(ahead[start]))]
+        seen.add(start)
+        while path:
+            after = next((b for b in path[-1][1] if b not in seen), None)
+            if after is None:
+                order.append(path.pop()[0])
+            else:
+                seen.add(after)
+                path.append((after, iter(ahead[after])))
+    found, taken = [], set()
+    for start in reversed(order):
+        member, todo = [], [start]
+        while todo:
+            name = todo.pop()
+            if name not in taken:
+                taken.add(name)
+                member.append(name)
+                todo += behind[name]
+        if len(member) > 1:
+            found.append(member)
+    return found
+
+
 def cycles(left: DataFrame) -> DataFrame:
     """file, name, cycle (its least member), size, kind (self, direct, indirect) of the nodes on cycles, from what levels()
     left. A cycle is a strongly connected component: nodes that reach each other.
 
-    In each round a node takes the least node that reaches it. Those that also reach that node back are its component;
-    they go, and links between nodes of different least ones can be on no cycle, so they go, too."""
+    Up to FEW links are walked on the driver. Of more, in each round a node takes the least node that reaches it. Those that
+    also reach that node back are its component; they go, and links between nodes of different least ones can be on no
+    cycle, so they go, too."""
     own = left.filter("source = target").select("file", F.col("source").alias("name"), F.col("source").alias("cycle"), F.lit(1).cast("long").alias("size"), F.lit("self").alias("kind"))
     rest, done = cut(left.filter("source <> target").select("file", "source", "target").distinct()), None
+    if rest.limit(FEW + 1).count() <= FEW:
+        rings = _circles_here([((r.file, r.source), (r.file, r.target)) for r in rest.collect()])
+        rows = [(file, name, min(m)[1], len(m), "direct" if len(m) == 2 else "indirect") for m in rings for file, name in m]
+        return own.unionByName(left.sparkSession.createDataFrame(rows, "file string, name string, cycle string, size long, kind string"))
     while True:
         rest = _trimmed(rest)
         if rest.limit(1).count() == 0:

@@ -1,27 +1,30 @@
 """A workbook as a plan: classes, graph, evaluation by levels and templates, parity, scenarios.
 
-Formulas that were filled down share a template, and all its cells of one level are evaluated by one expression: their
-operands are joined in as columns, ranges as arrays. A scenario is a set of changed cells; all scenarios run at once.
+Formulas that were filled along share a template, and all cells of one level are evaluated by one expression; see recalc.py,
+and chains.py for formulas that use the cell before them. A scenario is a set of changed cells; all scenarios run at once, as
+differences from the base.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.functions import formula as X
 from cellarium.functions import values as V
 from cellarium.functions.registry import classify, deciding
 from cellarium.operators import graph as G
+from cellarium.operators.runs import ordered
+from cellarium.plans.chains import foldable, scanned
+from cellarium.plans.recalc import KEY, State, Template, computed, touched
 from cellarium.session import cut
 from cellarium.sources import xlsx
 
 #: Relative distance at which numbers count as equal.
 CLOSE = 1e-7
-KEY = ["scenario", *G.NODE]
 
 
 def _cell() -> F.Column:
@@ -42,72 +45,103 @@ def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels:
     """scenario, file, sheet, row, col, value (a CELL) of all cells. overrides(scenario, file, sheet, row, col, num) change inputs,
     or replace formulas (without a column file, or where it is null, in all files); without overrides there is one scenario,
     "base". Cells on a cycle or after one get #CYCLE!. Files are apart."""
-    spark = cells.sparkSession
-    formulas = cut(G.parsed(cells))
-    links = cut(G.edges(cells, formulas))
-    order, stuck = G.levels(links, most_levels)
-    names = formulas.withColumn("name", G.node("sheet", "row", "col"))
-    levelled = names.join(order, ["file", "name"], "left")
-    stuck_names = stuck.select("file", F.col("target").alias("name")).distinct().withColumn("stuck", F.lit(True))
-    # A formula without references is on level 0; one that is stuck has no level.
-    levelled = cut(levelled.join(stuck_names, ["file", "name"], "left").withColumn("level", F.when(F.col("stuck"), None).otherwise(F.coalesce("level", F.lit(0)))))
+    plan = planned(cells, most_levels)
+    base = plan.base()
     if overrides is None:
-        overrides = spark.createDataFrame([], "scenario string, file string, sheet string, row int, col int, num double")
-        scenarios = spark.createDataFrame([("base",)], "scenario string")
-    else:
-        scenarios = overrides.select("scenario").distinct()
-    which = F.col("file") if "file" in overrides.columns else F.lit(None).cast("string")
-    changed = overrides.select("scenario", which.alias("ofile"), F.col("sheet").alias("os"), F.col("row").alias("orow"), F.col("col").alias("ocol"), F.col("num").alias("onum"))
-    base = cells.crossJoin(F.broadcast(scenarios))  # as many copies of the inputs as scenarios
-    here = (base.scenario == changed.scenario) & F.coalesce(changed.ofile == base.file, F.lit(True)) & (base.sheet == changed.os) & (base.row == changed.orow) & (base.col == changed.ocol)
-    base = base.join(F.broadcast(changed), here, "left").select(base.scenario, *(base[c] for c in G.NODE), "formula", _cell().alias("own"), "onum", F.col("orow").isNotNull().alias("fixed"))
-    new = F.struct(F.col("onum").alias("n"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("string").alias("e"))
-    state = cut(base.filter("formula IS NULL OR fixed").select(*KEY, F.when(F.col("fixed"), new).otherwise(F.col("own")).alias("value")))
-    todo = cut(base.filter("formula IS NOT NULL AND NOT fixed").select(*KEY).join(levelled.drop("name", "stuck", "formula"), G.NODE).join(cells.select(*G.NODE, "formula"), G.NODE))
-    last = todo.agg(F.max("level")).first()[0]
-    for level in range((last if last is not None else -1) + 1):
-        ready = todo.filter(F.col("level") == level)
-        shapes = ready.groupBy("template").agg(F.min(F.struct("sheet", "row", "col", "formula")).alias("one")).collect()  # a row per distinct formula
-        parts = [_evaluated(ready.filter(F.col("template") == s.template), state, s.one) for s in shapes]
-        for p in parts:
-            state = state.unionByName(p)
-        state = cut(state)
-    lost = todo.filter("level IS NULL").select(*KEY, V.Val(e=F.lit("#CYCLE!")).struct().cast(V.CELL).alias("value"))
-    return state.unionByName(lost)
-
-
-def _evaluated(ready: DataFrame, state: DataFrame, one) -> DataFrame:  # noqa: ANN001
-    """The cells of one template, from the values in state."""
-    try:
-        tree = X.parse(one.formula)
-    except X.FormulaError:
-        return ready.select(*KEY, V.err(V.NAME).struct().cast(V.CELL).alias("value"))
-    refs = list(dict.fromkeys(X.refs(tree)))
-    places = {r: X.refs(tree).index(r) for r in refs}
-    rows, values = ready, {}
-    for k, ref in enumerate(refs):
-        at = F.col("refs")[places[ref]]
-        other = state.select(*(F.col(c).alias(f"_{c}") for c in KEY), F.col("value").alias(f"v{k}"))
-        match = (F.col("scenario") == F.col("_scenario")) & (F.col("file") == F.col("_file")) & (at["sheet"] == F.col("_sheet"))
-        if ref.single:
-            rows = rows.join(other, match & (at["top"] == F.col("_row")) & (at["left"] == F.col("_col")), "left").drop(*(f"_{c}" for c in KEY))
-            values[ref] = V.cell(F.col(f"v{k}"))
-            continue
-        width = ref.right - ref.left + 1
-        spread = rows.select(*KEY, at.alias("at"), F.explode(F.sequence(at["left"], at["right"])).alias("c"))
-        hit = (F.col("scenario") == F.col("_scenario")) & (F.col("file") == F.col("_file")) & (F.col("at.sheet") == F.col("_sheet")) & (F.col("c") == F.col("_col"))
-        hit = hit & (F.col("_row") >= F.col("at.top")) & (F.col("_row") <= F.coalesce(F.col("at.bottom"), F.lit(1 << 30)))
-        found = spread.join(other, hit).withColumn("i", (F.col("_row") - F.col("at.top")) * width + F.col("_col") - F.col("at.left"))
-        lists = found.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("i", f"v{k}"))).alias(f"m{k}"), F.max("i").alias(f"n{k}"))
-        rows = rows.join(lists, KEY, "left")
-        size = F.lit((ref.bottom - ref.top + 1) * width) if ref.bottom is not None else F.ceil((F.coalesce(F.col(f"n{k}"), F.lit(0)) + 1) / width).cast("int") * width
-        held = F.col(f"m{k}")
-        cells = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.try_element_at(held, i))  # noqa: B023
-        blank = F.lit(None).cast(V.CELL)
-        cells = F.transform(cells, lambda c: F.coalesce(c, F.struct(blank["n"].alias("n"), blank["t"].alias("t"), blank["b"].alias("b"), blank["e"].alias("e"))))
-        values[ref] = V.span(cells, (ref.bottom - ref.top + 1, width) if ref.bottom is not None else None)
-    out = V.scalar(X.compile_node(tree, lambda r: values[r]))
-    return rows.select(*KEY, out.struct().cast(V.CELL).alias("value"))
+        return base.select(F.lit("base").alias("scenario"), *G.NODE, "value")
+    changed = plan.changed(base, overrides)
+    copies = base.crossJoin(F.broadcast(overrides.select("scenario").distinct()))  # as many copies of the base as scenarios
+    new = changed.withColumnRenamed("value", "new").withColumn("hit", F.lit(True))
+    return copies.join(new, KEY, "left").select(*KEY, F.when(F.col("hit"), F.col("new")).otherwise(F.col("value")).alias("value"))
+
+
+def recomputed(cells: DataFrame, overrides: DataFrame) -> DataFrame:
+    """scenario, file, sheet, row, col of the cells whose value a scenario sets or computes again: all others are the base's."""
+    plan = planned(cells)
+    return plan.changed(plan.base(), overrides).select(*KEY)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A workbook ready to be computed: its inputs (file, sheet, row, col, value) and its formulas in order."""
+
+    inputs: DataFrame
+    formulas: DataFrame
+    #: level, shape (null: no scan), template, a formula of it and the largest size of each of its references.
+    steps: list[tuple[int, str | None, str, str, dict[int, int]]]
+
+    def base(self) -> DataFrame:
+        """file, sheet, row, col, value of all cells."""
+        formulas = self.formulas.withColumn("scenario", F.lit("base")).withColumn("fixed", F.lit(None).cast(V.CELL))
+        state = cut(self.inputs)
+        for level in self._levels():
+            new = self._level(level, formulas.filter(F.col("level") == level), State(state))
+            state = _grown(state, new.select(*G.NODE, "value"), level)
+        lost = self.formulas.filter("level IS NULL").select(*G.NODE, V.Val(e=F.lit("#CYCLE!")).struct().cast(V.CELL).alias("value"))
+        return cut(state.unionByName(lost))
+
+    def changed(self, base: DataFrame, overrides: DataFrame) -> DataFrame:
+        """scenario and the cells and values of what overrides(scenario, sheet, row, col, num, perhaps file) change: themselves,
+        and the formulas that use changed cells. A scan is computed again from its first changed row on."""
+        which = F.col("file") if "file" in overrides.columns else F.lit(None).cast("string")
+        given = overrides.select("scenario", which.alias("ofile"), "sheet", "row", "col", "num")
+        there = base.join(given, ["sheet", "row", "col"]).filter("ofile IS NULL OR ofile = file")
+        value = F.struct(F.col("num").alias("n"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("string").alias("e"))
+        fixed = cut(there.select(*KEY, value.cast(V.CELL).alias("value")).dropDuplicates(KEY))
+        state = fixed
+        at = F.when(F.col("down"), F.col("row")).otherwise(F.col("col"))
+        for level in self._levels():
+            formulas = self.formulas.filter(F.col("level") == level)
+            hit = touched(formulas, state).join(fixed.select(*KEY), KEY, "left_anti")
+            plain = formulas.filter("shape IS NULL").join(hit, G.NODE).withColumn("fixed", F.lit(None).cast(V.CELL))
+            scans = formulas.filter("shape IS NOT NULL")
+            # Changed cells of a scan itself count, too, for those after them.
+            began = scans.join(hit.unionByName(fixed.select(*KEY)), G.NODE).groupBy("scenario", "file", "node").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+            rest = scans.join(began, ["file", "node"]).filter((F.col("ahead") & (at >= F.col("low"))) | (~F.col("ahead") & (at <= F.col("high")))).drop("low", "high")
+            rest = rest.join(fixed.withColumnRenamed("value", "fixed"), KEY, "left")
+            ready = plain.unionByName(rest)
+            new = self._level(level, ready, State(base, state)).join(fixed.select(*KEY), KEY, "left_anti")
+            state = _grown(state, new, level)
+        return state
+
+    def _levels(self) -> list[int]:
+        return sorted({s[0] for s in self.steps})
+
+    def _level(self, level: int, ready: DataFrame, state: State) -> DataFrame:
+        """KEY, value of the cells of ready, which are on this level."""
+        ready, parts = cut(ready), []
+        plain = {t: Template(one, areas) for at, shape, t, one, areas in self.steps if at == level and shape is None}
+        if plain:
+            parts += computed(ready.filter("shape IS NULL"), plain, state)
+        shapes: dict[str, dict[str, Template]] = {}
+        for at, shape, t, one, areas in self.steps:
+            if at == level and shape is not None:
+                shapes.setdefault(shape, {})[t] = Template(one, areas)
+        parts += [scanned(ready.filter(F.col("shape") == shape), shape, templates, state) for shape, templates in shapes.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return cut(out)
+
+
+def _grown(state: DataFrame, new: DataFrame, level: int) -> DataFrame:
+    """state and the new cells, which alone have been written; the parts are put together now and then."""
+    both = state.unionByName(new)
+    return cut(both) if level % 16 == 15 else both
+
+
+def planned(cells: DataFrame, most_levels: int | None = None) -> Plan:
+    formulas = ordered(G.parsed(cells), foldable, most_levels)
+    area = (F.col("r.bottom") - F.col("r.top") + 1) * (F.col("r.right") - F.col("r.left") + 1)
+    sizes = formulas.filter("level IS NOT NULL").select("level", "shape", "template", "formula", F.posexplode_outer("refs").alias("p", "r"))
+    sizes = sizes.groupBy("level", "shape", "template", "p").agg(F.min("formula").alias("one"), F.max(F.coalesce(area, F.lit(1 << 30))).alias("area"))
+    steps: dict[tuple, tuple[str, dict[int, int]]] = {}
+    for r in sizes.collect():  # a row for each reference of each distinct formula
+        one, areas = steps.setdefault((r.level, r.shape, r.template), (r.one, {}))
+        if r.p is not None:
+            areas[r.p] = r.area
+    inputs = cells.filter("formula IS NULL").select(*G.NODE, _cell().cast(V.CELL).alias("value"))
+    return Plan(inputs, formulas, [(*k, *v) for k, v in sorted(steps.items(), key=str)])
 
 
 def parity(computed: DataFrame, cells: DataFrame) -> DataFrame:
