@@ -22,24 +22,41 @@ FEW = 50_000
 
 
 def parsed(cells: DataFrame) -> DataFrame:
-    """The formulas of cells with what is in them. References that name no sheet are to the formula's own."""
+    """The formulas of cells with what is in them. References that name no sheet are to the formula's own. A formula that was
+    filled along is parsed once a batch of rows; the others of its kind take its tree and move its references."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from cellarium.functions import formula as X
 
         names = [c.split(" ")[0] for c in PARSED.split(", ")]
+
+        def known(text: str, row: int, col: int) -> tuple:
+            """What all formulas of a kind share, and their references: sheet and four sides with whether each is fixed."""
+            try:
+                node = X.parse(text)
+            except X.FormulaError:
+                return (text, [], [], None, "[" in text, True), []
+            found = [(r.sheet, [(side, fixed) for side, fixed in zip((r.top, r.left, r.bottom, r.right), r.fixed, strict=True)]) for r in X.refs(node)]
+            moved = [(sheet, [(None if x is None else x if fixed else x - (row, col)[i % 2], fixed) for i, (x, fixed) in enumerate(sides)]) for sheet, sides in found]
+            return (X.template(node, row, col), X.calls(node), X.constants(node), X.density(text), "[" in text, False), moved
+
         for frame in frames:
-            rows = []
+            rows, seen = [], {}
             for file, sheet, row, col, text in zip(frame["file"], frame["sheet"], frame["row"], frame["col"], frame["formula"], strict=True):
-                try:
-                    node = X.parse(text)
-                    refs = [(r.sheet or sheet, r.top, r.left, r.bottom, r.right) for r in X.refs(node)]
-                    rows.append((file, sheet, row, col, text, X.template(node, row, col), X.calls(node), X.constants(node), X.density(text), "[" in text, False, refs))
-                except X.FormulaError:
-                    rows.append((file, sheet, row, col, text, text, [], [], None, "[" in text, True, []))
+                key = X.kind(text, row, col)
+                found = seen.get(key) if key is not None else None
+                if found is None:
+                    found = known(text, row, col)
+                    if key is not None and not found[0][-1]:
+                        seen[key] = found
+                shared, sides = found
+                refs = [(own or sheet, *(None if x is None else x if fixed else x + (row, col)[i % 2] for i, (x, fixed) in enumerate(four))) for own, four in sides]
+                rows.append((file, sheet, row, col, text, *shared, refs))
             yield pd.DataFrame(rows, columns=names)
 
-    return cells.filter("formula IS NOT NULL").select(*NODE, "formula").mapInPandas(run, PARSED)
+    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Parsing takes long for few bytes, so it isn't left to partitions that were made by size.
+    return cells.filter("formula IS NOT NULL").select(*NODE, "formula").repartition(width, *NODE).mapInPandas(run, PARSED)
 
 
 def references(formulas: DataFrame) -> DataFrame:
