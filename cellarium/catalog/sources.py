@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.catalog.audit import read
 from cellarium.operators import audit as A
 from cellarium.plans import audit as P
 from cellarium.session import shared_dir
-from cellarium.sources import tables, xlsx
+from cellarium.sources import tables, workbook_source, xlsx
 
 
 def put(spark: SparkSession, path: str, data: bytes) -> None:
@@ -119,14 +120,53 @@ def frozen_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return P.reconciled(A.dead_stock(rows, T), by_item).select(F.round("total", 2).alias("total"), F.round("by_item", 2).alias("by_item"), "reconciled")
 
 
+def _supplier_sheets(group: pd.DataFrame) -> dict[str, list[list[object]]]:
+    """Suppliers of a nation, a row each, with formulas of four kinds; the hidden sheet has one that is volatile."""
+    rows = []
+    for r, (key, balance) in enumerate(sorted(zip(group["s_suppkey"], group["s_acctbal"], strict=True)), 1):
+        formulas = (f"=NOW()+A{r}", f"=[Rates.xlsx]S!A{r}" + f"+A{r}" * 70, f"=A{r}*2", f"=SNOW(A{r})")
+        rows.append([int(key), float(balance), formulas[int(key) % 4]])
+    return {"Data": rows, "Raw": [["=RAND()" if int(group["s_nationkey"].iloc[0]) % 2 == 0 else "=1+1"]]}
+
+
+def _books(spark: SparkSession, d: str) -> str:
+    """A folder with a workbook for each nation that has suppliers, written by the tasks, and a file that is none."""
+    at = _new(spark)
+    suppliers = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+    xlsx.write_books(suppliers, "s_nationkey", at, _supplier_sheets, hidden=("Raw",)).agg(F.sum("bytes")).collect()
+    put(spark, f"{at}/broken.xlsx", b"nothing")
+    workbook_source.register(spark)
+    return at
+
+
+def _nation(file: str = "file") -> Column:
+    return F.regexp_extract(file, r"(\d+)\.xlsx$", 1).cast("long").alias("nation")
+
+
+def xlsx_source(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of all workbooks of a folder, a partition a sheet."""
+    return spark.read.format("xlsx").load(_books(spark, d)).select(_nation(), "sheet", "row", "col", F.round("num", 2).alias("num"), "formula")
+
+
+def xlsx_source_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The formulas of one sheet, whose partitions alone are read."""
+    return spark.read.format("xlsx").option("mode", "formulas").load(_books(spark, d)).filter("sheet = 'Raw'").select(_nation(), "formula")
+
+
+def xlsx_refused(spark: SparkSession, d: str) -> DataFrame:
+    """Files that can't be read, and those that unpack to more than is allowed; the others are read."""
+    found = spark.read.format("xlsx").option("mode", "refused").load(_books(spark, d))
+    return found.select(F.substring_index("file", "/", -1).alias("file"), "reason")
+
+
 def restricted_items(spark: SparkSession, d: str) -> DataFrame:
-    at = f"{_new(spark)}/book.xlsx"
-    put(spark, at, xlsx.written({"A": [["=NOW()+1", "=[X.xlsx]S!A1", "=1+1", "=SNOW(1)"]], "B": [[1, "=rand()"]], "C": [[2, "=B!A1"]]}, hidden=("B", "C")))
-    return xlsx.restricted_items(xlsx.cells(spark, at), xlsx.sheets(spark, at)).drop("file")
+    at, read_ = _books(spark, d), spark.read.format("xlsx")
+    items = xlsx.restricted_items(read_.load(at), read_.option("mode", "sheets").load(at))
+    return items.select("kind", _nation(), "sheet", "cell", "formula")
 
 
 QUERIES = {
-    "restricted_items": restricted_items,
+    "restricted_items": restricted_items, "xlsx_source": xlsx_source, "xlsx_source_formulas": xlsx_source_formulas, "xlsx_refused": xlsx_refused,
     "csv_scan": csv_scan, "xlsx_cells": xlsx_cells, "xlsx_sheets": xlsx_sheets, "workbook_class": workbook_class, "missing_cache": missing_cache, "folder_scan": folder_scan, "audit_folder": audit_folder,
     "frozen_reconciliation": frozen_reconciliation,
 }
@@ -153,8 +193,15 @@ def _cell_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_BOOKS = """WITH o AS (SELECT s_suppkey AS k, s_nationkey AS nation, s_acctbal::DOUBLE AS v, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_acctbal))::INT AS row FROM supplier),
+b AS (SELECT *, ['=NOW()+A' || row, '=[Rates.xlsx]S!A' || row || repeat('+A' || row, 70), '=A' || row || '*2', '=SNOW(A' || row || ')'][k % 4 + 1] AS formula FROM o)"""
 ORACLE_SQL = {
-    "restricted_items": "SELECT * FROM (VALUES ('volatile', 'A', 'A1', '=NOW()+1'), ('external_ref', 'A', 'B1', '=[X.xlsx]S!A1'), ('volatile', 'B', 'B1', '=rand()'), ('hidden_sheet', 'B', NULL, NULL)) t(kind, sheet, cell, formula)",
+    "restricted_items": f"""{_BOOKS} SELECT CASE WHEN k % 4 = 0 THEN 'volatile' ELSE 'external_ref' END AS kind, nation, 'Data' AS sheet, 'C' || row AS cell, formula FROM b WHERE k % 4 < 2
+UNION ALL SELECT DISTINCT 'volatile', nation, 'Raw', 'A1', '=RAND()' FROM b WHERE nation % 2 = 0 UNION ALL SELECT DISTINCT 'hidden_sheet', nation, 'Raw', NULL, NULL FROM b WHERE nation % 2 = 0""",
+    "xlsx_source": f"""{_BOOKS} SELECT nation, 'Data' AS sheet, row, 1 AS col, k::DOUBLE AS num, NULL AS formula FROM b UNION ALL SELECT nation, 'Data', row, 2, round(v, 2), NULL FROM b UNION ALL SELECT nation, 'Data', row, 3, NULL, formula FROM b
+UNION ALL SELECT DISTINCT nation, 'Raw', 1, 1, NULL::DOUBLE, CASE WHEN nation % 2 = 0 THEN '=RAND()' ELSE '=1+1' END FROM b""",
+    "xlsx_source_formulas": "SELECT DISTINCT s_nationkey AS nation, CASE WHEN s_nationkey % 2 = 0 THEN '=RAND()' ELSE '=1+1' END AS formula FROM supplier",
+    "xlsx_refused": "SELECT 'broken.xlsx' AS file, 'no zip file' AS reason",
     "csv_scan": f"SELECT CASE WHEN {_K} = 7 THEN 'soon' ELSE lpad((1 + {_K} % 28)::VARCHAR, 2, '0') || '/01/2024' END AS data, CASE WHEN {_K} <> 9 THEN 'item ' || {_K} % 5 END AS produto, n_name AS cliente, CASE WHEN {_K} = 11 THEN '?' ELSE 'R$ 1.' || lpad({_K}::VARCHAR, 3, '0') || ',50' END AS valor, {_K} || ',25' AS custo, 'store ' || n_regionkey AS loja, {_K} + 2 AS row_no FROM nation",
     "xlsx_cells": f"SELECT sheet, row, col, chr((64 + col)::INT) || row AS coord, num::DOUBLE AS num, txt, NULL AS bool, NULL AS err, formula FROM ({_cell_sql()}) WHERE num IS NOT NULL OR txt IS NOT NULL OR formula IS NOT NULL",
     "xlsx_sheets": "SELECT * FROM (VALUES ('Vendas', 0, 'visible', 26, 5), ('Estoque', 1, 'visible', 26, 5), ('Clientes', 2, 'visible', 26, 3), ('Notas', 3, 'visible', 2, 2)) t(sheet, position, state, rows, columns)",

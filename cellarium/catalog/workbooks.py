@@ -7,13 +7,15 @@ that a path joins. SQL says what the formulas must give.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.catalog.audit import read
 from cellarium.operators import graph as G
 from cellarium.plans import workbook as W
-from cellarium.session import cut
+from cellarium.session import cut, shared_dir
 from cellarium.streaming import windows
 
 
@@ -49,6 +51,13 @@ def scenario_recalc(s: SparkSession, d: str) -> DataFrame:
     return _values(W.evaluate(cells(s, d), _changes(s)))
 
 
+def saved_plan(s: SparkSession, d: str) -> DataFrame:
+    """The scenarios from a plan that was saved and loaded."""
+    path = f"{shared_dir(s)}/plan-{uuid.uuid4().hex}"
+    W.planned(cells(s, d)).save(path)
+    return _values(W.Plan.load(s, path).values(_changes(s)))
+
+
 def override_trail(s: SparkSession, d: str) -> DataFrame:
     return W.override_trail(cells(s, d), _changes(s)).drop("sheet")
 
@@ -111,7 +120,7 @@ def pattern_pivot(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "workbook_values": workbook_values, "scenario_recalc": scenario_recalc, "dag_edges": dag_edges, "dag_levels": dag_levels, "dag_cycles": dag_cycles, "risk_findings": risk_findings,
+    "workbook_values": workbook_values, "scenario_recalc": scenario_recalc, "saved_plan": saved_plan, "dag_edges": dag_edges, "dag_levels": dag_levels, "dag_cycles": dag_cycles, "risk_findings": risk_findings,
     "pattern_classes": pattern_classes, "parity_join": parity_join, "parity_score": parity_score, "override_trail": override_trail, "certification_gate": certification_gate, "pattern_pivot": pattern_pivot, "dag_roles": dag_roles, "daily_events": lambda s, d: windows.daily(read(s, d, "events")).withColumn("value", F.round("value", 4)),
 }
 
@@ -134,6 +143,7 @@ UNION ALL SELECT 'other', i, 9, 'ARITHMETIC', 'SKIPPED_NO_CACHE' FROM range(1, 1
 ORACLE_SQL = {
     "workbook_values": f"{_ALL} SELECT scenario, file, row, col, round(num, 6) AS num, err FROM v WHERE scenario = 'base'",
     "scenario_recalc": f"{_ALL} SELECT scenario, file, row, col, round(num, 6) AS num, err FROM v WHERE scenario <> 'base'",
+    "saved_plan": f"{_ALL} SELECT scenario, file, row, col, round(num, 6) AS num, err FROM v WHERE scenario <> 'base'",
     "dag_edges": f"{_EDGES} SELECT file, source, target FROM g",
     "dag_levels": f"""{_EDGES}, m AS (SELECT DISTINCT file, source AS name FROM g UNION SELECT file, target FROM g) SELECT file, name, CASE WHEN file = 'other' THEN CASE name[6:6] WHEN 'B' THEN 0 WHEN 'A' THEN 1 ELSE 2 END WHEN name[6:6] IN ('A', 'B') THEN 0 WHEN name[6:6] = 'C' THEN 1
 WHEN name[6:6] = 'D' OR name = 'calc!G1' THEN 2 WHEN name[6:6] = 'E' OR name = 'calc!G2' THEN 3 WHEN name = 'calc!G3' THEN 4 ELSE 1 END AS level FROM m WHERE NOT (file = 'book' AND name IN ('calc!G5', 'calc!G6')) AND NOT (file = 'other' AND name[6:6] = 'I')""",

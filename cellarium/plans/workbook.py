@@ -45,14 +45,7 @@ def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels:
     """scenario, file, sheet, row, col, value (a CELL) of all cells. overrides(scenario, file, sheet, row, col, num) change inputs,
     or replace formulas (without a column file, or where it is null, in all files); without overrides there is one scenario,
     "base". Cells on a cycle or after one get #CYCLE!. Files are apart."""
-    plan = planned(cells, most_levels)
-    base = plan.base()
-    if overrides is None:
-        return base.select(F.lit("base").alias("scenario"), *G.NODE, "value")
-    changed = plan.changed(base, overrides)
-    copies = base.crossJoin(F.broadcast(overrides.select("scenario").distinct()))  # as many copies of the base as scenarios
-    new = changed.withColumnRenamed("value", "new").withColumn("hit", F.lit(True))
-    return copies.join(new, KEY, "left").select(*KEY, F.when(F.col("hit"), F.col("new")).otherwise(F.col("value")).alias("value"))
+    return planned(cells, most_levels).values(overrides)
 
 
 def recomputed(cells: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -61,6 +54,11 @@ def recomputed(cells: DataFrame, overrides: DataFrame) -> DataFrame:
     return plan.changed(plan.base(), overrides).select(*KEY)
 
 
+#: Of the form of saved plans.
+PLAN_VERSION = 1
+STEPS = "version int, level int, shape string, template string, one string, areas array<struct<place:int,area:long>>"
+
+
 @dataclass(frozen=True)
 class Plan:
     """A workbook ready to be computed: its inputs (file, sheet, row, col, value) and its formulas in order."""
@@ -70,6 +68,34 @@ class Plan:
     #: level, shape (null: no scan), template, a formula of it and the largest size of each of its references.
     steps: list[tuple[int, str | None, str, str, dict[int, int]]]
 
+    def save(self, path: str) -> None:
+        """Writes the plan as a folder: inputs and formulas as Parquet, and the steps, with their version, as JSON. The folder
+        needn't exist; an earlier plan in it is replaced."""
+        spark = self.inputs.sparkSession
+        self.inputs.write.mode("overwrite").parquet(f"{path}/inputs")
+        self.formulas.write.mode("overwrite").parquet(f"{path}/formulas")
+        rows = [(PLAN_VERSION, level, shape, template, one, [(p, a) for p, a in areas.items()]) for level, shape, template, one, areas in self.steps]
+        spark.createDataFrame(rows, STEPS).coalesce(1).write.mode("overwrite").json(f"{path}/steps")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Plan:
+        """A saved plan; it needs neither the workbook nor its parser's results again."""
+        rows = spark.read.schema(STEPS).json(f"{path}/steps").collect()  # a row for each distinct formula
+        if strange := {r.version for r in rows} - {PLAN_VERSION}:
+            raise ValueError(f"{path} holds a plan of version {sorted(strange, key=str)}; this is version {PLAN_VERSION}")
+        steps = [(r.level, r.shape, r.template, r.one, {p: a for p, a in r.areas}) for r in rows]
+        return Plan(spark.read.parquet(f"{path}/inputs"), spark.read.parquet(f"{path}/formulas"), sorted(steps, key=str))
+
+    def values(self, overrides: DataFrame | None = None) -> DataFrame:
+        """The same as evaluate()."""
+        base = self.base()
+        if overrides is None:
+            return base.select(F.lit("base").alias("scenario"), *G.NODE, "value")
+        changed = self.changed(base, overrides)
+        copies = base.crossJoin(F.broadcast(overrides.select("scenario").distinct()))  # as many copies of the base as scenarios
+        new = changed.withColumnRenamed("value", "new").withColumn("hit", F.lit(True))
+        return copies.join(new, KEY, "left").select(*KEY, F.when(F.col("hit"), F.col("new")).otherwise(F.col("value")).alias("value"))
+
     def base(self) -> DataFrame:
         """file, sheet, row, col, value of all cells."""
         formulas = self.formulas.withColumn("scenario", F.lit("base")).withColumn("fixed", F.lit(None).cast(V.CELL))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -71,13 +72,13 @@ def _moved(formula: str, down: int, right: int) -> str:
     return "".join(p if i % 2 else re.sub(r"(?<![\w.])(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![\w(])", move, p) for i, p in enumerate(parts))
 
 
-def parse(file: str, data: bytes) -> Iterator[tuple]:
-    """The non-empty cells of a workbook."""
-    z = opened(data)
-    strings = _strings(z)
-    for sheet, _, part in _sheets(z):
-        shared: dict[str, tuple[str, int, int]] = {}
-        for _, c in ET.iterparse(io.BytesIO(z.read(part)), events=("end",)):
+def _rows(z: zipfile.ZipFile, part: str, strings: list[str]) -> Iterator[tuple]:
+    """row, col, coordinate, value (number, text, truth, error) and formula of the cells of a sheet, read as a stream."""
+    shared: dict[str, tuple[str, int, int]] = {}
+    with z.open(part) as data:
+        for _, c in ET.iterparse(data):
+            if c.tag == f"{MAIN}row":
+                c.clear()
             if c.tag != f"{MAIN}c":
                 continue
             letters, digits = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
@@ -102,8 +103,16 @@ def parse(file: str, data: bytes) -> Iterator[tuple]:
             if value is None and text is None:
                 continue
             num = float(value) if kind == "n" and value not in (None, "") else None
-            yield (file, sheet, row, col, f"{letters}{row}", num, value if kind == "str" else None, value == "1" if kind == "b" and value is not None else None,
-                   value if kind == "e" else None, text)
+            yield (row, col, f"{letters}{row}", num, value if kind == "str" else None, value == "1" if kind == "b" and value is not None else None, value if kind == "e" else None, text)
+
+
+def parse(file: str, data: bytes) -> Iterator[tuple]:
+    """The non-empty cells of a workbook."""
+    z = opened(data)
+    strings = _strings(z)
+    for sheet, _, part in _sheets(z):
+        for row in _rows(z, part, strings):
+            yield (file, sheet, *row)
 
 
 def _over(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:  # noqa: ANN001
@@ -163,12 +172,33 @@ def restricted_items(cells_: DataFrame, sheets_: DataFrame) -> DataFrame:
     sheets with either."""
     volatile = F.col("formula").rlike(rf"(?i)(?<![\w.])(?:{'|'.join(VOLATILE)})\(")
     kind = F.when(F.col("formula").contains("["), "external_ref").when(volatile, "volatile")
-    items = cells_.withColumn("kind", kind).filter("kind IS NOT NULL").select("kind", "file", "sheet", F.col("coord").alias("cell"), F.substring("formula", 1, 200).alias("formula"))
+    items = cells_.withColumn("kind", kind).filter("kind IS NOT NULL").select("kind", "file", "sheet", F.col("coord").alias("cell"), "formula")
     hidden = items.select("file", "sheet").distinct().join(sheets_.filter("state <> 'visible'").select("file", "sheet"), ["file", "sheet"])
     none = F.lit(None).cast("string")
     return items.unionByName(hidden.select(F.lit("hidden_sheet").alias("kind"), "file", "sheet", none.alias("cell"), none.alias("formula")))
 
 
+def write_books(df: DataFrame, by: str, folder: str, tables: Callable[[pd.DataFrame], dict[str, list[list[object]]]], hidden: tuple[str, ...] = ()) -> DataFrame:
+    """file and bytes of the workbooks written, one for each value of column `by` (its name), by the tasks that hold its rows;
+    tables makes the sheets of one. Several writes of one workbook, as after a lost executor, leave the same file. The folder
+    is one that Arrow's file systems reach."""
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        data = written(tables(group), hidden)
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        name = f"{base}/{group[by].iloc[0]}.xlsx"
+        part = f"{base}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(data)
+        system.move(part, name)
+        return pd.DataFrame([(name, len(data))], columns=["file", "bytes"])
+
+    return df.groupBy(by).applyInPandas(write, "file string, bytes long")
+
+
 def missing_cache(cells_: DataFrame) -> DataFrame:
     """Formula cells that hold no computed value."""
     none = F.col("num").isNull() & F.col("txt").isNull() & F.col("bool").isNull() & F.col("err").isNull()
