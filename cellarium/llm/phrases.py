@@ -33,7 +33,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase is dropped for a longer one that has at least this share of its occurrences, in hundredths.
 SHARE = 50
 SCALE = 1_000_000
-BLOCK, WORDS_AT_ONCE = 2_000_000, 2_000_000
+BLOCK, WORDS_AT_ONCE = 1_000_000, 1_000_000
 #: Bits of the smallest and the largest bitmap, and buckets that one task adds up.
 LEAST_BITS, MOST_BITS, RANGE_BITS = 20, 30, 22
 
