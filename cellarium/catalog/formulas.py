@@ -76,6 +76,12 @@ FORMULAS: dict[str, dict[str, tuple[str, str]]] = {
         "timevalue": ("=TIMEVALUE(\"18:00:00\")", "0.75"), "hour": ("=HOUR(0.52)", "12"), "minute": ("=MINUTE(0.52)", "28"), "second": ("=SECOND(0.52)", "48"), "weeknum": ("=WEEKNUM(45291+B1)", "floor(z / 7) + 1"), "char": ("=CHAR(64+MOD(B1,26)+1)", "@chr((65 + z % 26)::INT)"),
         "search": ("=SEARCH(\"C\",\"abcabc\",MOD(B1,3)+1)", "3"), "fixed": ("=FIXED(B1*1000,1)", "@format('{:,.1f}', z * 1000)"), "roman": ("=ROMAN(MOD(B1,5)+1)", "@['I', 'II', 'III', 'IV', 'V'][(z % 5)::INT + 1]"), "arabic": ("=ARABIC(ROMAN(B1))", "z"),
     },
+    "counting_and_reading_functions": {
+        "sumifs": ("=SUMIFS(B1:C1,B1:C1,\">25\",B1:C1,\"<100\")", "CASE WHEN z > 25 THEN z ELSE 0 END"), "average": ("=AVERAGE(B1:C1,30)", "(z + v + 30) / 3"), "rank_avg": ("=RANK.AVG(B1,{10,20,B1})", "1 + (z < 10)::INT + (z < 20)::INT + ((z = 10)::INT + (z = 20)::INT) / 2"),
+        "percentrank": ("=PERCENTRANK({1,2,3,4,5},4)", "0.75"), "skew": ("=SKEW({1,2},B1+5)", f"{_MOMENT(3)} / pow({_MOMENT(2)}, 1.5::DOUBLE) * sqrt(6)"), "kurt": ("=KURT({1,2,3,4,5})", "-1.2"), "trimmean": ("=TRIMMEAN({0,10,20,B1,1000},0.4)", "(30 + z) / 3"),
+        "trim": ("=TRIM(\"  a \"&B1&\"  b \")", "@'a ' || z::INT || ' b'"), "value": ("=VALUE(B1&\".5\")", "z + 0.5"), "unichar": ("=UNICHAR(8364)&B1", "@chr(8364) || z::INT"), "unicode": ("=UNICODE(UNICHAR(200+B1))", "200 + z"),
+        "textbefore": ("=TEXTBEFORE(B1&\"-x-y\",\"-\")", "@z::INT::VARCHAR"), "encodeurl": ("=ENCODEURL(\"a b/\"&B1)", "@'a%20b%2F' || z::INT"), "datevalue": ("=DATEVALUE(\"2024-01-15\")", "45306"), "workday": ("=WORKDAY(45292,B1)", "45292 + z + 2 * floor(z / 5)"),
+    },
     "money_functions": {
         "xirr": ("=XIRR({-100,110},{0,365})", "0.1"), "nominal": ("=NOMINAL(0.12,B1)", "z * (pow(1.12::DOUBLE, 1 / z) - 1)"), "dollarfr": ("=DOLLARFR(1.125,16)", "1.02"), "dollarde": ("=DOLLARDE(1.02,16)", "1.125"), "irr": ("=IRR({-100,60,60})", "0.13066238629180748"), "mirr": ("=MIRR({-100,60,60},0.1,0.1)", "sqrt(1.26::DOUBLE) - 1"),
         "xnpv": ("=XNPV(0.1,{-100,110},{0,365})+B1", "z"), "rate": ("=RATE(1,-110,100)", "0.1"), "ddb": ("=DDB(100,10,5,2)", "24"), "cumprinc": ("=CUMPRINC(0.01,12,B1,1,12,0)", "-z"),

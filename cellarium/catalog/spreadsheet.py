@@ -103,7 +103,7 @@ QUERIES = {
     "maxifs_minifs": _agg("orders", ["o_orderstatus"], lambda df: {"most": R.max_ifs(df, "o_totalprice", {"o_orderpriority": "1-*"}), "least": R.min_ifs(df, "o_totalprice", {"o_orderpriority": "?-LOW"})}),
     "criteria_wildcard": _agg("part", ["p_type"], lambda df: {"n": R.count_ifs(df, {"p_name": "*a*"}), "m": R.count_ifs(df, {"p_brand": "brand#1?"}), "x": R.count_ifs(df, {"p_brand": "<>Brand#11"})}),
     "sumproduct": _agg("lineitem", ["l_returnflag"], lambda df: {"s": R.sum_product("l_quantity", "l_discount")}),
-    "subtotal_dispatch": _agg("lineitem", ["l_linestatus"], lambda df: {f"c{k}": R.subtotal(k, "l_quantity") for k in (1, 2, 4, 5, 7, 8, 9, 10, 111)}),
+    "subtotal_dispatch": _agg("lineitem", ["l_linestatus"], lambda df: {f"c{k}": R.subtotal(k, "l_quantity") for k in (1, 2, 4, 5, 7, 8, 9, 10, 111)} | {f"t{k}": R.subtotal(k, "l_returnflag", "string") for k in (2, 3)}),
     "percentile_quartile": _agg("orders", ["o_orderpriority"], lambda df: {f"p{int(k * 100)}": R.percentile("o_totalprice", k) for k in (0.1, 0.25, 0.5, 0.75, 0.9)}),
     "dispersion_stats": _agg("lineitem", ["l_returnflag"], lambda df: R.dispersion("l_quantity")),
     "shape_stats": _agg("lineitem", ["l_returnflag"], lambda df: R.shape("l_quantity")),
@@ -152,7 +152,7 @@ round({_Z} * 9.0::DOUBLE / 5 + 32, 6) AS e_f, -1 AS e_bad, CASE WHEN {_Z} = 7 TH
     "maxifs_minifs": _sql("orders", "o_orderstatus", most="coalesce(max(o_totalprice) FILTER (o_orderpriority LIKE '1-%'), 0)", least="coalesce(min(o_totalprice) FILTER (o_orderpriority LIKE '_-LOW'), 0)"),
     "criteria_wildcard": _sql("part", "p_type", n="count(*) FILTER (p_name ILIKE '%a%')", m="count(*) FILTER (p_brand ILIKE 'brand#1_')", x="count(*) FILTER (p_brand <> 'Brand#11')"),
     "sumproduct": _sql("lineitem", "l_returnflag", s="sum(l_quantity * l_discount)"),
-    "subtotal_dispatch": _sql("lineitem", "l_linestatus", c1="avg(l_quantity)", c2="count(l_quantity)", c4="max(l_quantity)", c5="min(l_quantity)", c7="stddev_samp(l_quantity)", c8="stddev_pop(l_quantity)", c9="sum(l_quantity)", c10="var_samp(l_quantity)", c111="var_pop(l_quantity)"),
+    "subtotal_dispatch": _sql("lineitem", "l_linestatus", c1="avg(l_quantity)", c2="count(l_quantity)", t2="0", t3="count(l_returnflag)", c4="max(l_quantity)", c5="min(l_quantity)", c7="stddev_samp(l_quantity)", c8="stddev_pop(l_quantity)", c9="sum(l_quantity)", c10="var_samp(l_quantity)", c111="var_pop(l_quantity)"),
     "percentile_quartile": _sql("orders", "o_orderpriority", **{f"p{k}": f"quantile_cont(o_totalprice, {k / 100})" for k in (10, 25, 50, 75, 90)}),
     "dispersion_stats": _sql("lineitem", "l_returnflag", stdev="stddev_samp(l_quantity)", stdevp="stddev_pop(l_quantity)", var="var_samp(l_quantity)", varp="var_pop(l_quantity)", devsq="var_pop(l_quantity) * count(l_quantity)"),
     "shape_stats": _sql("lineitem", "l_returnflag", skew="skewness(l_quantity)", kurt="kurtosis(l_quantity)", geomean="exp(avg(ln(l_quantity)))", harmean="count(*) / sum(1 / l_quantity)"),

@@ -88,14 +88,26 @@ def regression(y: str, x: str) -> dict[str, Column]:
     }
 
 
+def _count(value: str, kind: str | None = None) -> Column:
+    """Numbers only: of a text column none, as a spreadsheet counts text that looks like a number as text."""
+    return F.count_if(F.lit(False)) if kind == "string" else F.count(value)
+
+
+def _count_all(value: str, kind: str | None = None) -> Column:
+    """All that isn't empty, of any kind."""
+    return F.count_if(F.col(value).isNotNull() & (F.col(value) != "")) if kind == "string" else F.count(value)
+
+
 #: SUBTOTAL codes.
 SUBTOTALS: dict[int, object] = {
-    1: F.avg, 2: F.count, 3: F.count, 4: F.max, 5: F.min, 6: F.product, 7: F.stddev_samp, 8: F.stddev_pop, 9: F.sum, 10: F.var_samp, 11: F.var_pop,
+    1: F.avg, 2: _count, 3: _count_all, 4: F.max, 5: F.min, 6: F.product, 7: F.stddev_samp, 8: F.stddev_pop, 9: F.sum, 10: F.var_samp, 11: F.var_pop,
 }
 
 
-def subtotal(code: int, value: str) -> Column:
-    return SUBTOTALS[code % 100](value)
+def subtotal(code: int, value: str, kind: str | None = None) -> Column:
+    """The aggregate of a column, whose type is kind (only `string` matters, to the two counts)."""
+    make = SUBTOTALS[code % 100]
+    return make(value, kind) if code % 100 in (2, 3) else make(value)
 
 
 def ranks(df: DataFrame, value: str, within: list[str], down: bool = True) -> DataFrame:

@@ -87,7 +87,9 @@ class WorkbookReader(DataSourceReader):
                 continue
         return out
 
-    def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Sheet | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no sheet to read
+            return
         system, _ = listed(self.path)
         names = [c.split()[0] for c in MODES[self.mode].split(", ")]
         if self.mode in ("sheets", "refused"):
