@@ -19,7 +19,7 @@ from cellarium.functions.registry import classify, deciding
 from cellarium.operators import graph as G
 from cellarium.operators.runs import ordered
 from cellarium.plans.chains import foldable, scanned
-from cellarium.plans.recalc import KEY, State, Template, computed, touched
+from cellarium.plans.recalc import KEY, State, Template, computed, heights_of, touched
 from cellarium.session import cut
 from cellarium.sources import xlsx
 
@@ -99,9 +99,9 @@ class Plan:
     def base(self) -> DataFrame:
         """file, sheet, row, col, value of all cells."""
         formulas = self.formulas.withColumn("scenario", F.lit("base")).withColumn("fixed", F.lit(None).cast(V.CELL))
-        state = cut(self.inputs)
+        state, heights = cut(self.inputs), self._heights()
         for level in self._levels():
-            new = self._level(level, formulas.filter(F.col("level") == level), State(state))
+            new = self._level(level, formulas.filter(F.col("level") == level), State(state, heights))
             state = _grown(state, new.select(*G.NODE, "value"), level)
         lost = self.formulas.filter("level IS NULL").select(*G.NODE, V.Val(e=F.lit("#CYCLE!")).struct().cast(V.CELL).alias("value"))
         return cut(state.unionByName(lost))
@@ -114,11 +114,11 @@ class Plan:
         there = base.join(given, ["sheet", "row", "col"]).filter("ofile IS NULL OR ofile = file")
         value = F.struct(F.col("num").alias("n"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("string").alias("e"))
         fixed = cut(there.select(*KEY, value.cast(V.CELL).alias("value")).dropDuplicates(KEY))
-        state = fixed
+        state, heights = fixed, self._heights()
         at = F.when(F.col("down"), F.col("row")).otherwise(F.col("col"))
         for level in self._levels():
             formulas = self.formulas.filter(F.col("level") == level)
-            hit = touched(formulas, state).join(fixed.select(*KEY), KEY, "left_anti")
+            hit = touched(formulas, state, heights).join(fixed.select(*KEY), KEY, "left_anti")
             plain = formulas.filter("shape IS NULL").join(hit, G.NODE).withColumn("fixed", F.lit(None).cast(V.CELL))
             scans = formulas.filter("shape IS NOT NULL")
             # Changed cells of a scan itself count, too, for those after them.
@@ -126,10 +126,14 @@ class Plan:
             rest = scans.join(began, ["file", "node"]).filter((F.col("ahead") & (at >= F.col("low"))) | (~F.col("ahead") & (at <= F.col("high")))).drop("low", "high")
             rest = rest.join(fixed.withColumnRenamed("value", "fixed"), KEY, "left")
             ready = plain.unionByName(rest)
-            new = self._level(level, ready, State(base, state)).join(fixed.select(*KEY), KEY, "left_anti")
+            new = self._level(level, ready, State(base, heights, state)).join(fixed.select(*KEY), KEY, "left_anti")
             state = _grown(state, new, level)
         return state
 
+    def _heights(self) -> int:
+        rows = self.inputs.select("row").unionByName(self.formulas.select("row"))
+        return heights_of(rows.agg(F.max("row")).first()[0] or 0)
+
     def _levels(self) -> list[int]:
         return sorted({s[0] for s in self.steps})
 
