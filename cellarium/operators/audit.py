@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from cellarium.operators.ranges import ranked
 from cellarium.operators.thresholds import DAYS_PER_MONTH, NO_CUSTOMER, NO_SALESPERSON, NO_STORE, PLACEHOLDERS, Thresholds
+from cellarium.session import cut
 
 SALES = (
     "date timestamp_ntz, product string, customer string, value double, quantity double, entry_cost double, category string, "
@@ -147,7 +148,8 @@ def rfm_champions(sales: DataFrame, t: Thresholds) -> DataFrame:
         F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("date").alias("frequency"), F.sum("value").alias("monetary")
     )
     people = people.crossJoin(F.broadcast(rows.agg(F.max("date").alias("newest"))))
-    people = people.withColumns({"recency_days": F.datediff("newest", "last"), "_r": -F.datediff("newest", "last")})
+    # Cut once: each ranking looks at its rows twice, for the bounds of the ranges and to deal them out.
+    people = cut(people.withColumns({"recency_days": F.datediff("newest", "last"), "_r": -F.datediff("newest", "last")}))
     for name, by in (("fs", "frequency"), ("ms", "monetary"), ("rs", "_r")):
         people = ranked(people, [by, "customer"], name)
     people = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n"))))
