@@ -75,7 +75,8 @@ def test_dashboard_from_a_file(spark, tmp_path):
     spec = D.dashboard_spec(flat, flat.columns)
     assert [c["id"] for c in spec["components"]] == ["summary_kpis", "status_distribution", "entity_ranking"]
     assert spec["anomalies"][0]["metric"] == "x_rate" and spec["layout"] == [["summary_kpis"], ["status_distribution", "entity_ranking"]]
-    assert D.shown("a_rate", 0.256) == "25,6%" and D.shown("t", 1234.5) == "1.234,50"
+    numbers = spark.createDataFrame([("a_rate", 0.256), ("b_rate", 1.0), ("t", 1234.5), ("t", 1234567.0), ("t", -0.125), ("t", 0.0)], "metric string, value double")
+    assert [r[0] for r in numbers.select(D.display(F.col("metric"), F.col("value"))).collect()] == ["25,6%", "100,0%", "1.234,50", "1.234.567", "-0,12", "0"]
     assert json.loads(tables.artifact({"k": flat}))["k"][0]["id"] == "a" and "<th>id</th>" in tables.page("t", {"k": flat})
     with pytest.raises(ValueError):
         D.check({"components": [{"id": "a"}], "data_views": {}, "layout": []})
