@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.operators.ranges import ranked
+from cellarium.operators.ranges import quantiles, ranked
 from cellarium.operators.thresholds import DAYS_PER_MONTH, NO_CUSTOMER, NO_SALESPERSON, NO_STORE, PLACEHOLDERS, Thresholds
 from cellarium.session import cut
 
@@ -371,8 +371,8 @@ def discarded_alarms(people: DataFrame, stores: DataFrame) -> DataFrame:
 def winsorised(sales: DataFrame, t: Thresholds) -> DataFrame:
     """sales with original_value, and value capped at outlier_ratio medians of the product's positive values (two at least).
 
-    The medians are grouped and joined back, so that a product with a third of all rows is split by AQE, not sorted in one task."""
-    medians = sales.filter("value > 0 AND product IS NOT NULL").groupBy("product").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    The medians are joined back, so that a product with a third of all rows is split by AQE, not sorted in one task."""
+    medians = quantiles(sales.filter("value > 0 AND product IS NOT NULL"), "value", {"median": 0.5}, ["product"], size="n")
     caps = medians.filter("n >= 2").select("product", (F.col("median") * t.outlier_ratio).alias("cap"))
     out = sales.join(caps, "product", "left").withColumn("original_value", F.col("value"))
     return out.withColumn("value", F.when(F.col("value") > F.col("cap"), F.col("cap")).otherwise(F.col("value")))
