@@ -15,7 +15,7 @@ from cellarium.catalog.audit import read
 from cellarium.operators import audit as A
 from cellarium.plans import audit as P
 from cellarium.session import shared_dir
-from cellarium.sources import tables, workbook_source, xlsx
+from cellarium.sources import documents, tables, workbook_source, xlsx
 
 
 def put(spark: SparkSession, path: str, data: bytes) -> None:
@@ -165,7 +165,18 @@ def restricted_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("kind", _nation(), "sheet", "cell", "formula")
 
 
+def report_documents(s: SparkSession, d: str) -> DataFrame:
+    """Orders out of a report with a document for each customer, which executors wrote and read again."""
+    order = F.struct("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("double").alias("price"), "o_orderpriority")
+    customers = read(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("orders"), F.count(F.lit(1)).alias("n"))
+    path = f"{shared_dir(s)}/report-{uuid.uuid4().hex}"
+    documents.write({"customers": customers, "note": {"kind": "orders", "of": ["customers"]}}, s, path)
+    found = documents.section(s, path, "customers", customers.schema).select("o_custkey", "n", F.inline("orders"))
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 QUERIES = {
+    "report_documents": report_documents,
     "restricted_items": restricted_items, "xlsx_source": xlsx_source, "xlsx_source_formulas": xlsx_source_formulas, "xlsx_refused": xlsx_refused,
     "csv_scan": csv_scan, "xlsx_cells": xlsx_cells, "xlsx_sheets": xlsx_sheets, "workbook_class": workbook_class, "missing_cache": missing_cache, "folder_scan": folder_scan, "audit_folder": audit_folder,
     "frozen_reconciliation": frozen_reconciliation,
@@ -211,3 +222,5 @@ UNION ALL SELECT DISTINCT nation, 'Raw', 1, 1, NULL::DOUBLE, CASE WHEN nation %
     "audit_folder": f"WITH {_STOCK} SELECT 'revenue' AS finding, round(sum({_V} + 1000.5 + {_K}), 4)::DOUBLE AS value FROM nation UNION ALL SELECT 'dead_skus', count(*) FROM e WHERE age >= 8 UNION ALL SELECT 'frozen', sum(v) FROM e WHERE age >= 8 UNION ALL SELECT 'completeness', round((100.0 * count(*) FILTER ({_K} % 2 = 1) / count(*) + 100) / 2, 4) FROM nation UNION ALL SELECT 'skipped', 3",
     "frozen_reconciliation": "WITH m AS (SELECT l_partkey, max(l_shipdate) AS t FROM lineitem GROUP BY 1), n AS (SELECT max(t) AS t FROM m), v AS (SELECT round(sum(p_retailprice * p_size), 2) AS v FROM part JOIN m ON p_partkey = l_partkey, n WHERE (year(n.t) * 12 + month(n.t)) - (year(m.t) * 12 + month(m.t)) >= 2) SELECT v AS total, v AS by_item, true AS reconciled FROM v",
 }
+ORACLE_SQL["report_documents"] = """SELECT o_custkey, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  o_totalprice::DOUBLE AS price, o_orderpriority FROM orders"""

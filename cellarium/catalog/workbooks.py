@@ -97,7 +97,7 @@ def risk_findings(s: SparkSession, d: str) -> DataFrame:
 
 
 def pattern_classes(s: SparkSession, d: str) -> DataFrame:
-    return W.pattern_classes(G.parsed(cells(s, d))).select("file", "row", "col", "class", "matched", F.round("density", 4).alias("density"))
+    return W.pattern_classes(G.parsed(cells(s, d))).select("file", "row", "col", "class", "rule", "matched", F.round("density", 4).alias("density"))
 
 
 def _parity(s: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,8 @@ WHEN name[6:6] = 'D' OR name = 'calc!G1' THEN 2 WHEN name[6:6] = 'E' OR name = '
     "dag_roles": f"{_EDGES}, m AS (SELECT DISTINCT file, source AS name FROM g UNION SELECT file, target FROM g) SELECT file, name, CASE WHEN NOT EXISTS (FROM g WHERE g.file = m.file AND g.target = m.name) THEN 'input' WHEN NOT EXISTS (FROM g WHERE g.file = m.file AND g.source = m.name) THEN 'output' ELSE 'intermediate' END AS role FROM m",
     "risk_findings": """SELECT kind, file, 'calc!' || n AS name FROM (VALUES ('external_ref', 'book', 'G7'), ('unresolved', 'book', 'G4'), ('orphan_cell', 'book', 'G2'), ('orphan_cell', 'book', 'G3'), ('orphan_cell', 'book', 'G4'), ('orphan_cell', 'book', 'G7'), ('orphan_cell', 'other', 'C1'), ('orphan_cell', 'other', 'I10'),
 ('hardcoded_value', 'book', 'G6'), ('hardcoded_value', 'other', 'C1'), ('hardcoded_value', 'other', 'I10')) t(kind, file, n) UNION ALL SELECT 'hardcoded_value', 'book', 'calc!' || c || (n_nationkey + 1) FROM nation, (VALUES ('C'), ('D')) o(c)""",
-    "pattern_classes": f"""{_FORMULAS} SELECT file, row, col, class, CASE WHEN col = 4 THEN 'IF' WHEN col = 7 AND row IN (1, 3) THEN 'SUM' WHEN col = 7 AND row = 2 THEN 'SUMIF' END AS matched,
+    "pattern_classes": f"""{_FORMULAS} SELECT file, row, col, class, CASE WHEN file = 'other' THEN CASE WHEN col = 9 AND row IN (1, 2, 5, 7, 8, 9) THEN 'cell_reference' ELSE 'inline_arithmetic' END
+WHEN col IN (3, 5) THEN 'inline_arithmetic' WHEN col = 4 THEN 'if_simple' ELSE ['sum', 'sumif', 'sum', NULL, 'inline_arithmetic', 'inline_arithmetic', 'external_ref'][row] END AS rule, CASE WHEN col = 4 THEN 'IF' WHEN col = 7 AND row IN (1, 3) THEN 'SUM' WHEN col = 7 AND row = 2 THEN 'SUMIF' END AS matched,
 CASE WHEN file = 'other' THEN CASE WHEN col = 9 AND row = 4 THEN 0.6667 ELSE 1 END WHEN col < 7 THEN [0.6, 0.3333, 0.6667][col - 2] ELSE [0.75, 0.625, 0.3636, 0.75, 1, 1, 1][row] END AS density FROM f""",
     "override_trail": "SELECT * FROM (VALUES ('low', 'book', 2, 1, NULL, '1', 5, 'changes_input'), ('high', 'book', 2, 1, NULL, '1', 500, 'changes_input'), ('high', 'book', 3, 3, '=A3*2+B3', NULL, 7, 'replaces_formula')) t(scenario, file, row, col, formula, before, after, kind)",
     "certification_gate": f"{_FORMULAS}, g AS (SELECT *, CASE WHEN row = 2 AND status = 'FAILED' THEN 'PASSED' ELSE status END AS said FROM f WHERE status IN ('PASSED', 'FAILED')) SELECT 'status' AS kind, NULL AS file, NULL AS row, NULL AS col, CASE WHEN count(*) FILTER (said = 'PASSED') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS detail FROM g HAVING count(*) FILTER (said = 'FAILED') > 0 UNION ALL SELECT 'flag', file, row, col, said FROM g WHERE said <> status",

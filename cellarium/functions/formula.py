@@ -210,6 +210,16 @@ def constants(node: Node) -> list[float]:
     return own + [c for a in node.args for c in constants(a)]
 
 
+def signs(formula: str) -> list[str]:
+    """The distinct operators of the formula."""
+    return sorted({t.value for t in tokens(formula) if t.kind == "op"})
+
+
+def operands(node: Node) -> int:
+    """References, literals and names in the formula."""
+    return int(node.kind not in ("call", "op") and not node.args) + sum(operands(a) for a in node.args)
+
+
 def density(formula: str) -> float:
     """Kinds of tokens for each token: near 1 for plain formulas, low for long ones of the same few kinds."""
     found = [t.kind for t in tokens(formula)]

@@ -157,21 +157,11 @@ def call(name: str, args: tuple, compiled: Callable[[object], Val]) -> Val:
 
 
 def classify(names: list[str]) -> str:
-    """The class of a formula by the functions in it: the most telling class that occurs."""
-    from cellarium.functions.library import FUNCTIONS  # with all functions defined
+    """The class of a formula by the functions in it: that of the first rule they meet."""
+    from cellarium.functions.rules import rule  # with all functions defined
 
-    kinds = {FUNCTIONS[n].kind for n in (x.removeprefix("_XLFN.") for x in names) if n in FUNCTIONS}
-    if any(n.removeprefix("_XLFN.") not in FUNCTIONS for n in names):
-        return "UNRESOLVED"
-    return next((k for k in ORDER if k in kinds), "ARITHMETIC" if not names else "UNRESOLVED")
-
-
-def deciding(names: list[str]) -> str | None:
-    """The function that gives a formula its class: the first by name of those of that class; null if none does."""
-    from cellarium.functions.library import FUNCTIONS
-
-    kind = classify(names)
-    return next((n for n in sorted(names) if (f := FUNCTIONS.get(n.removeprefix("_XLFN."))) and f.kind == kind), None)
+    return rule(names)[0]
 
 
+#: The classes of formulas.
 ORDER = ("AGGREGATION", "CONDITIONAL", "LOOKUP", "DATE_LOGIC", "TEXT_TRANSFORMATION", "RANKING", "THRESHOLD_LOGIC", "ARITHMETIC")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellarium.session import cut
 
-PARSED = "file string, sheet string, row int, col int, formula string, template string, functions array<string>, constants array<double>, density double, external boolean, failed boolean, refs array<struct<sheet:string,top:int,left:int,bottom:int,right:int>>"
+PARSED = "file string, sheet string, row int, col int, formula string, template string, functions array<string>, constants array<double>, density double, operators array<string>, operands int, external boolean, failed boolean, refs array<struct<sheet:string,top:int,left:int,bottom:int,right:int>>"
 NODE = ["file", "sheet", "row", "col"]
 #: Links that are collected and sorted on the driver.
 FEW = 50_000
@@ -35,10 +35,10 @@ def parsed(cells: DataFrame) -> DataFrame:
             try:
                 node = X.parse(text)
             except X.FormulaError:
-                return (text, [], [], None, "[" in text, True), []
+                return (text, [], [], None, [], 0, "[" in text, True), []
             found = [(r.sheet, [(side, fixed) for side, fixed in zip((r.top, r.left, r.bottom, r.right), r.fixed, strict=True)]) for r in X.refs(node)]
             moved = [(sheet, [(None if x is None else x if fixed else x - (row, col)[i % 2], fixed) for i, (x, fixed) in enumerate(sides)]) for sheet, sides in found]
-            return (X.template(node, row, col), X.calls(node), X.constants(node), X.density(text), "[" in text, False), moved
+            return (X.template(node, row, col), X.calls(node), X.constants(node), X.density(text), X.signs(text), X.operands(node), "[" in text, False), moved
 
         for frame in frames:
             rows, seen = [], {}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.functions import values as V
-from cellarium.functions.registry import classify, deciding
+from cellarium.functions.rules import classified
 from cellarium.operators import graph as G
 from cellarium.operators.runs import ordered
 from cellarium.plans.chains import foldable, scanned
@@ -32,13 +32,10 @@ def _cell() -> F.Column:
 
 
 def pattern_classes(formulas: DataFrame) -> DataFrame:
-    """file, sheet, row, col, formula, class, matched (the function that decides the class) and density of each formula; the
-    distinct sets of functions, which are few, are classified on the driver."""
-    sets = formulas.select(F.array_sort(F.array_distinct("functions")).alias("functions"), "external").distinct().collect()
-    table = [(sorted(r.functions), r.external, "EXTERNAL_REF" if r.external else classify(list(r.functions)), None if r.external else deciding(list(r.functions))) for r in sets]
-    spark = formulas.sparkSession
-    known = spark.createDataFrame(table, "functions array<string>, external boolean, class string, matched string")
-    return formulas.withColumn("functions", F.array_sort(F.array_distinct("functions"))).join(F.broadcast(known), ["functions", "external"]).select(*G.NODE, "formula", "class", "matched", "density")
+    """file, sheet, row, col, formula, class, rule (the first of the classifier's rules that the formula meets), matched (the function
+    it was met by) and density of each formula."""
+    found = classified(*(F.col(c) for c in ("functions", "operators", "operands", "external", "failed")))
+    return formulas.withColumns(found).select(*G.NODE, "formula", "class", "rule", "matched", "density")
 
 
 def evaluate(cells: DataFrame, overrides: DataFrame | None = None, most_levels: int | None = None) -> DataFrame:

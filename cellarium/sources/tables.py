@@ -52,18 +52,22 @@ def sales_folder(spark: SparkSession, paths: list[str], override: dict[str, str]
 
 
 def artifact(found: dict[str, object]) -> str:
-    """A report as JSON: small frames become lists of rows."""
+    """A small report as JSON in one text: frames become lists of rows. `documents.write` takes reports of any size."""
     rows = lambda v: [r.asDict(recursive=True) for r in v.collect()] if isinstance(v, DataFrame) else v
     return json.dumps({k: rows(v) for k, v in found.items()}, ensure_ascii=False, default=str, indent=1)
 
 
-def page(title: str, found: dict[str, object]) -> str:
-    """A report as an HTML page of tables, without scripts."""
+def page(title: str, found: dict[str, object], most: int = 1000) -> str:
+    """A report as an HTML page of tables, without scripts: the first rows of each frame, at most `most`, and how many there are if
+    those aren't all."""
     parts = [f"<h1>{html.escape(title)}</h1>"]
     for name, v in found.items():
         parts.append(f"<h2>{html.escape(name)}</h2>")
         if isinstance(v, DataFrame):
-            rows = v.collect()
+            rows = v.limit(most + 1).collect()
+            if len(rows) > most:
+                rows = rows[:most]
+                parts.append(f"<p>{most} of {v.count()} rows</p>")
             head = "".join(f"<th>{html.escape(c)}</th>" for c in v.columns)
             parts.append(f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>" for r in rows) + "</table>")
         else:

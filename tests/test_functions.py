@@ -57,3 +57,31 @@ def test_references():
 def test_languages():
     assert X.english("=SE(A1>1;SOMA(B1:B2);\"x;y\")") == '=IF(A1>1,SUM(B1:B2),"x;y")' and X.english("={1;2}") == "={1;2}"
     assert X.locale(["=SOMA(A1)", "=MÉDIA(A1)"]) == "pt-BR" and X.locale(["=SUM(A1)", "=IF(1,2,3)"]) == "en-US"
+
+
+def test_rules_of_the_classifier():
+    from cellarium.functions import rules as U
+    from cellarium.functions.library import FUNCTIONS
+
+    assert len(U.RULES) == 33 and len({r.name for r in U.RULES}) == 33
+    assert FUNCTIONS.keys() <= U.places().keys()  # whatever is computed is classified
+    assert U.rule(["IF", "SUM"]) == ("AGGREGATION", "sum") and U.rule(["SE", "SOMA"]) == ("AGGREGATION", "sum")
+    assert U.rule(["_XLFN.XLOOKUP"]) == ("LOOKUP", "index_match") and U.rule(["DESLOC"]) == ("LOOKUP", "reference")
+    assert U.rule(["BDMÍN"]) == ("AGGREGATION", "database") and U.rule(["BDD"]) == ("ARITHMETIC", "financial")
+    assert U.rule(["FOO"]) == ("UNRESOLVED", None) and U.rule(["FOO", "PMT"]) == ("ARITHMETIC", "financial")
+    assert U.rule(["IMAGE"]) == ("UNRESOLVED", None) and U.rule(["IMSUM"]) == ("ARITHMETIC", "engineering")
+
+
+def test_formulas_that_are_no_formulas_are_unresolved(spark):
+    from cellarium.operators import graph as G
+    from cellarium.plans import workbook as W
+
+    texts = ["=A1+", "=1", '="a"&B2', "=A1=B1", "=-A1", "=A1%", "=TRUE", "=(A1)", "=A1:B2", "=NAMED", "=sum(A1)"]
+    rows = [("f", "s", i + 1, 1, None, None, None, None, t) for i, t in enumerate(texts)]
+    cells = spark.createDataFrame(rows, "file string, sheet string, row int, col int, num double, txt string, bool boolean, err string, formula string")
+    found = {r.formula: (r["class"], r.rule, r.matched) for r in W.pattern_classes(G.parsed(cells)).collect()}
+    reference, inline = ("ARITHMETIC", "cell_reference", None), ("ARITHMETIC", "inline_arithmetic", None)
+    assert found == {
+        "=A1+": ("UNRESOLVED", None, None), "=1": reference, '="a"&B2': ("TEXT_TRANSFORMATION", "text_join", None), "=A1=B1": ("THRESHOLD_LOGIC", "comparison_operators", None),
+        "=-A1": inline, "=A1%": inline, "=TRUE": reference, "=(A1)": reference, "=A1:B2": reference, "=NAMED": reference, "=sum(A1)": ("AGGREGATION", "sum", "SUM"),
+    }
