@@ -6,7 +6,7 @@ token, so each join is repaired: the ids around it are turned back into text and
 grows until both of its ends are places where every encoding splits, so the result agrees exactly with the encoding of
 the whole text.
 
-Defined cases: null text counts as empty and has no ids; rows that repeat are encoded each; a null doc_id is kept; an empty
+Defined cases: null text counts as empty and has no ids; rows that repeat are put together once and returned each; a null doc_id is kept; an empty
 table gives an empty result; other columns are ignored. All shared chunks are reused: their digests are broadcast where
 there are SHARED at most, and joined by shuffle where there are more.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import shingles as S
-from cellarium.llm.common import bounded_batches, cut, shared_dir, shuffle_width, table, written
+from cellarium.llm.common import bounded_batches, cut, shared_dir, shuffle_width, small, table, written
 
 #: Bytes that the rolling hash spans, bytes between cuts on average (a power of two) and at least.
 SPAN, MEAN, LEAST = 32, 2048, 256
@@ -41,6 +41,11 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        splits, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or splits.get("type") != "ByteLevel" or splits["add_prefix_space"] or not splits.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level splits without a normaliser and a first space are known")
+        if model["type"] != "BPE" or model["dropout"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: only plain BPE with added tokens that keep what is beside them is known")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         sign = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -168,17 +173,17 @@ def digests(vocab: Vocabulary, ids: np.ndarray) -> tuple[int, str, str]:
 
 def _stretches(vocab: Vocabulary, rows: list[dict], finish: Callable) -> Iterator[tuple]:
     """A text's rows of chunks: its result if none is shared, else ids of each unshared stretch and the shared digests."""
-    doc_id, key = rows[0]["doc_id"], rows[0]["text_key"]
+    head = tuple(rows[0][c] for c in ("doc_id", "text_key", "text_row"))
     if not any(r["shared"] for r in rows):
-        yield doc_id, key, None, None, None, None, *finish(vocab, vocab.encode("".join(r["chunk"] for r in rows)))
+        yield *head, None, None, None, None, *finish(vocab, vocab.encode("".join(r["chunk"] for r in rows)))
         return
     rest = (None,) * len(finish(vocab, np.zeros(0, np.uint32)))
     for known, group in groupby(rows, key=lambda r: bool(r["shared"])):
         if known:
-            yield from ((doc_id, key, r["pos"], r["chunk_a"], r["chunk_b"], None, *rest) for r in group)
+            yield from ((*head, r["pos"], r["chunk_a"], r["chunk_b"], None, *rest) for r in group)
         else:
             group = list(group)
-            yield doc_id, key, group[0]["pos"], None, None, vocab.encode("".join(r["chunk"] for r in group)).astype("<u4").tobytes(), *rest
+            yield *head, group[0]["pos"], None, None, vocab.encode("".join(r["chunk"] for r in group)).astype("<u4").tobytes(), *rest
 
 
 def encode_chunked(docs: DataFrame, path: str, finish: Callable = digests, done: str = DONE) -> DataFrame:
@@ -212,7 +217,7 @@ def encode_chunked(docs: DataFrame, path: str, finish: Callable = digests, done:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=fields)
 
-    schema = f"doc_id long, text_key binary, pos int, chunk_a long, chunk_b long, ids binary, {done}"
+    schema = f"doc_id long, text_key binary, text_row long, pos int, chunk_a long, chunk_b long, ids binary, {done}"
     fields, kinds = [c.split()[0] for c in schema.split(", ")], [ARROW[c.split()[1]] for c in schema.split(", ")]
     stretches = written(marked.mapInArrow(in_place, schema), "stretches")
 
@@ -224,22 +229,26 @@ def encode_chunked(docs: DataFrame, path: str, finish: Callable = digests, done:
 
     distinct = marked.filter("shared").select("chunk_a", "chunk_b", "chunk").distinct()
     known = distinct.mapInArrow(once, "chunk_a long, chunk_b long, known binary")
-    parts = stretches.filter("pos IS NOT NULL").join(known, ["chunk_a", "chunk_b"], "left")
+    # Of rows that repeat, the first one's parts are put together for all, so a group has the parts of one text however often it occurs.
+    again = stretches.filter("pos = 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.min("text_row").alias("first"), F.count(F.lit(1)).alias("times"))
+    again = small(cut(again.filter("times > 1")))
+    parts = stretches.filter("pos IS NOT NULL").join(again, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    parts = parts.filter("first IS NULL OR first = text_row").join(known, ["chunk_a", "chunk_b"], "left")
     part = F.struct("pos", F.coalesce("ids", "known").alias("ids"))
-    texts = parts.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count_if(F.col("pos") == 0).alias("times"))
+    texts = parts.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.coalesce(F.max("times"), F.lit(1)).alias("times"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                ids = {p["pos"]: p["ids"] for p in row["parts"]}  # rows that repeat have equal parts
-                result = (row["doc_id"], *finish(vocab, vocab.joined([np.frombuffer(ids[p], "<u4") for p in sorted(ids)])))
-                out += [result] * row["times"]
+                ids = vocab.joined([np.frombuffer(p["ids"], "<u4") for p in row["parts"]])
+                out.append((row["times"], row["doc_id"], *finish(vocab, ids)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *kinds[6:]], strict=True)], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), *kinds[7:]], strict=True)], names=["times", "doc_id", *names])
 
-    joined = texts.select("doc_id", "parts", "times").mapInArrow(assemble, f"doc_id long, {done}")
+    joined = texts.select("doc_id", "parts", "times").mapInArrow(assemble, f"times long, doc_id long, {done}")
+    joined = joined.withColumn("_time", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", *names)
     return stretches.filter("pos IS NULL").select("doc_id", *names).union(joined)
 
 

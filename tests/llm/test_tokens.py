@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellarium.llm import bpe, mixcoder, packing, token_files
 
@@ -47,12 +48,40 @@ def test_encoding_with_shared_chunks(documents, vocab, monkeypatch, broadcast):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
-def test_encoding_awkward(awkward, none):
+def _encoded(vocab, text):
+    want = ids_of(vocab, text)
+    decoded = vocab.plain.decode(want, skip_special_tokens=False)
+    return len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_encoding_awkward(awkward, none, vocab):
     rows = bpe.encode_chunked(awkward, bpe.default_path()).collect()
-    assert len(rows) == 12 and sum(r.doc_id == 5 for r in rows) == 2
+    want = [(r.doc_id, *_encoded(vocab, r.text)) for r in awkward.select("doc_id", "text").collect()]
+    assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, want)) and len(rows) == 12
     assert bpe.encode_chunked(none, bpe.default_path()).count() == 0
 
 
+def test_encoding_of_a_row_that_repeats_very_often(spark, vocab):
+    """One row is 100,000 rows; it is put together once. The same text under other ids, and without an id, is apart."""
+    text = " ".join(f"word{i % 97} tail{i % 31}" for i in range(60))
+    ids = spark.range(100_000, numPartitions=4).selectExpr("7L AS doc_id").union(spark.sql("SELECT * FROM VALUES (8L), (9L), (NULL), (NULL)"))
+    docs = ids.withColumn("text", F.lit(text)).union(spark.sql("SELECT 7L, 'another text'"))
+    rows = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256): r["count"] for r in bpe.encode_chunked(docs, bpe.default_path()).groupBy("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").count().collect()}
+    found = _encoded(vocab, text)
+    assert rows == {(7, *found): 100_000, (8, *found): 1, (9, *found): 1, (None, *found): 2, (7, *_encoded(vocab, "another text")): 1}
+
+
+def test_other_kinds_of_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="only"):
+            bpe.Vocabulary(str(tmp_path / "v.json"))
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 50257, rng.integers(0, 200)).astype(np.uint32) for _ in range(50)]
