@@ -143,79 +143,108 @@ def check_pieces(rows, want):
     return sequences
 
 
-def test_packing(documents, vocab, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_IDS", 3000)
-    random.seed(7)
+def topical(n, seed):
+    random.seed(seed)
     topics = [["sun", "moon", "star"], ["iron", "zinc", "gold"], ["oak", "elm", "ash"]]
-    texts = [" ".join(random.choice(topics[i % 3]) for _ in range(random.choice((5, 80, 700)))) for i in range(60)] + [None, ""]
+    return [" ".join(random.choice(topics[i % 3]) for _ in range(random.choice((5, 80, 700)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("seeds", [20, 1000])
+def test_packing(documents, vocab, monkeypatch, seeds):
+    """Every id in one piece and no padding, with many tasks, also without any seed."""
+    monkeypatch.setattr(packing, "SHARD_IDS", 3000)
+    monkeypatch.setattr(packing, "SEEDS", seeds)
+    texts = [*topical(60, 7), None, ""]
     rows = packing.pack(documents(*texts), bpe.default_path()).collect()
     sequences = check_pieces(rows, {i: [*ids_of(vocab, t), 0] for i, t in enumerate(texts, 1)})
     sizes = [sum(r.length for r in s) for s in sequences.values()]
     assert all(s & (s - 1) == 0 for s in sizes)  # no padding
+    assert len({s >> 32 for s in sequences}) > 3
+
 
+def bm25(docs):
+    """score(seed, doc) from the formula, term by term; documents are lists of ids."""
+    import math
 
-def test_neighbours_share_rare_words():
-    docs = [np.array(x, np.uint32) for x in ([1, 2, 3], [1, 2, 9], [7, 8], [1, 7, 8])]
-    idf = np.zeros(10)
-    idf[[1, 2, 3, 7, 8, 9]] = 1.0
-    index = packing._Index(docs, idf, 3.0)
-    assert index.neighbours(0, np.array([False, True, True, True]))[0] == 1 and index.neighbours(2, np.array([True, True, False, True]))[0] == 3
+    sets = [set(d) for d in docs]
+    terms = set().union(*sets)
+    idf = {t: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t in terms for n in [sum(t in s for s in sets)]}
+    mean = sum(map(len, docs)) / len(docs)
 
+    def score(seed, doc):
+        bound = packing.K1 * (1 - packing.B + packing.B * len(docs[doc]) / mean)
+        return sum(idf[t] * tf * (packing.K1 + 1) / (tf + bound) for t in sets[seed] & sets[doc] for tf in [docs[doc].count(t)])
 
-def test_ranking_is_bm25(vocab):
-    """Scores and order of all unused documents against the formula, term by term."""
-    import math
+    return score
 
+
+@pytest.mark.parametrize(("index_terms", "dense"), [(2_000_000, 1 / 32), (40, 0.3), (40, 2), (2_000_000, -1)])
+def test_neighbours_from_the_whole_corpus(documents, vocab, monkeypatch, index_terms, dense):
+    """With one shard or many, with postings, a matrix or both: each document is in the list of the seed that brute force
+    says, so each seed's ten best documents are its own or are another seed's by a score that is no smaller."""
+    monkeypatch.setattr(packing, "INDEX_TERMS", index_terms)
+    monkeypatch.setattr(packing, "BLOCK_TERMS", 200)
+    monkeypatch.setattr(packing, "STEP", 3)
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "SEEDS", 5)
     random.seed(12)
-    docs = [np.array(random.choices(range(1, 40), k=random.choice((5, 20, 80))), np.uint32) for _ in range(60)]
-    holding = [sum(t in d for d in docs) for t in range(40)]
-    idf = np.log1p((len(docs) - np.array(holding) + 0.5) / (np.array(holding) + 0.5))
-    mean = sum(map(len, docs)) / len(docs)
-    index, unused = packing._Index(docs, idf, mean), np.array([i % 5 != 0 for i in range(60)])
-    for seed in range(60):
-        want = {}
-        for d in np.flatnonzero(unused).tolist():
-            total = 0.0
-            for t in set(docs[seed].tolist()):
-                tf = int((docs[d] == t).sum())
-                total += math.log(1 + (60 - holding[t] + 0.5) / (holding[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean))
-            want[d] = total
-        got = index.scores(seed, unused)
-        assert all(abs(got[d] - want.get(d, 0.0)) < 1e-9 for d in range(60))
-        assert [round(want[d], 6) for d in index.neighbours(seed, unused).tolist()] == sorted((round(v, 6) for v in want.values() if v), reverse=True)
-
-
-def test_windows_ask_for_all_terms_and_go_down_the_whole_list():
-    idf = np.concatenate(([0.0], np.full(99, 1.0), [0.05]))
-    long = np.arange(1, 60, dtype=np.uint32)
-    mate = np.array([55] * 3, np.uint32)  # shares one term, which is not among the first 12
-    index = packing._Index([long, np.array([70, 71]), mate], idf, 20.0)
-    assert index.neighbours(0, np.array([False, True, True])).tolist() == [2]
+    words = [f"w{i}x" for i in range(60)]
+    texts = [" ".join(random.choice(words[20 * (i % 3) :]) for _ in range(random.choice((3, 30, 90)))) for i in range(118)] + [None, ""]
+    rows = packing.encoded(documents(*texts), bpe.default_path())
+    found = packing.searched(rows, packing.Ranking(*packing.document_frequencies(rows))).collect()
+    number = {r.row: r.doc_id for r in rows.collect()}
+    docs = [[]] + [[*ids_of(vocab, t), 0] for t in texts]
+    score = bm25(docs[1:])
+    seeds = range(5, 121, 5)
+    scaled = {(s, d): score(s - 1, d - 1) / score(s - 1, s - 1) ** 0.5 for s in seeds for d in range(1, 121) if d % 5}
+    assert sorted(number[r.row] for r in found) == [d for d in range(1, 121) if d % 5]
+    of = {number[r.row]: number[r.seed] for r in found}
+    for r in found:
+        d = number[r.row]
+        best = max(scaled[s, d] for s in seeds)
+        assert abs(r.score - best) < 1e-4 * best and scaled[of[d], d] > best * (1 - 1e-5)
+    for s in seeds:
+        for d in sorted((d for d in range(1, 121) if d % 5), key=lambda d: -score(s - 1, d - 1))[:10]:
+            assert of[d] == s or scaled[of[d], d] >= scaled[s, d] * (1 - 1e-5)
+
+
+def test_equal_scores_go_to_the_first_seed(documents, monkeypatch):
+    monkeypatch.setattr(packing, "INDEX_SEEDS", 1)
+    monkeypatch.setattr(packing, "SEEDS", 10)
+    rows = packing.encoded(documents(*[(i, "the same words") for i in range(50, 0, -1)]), bpe.default_path())
+    found = packing.searched(rows, packing.Ranking(*packing.document_frequencies(rows))).collect()
+    first = {r.row for r in rows.collect() if r.doc_id == 10}
+    assert len(found) == 45 and {r.seed for r in found} == first
+
+
+def test_windows_go_down_the_whole_list():
     # 30 neighbours are too long for the room left; then short ones fit, and fill it.
-    seed = np.repeat(np.arange(1, 11, dtype=np.uint32), 100)
-    large = [np.append(np.full(500 + i, 1), 20 + i).astype(np.uint32) for i in range(30)]
-    short = [np.array([10, 60 + i], np.uint32) for i in range(12)]
-    first = next(packing.windows([seed, *large, np.array([99] * 24, np.uint32), *short], idf, 50.0))
-    assert sum(n for _, _, n in first) == 1024 and {d for d, _, _ in first} == {0, *range(32, 44)}
-
-
-def test_equal_documents_with_common_terms_stay_together():
-    idf = np.full(100, 0.4)
-    copy, other = np.array([1, 2, 3, 4] * 64, np.uint32), [np.array([50 + i] * 256, np.uint32) for i in range(8)]
-    docs = [d for pair in zip([copy] * 8, other, strict=True) for d in pair]
-    found = list(packing.windows(docs, idf, 256.0))
-    assert [d for d, _, _ in found[0] + found[1]] == list(range(0, 16, 2)) and sorted(d for w in found for d, _, _ in w) == list(range(16))
-
-
-def test_common_terms_have_signatures(spark, monkeypatch):
-    """Documents whose terms are all common are dealt by what they hold, not by a hash of their ids."""
-    monkeypatch.setattr(packing, "SHARD_IDS", 120)
-    texts = [np.array([1, 2, 3], "<u4"), np.array([4, 5, 6], "<u4")] * 40
-    rows = spark.createDataFrame([(i, 3, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, n long, ids binary")
-    counts = np.array([0] + [40] * 6)
-    found = packing.sharded(rows, np.log1p((80 - counts + 0.5) / (counts + 0.5))).collect()
-    held = {s: {bytes(r.ids) for r in found if r.shard == s} for s in {r.shard for r in found}}
-    assert len(held) == 2 and all(len(x) == 1 for x in held.values())
+    size = np.array([1000] + [501 + i for i in range(30)] + [2] * 12)
+    found = list(packing.windows(size))
+    assert sum(n for _, _, n in found[0]) == 1024 and {d for d, _, _ in found[0]} == {0, *range(31, 43)}
+    # The best one that was passed over begins the next window; where nothing fits, it is cut to fit.
+    assert found[1] == [(1, 0, 501), (2, 0, 502), (3, 0, 21)] and found[2][0] == (3, 21, 482)
+    held = {}
+    for d, start, n in (p for w in found for p in w):
+        assert start == held.get(d, 0)
+        held[d] = start + n
+    assert held == dict(enumerate(size.tolist()))
+    assert all(sum(n for _, _, n in w) == 1024 for w in found[:-1])
+
+
+def test_windows_of_every_shape():
+    random.seed(5)
+    for _ in range(300):
+        size = np.array([random.choice((1, 2, 100, 1023, 1024, 1025, 5000)) for _ in range(random.randrange(0, 12))], np.int64)
+        room = random.choice((1, 7, 1024))
+        found = list(packing.windows(size, room))
+        sums = [sum(n for _, _, n in w) for w in found]
+        assert sum(sums) == size.sum() and (not sums or sums[0] == min(room, size.sum())) and all(s == 1024 for s in sums[1:-1])
+        held = {}
+        for d, start, n in (p for w in found for p in w):
+            assert n > 0 and start == held.get(d, 0)
+            held[d] = start + n
+        assert held == dict(enumerate(size.tolist()))
 
 
 def test_packing_awkward(awkward, none, vocab):
