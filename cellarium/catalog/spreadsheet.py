@@ -35,7 +35,10 @@ def by_formulas(df: DataFrame, key: str, columns: list[str], formulas: dict[str,
             return F.coalesce(v.t, v.e) if v.e is not None else v.t
         return F.round(v.n, 6) if v.n is not None else v.b
 
-    return df.select(key, *(shown(X.compile_formula(f, bind)).alias(name) for name, f in formulas.items()))
+    # Formulas take long for few bytes, so they aren't left to partitions that were made by size.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*dict.fromkeys([key, *columns])).repartition(width, key)
+    return rows.select(key, *(shown(X.compile_formula(f, bind)).alias(name) for name, f in formulas.items()))
 
 
 def _formulas(table: str, key: str, columns: list[str], formulas: dict[str, str]):  # noqa: ANN202
