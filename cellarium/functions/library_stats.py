@@ -300,7 +300,10 @@ def t_cdf(x: float, df: float) -> float:
 def inverse(f, p: float, low: float, high: float) -> float:  # noqa: ANN001
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < p else (low, mid)
+        ends = (mid, high) if f(mid) < p else (low, mid)
+        if ends == (low, high):  # no number lies between them
+            break
+        low, high = ends
     return mid
 
 

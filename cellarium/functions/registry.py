@@ -90,7 +90,15 @@ def python_number(f: Callable[..., float]) -> Callable[..., Column]:
             except (ValueError, OverflowError, ZeroDivisionError, ArithmeticError):
                 return None
 
-        return pd.Series([None if any(x is None or x != x for x in row) else one(*row) for row in zip(*columns, strict=True)], dtype="float64")
+        known: dict[object, float | None] = {}  # of a batch: arguments that recur are computed once
+
+        def value(row: tuple) -> float | None:
+            key = row if 0.0 not in row else repr(row)  # 0 and -0 are apart
+            if key not in known:
+                known[key] = one(*row)
+            return known[key]
+
+        return pd.Series([None if any(x is None or x != x for x in row) else value(row) for row in zip(*columns, strict=True)], dtype="float64")
 
     from pyspark.sql.functions import pandas_udf
 

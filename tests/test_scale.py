@@ -1,8 +1,11 @@
 """What must hold of large tables, shown on small ones."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellarium.catalog.spreadsheet import by_formulas
+from cellarium.functions.library_stats import inverse, t_cdf
+from cellarium.functions.registry import python_number
 
 
 def test_formulas_are_spread_over_tasks(spark):
@@ -10,3 +13,24 @@ def test_formulas_are_spread_over_tasks(spark):
     out = by_formulas(rows, "id", ["id", "x"], {"y": "=B1*2"})
     assert out.select(F.spark_partition_id()).distinct().count() == 4
     assert out.agg(F.sum("y")).first()[0] == 999_000
+
+
+def test_inverse_stops_where_no_number_is_left():
+    calls = []
+
+    def f(x):
+        calls.append(x)
+        return t_cdf(x, 3)
+
+    assert abs(t_cdf(inverse(f, 0.975, -1e6, 1e6), 3) - 0.975) < 1e-12 and len(calls) < 120
+
+
+def test_arguments_that_recur_are_computed_once(spark):
+    called = spark.sparkContext.accumulator(0)
+
+    def f(x: float) -> float:
+        called.add(1)
+        return 1 / x if x else 0.0
+
+    got = spark.range(1000).coalesce(1).select(F.sum(python_number(f)(F.col("id") % 4))).first()[0]
+    assert got == pytest.approx(250 * (1 + 1 / 2 + 1 / 3)) and called.value == 4
