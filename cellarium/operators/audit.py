@@ -70,8 +70,9 @@ def leaks_total(sales: DataFrame, t: Thresholds) -> DataFrame:
 
 def leaks_by_product(sales: DataFrame, t: Thresholds) -> DataFrame:
     """Months of material products far below the same month of other years (leave-one-out)."""
-    series = sales.filter("product IS NOT NULL").groupBy("product", month(F.col("date")).alias("m")).agg(F.sum("value").alias("v"))
-    total = sales.agg(F.sum("value").alias("total"))
+    # Cut, so that sales are read once; the total is that of the groups.
+    every = cut(sales.groupBy("product", month(F.col("date")).alias("m")).agg(F.sum("value").alias("v")))
+    series, total = every.filter("product IS NOT NULL"), every.agg(F.sum("v").alias("total"))
     product, year = Window.partitionBy("product"), Window.partitionBy("product", F.month("m"))
     series = series.crossJoin(F.broadcast(total))  # one row
     series = series.withColumns({"own": F.sum("v").over(product), "months": F.count("*").over(product), "others": F.count("*").over(year) - 1, "same": F.sum("v").over(year)})
@@ -89,12 +90,12 @@ def leaks_by_product(sales: DataFrame, t: Thresholds) -> DataFrame:
 
 def churn(sales: DataFrame, t: Thresholds) -> DataFrame:
     """Customers silent for longer than their own cadence allows."""
-    last_day = sales.agg(F.max(F.to_date("date")).alias("last_day"))
-    people = sales.filter(known(F.col("customer"), NO_CUSTOMER)).groupBy("customer").agg(
-        F.count_distinct(F.to_date("date")).alias("purchase_count"), F.min(F.to_date("date")).alias("first"), F.max(F.to_date("date")).alias("last"),
-        F.sum("value").alias("historical_value"),
-    )
-    people = people.filter((F.col("purchase_count") >= t.churn_purchases) & (F.col("purchase_count") > 1)).crossJoin(F.broadcast(last_day))
+    # Sums by day first, as a customer buys several things a day. Cut, so that sales are read once: the last day of all is that of the
+    # groups, those without a customer's name among them.
+    days = sales.groupBy("customer", F.to_date("date").alias("day")).agg(F.sum("value").alias("value"))
+    every = cut(days.groupBy("customer").agg(F.count("day").alias("purchase_count"), F.min("day").alias("first"), F.max("day").alias("last"), F.sum("value").alias("historical_value")))
+    last_day = every.agg(F.max("last").alias("last_day"))
+    people = every.filter(known(F.col("customer"), NO_CUSTOMER)).filter((F.col("purchase_count") >= t.churn_purchases) & (F.col("purchase_count") > 1)).crossJoin(F.broadcast(last_day))
     cadence = F.datediff("last", "first") / (F.col("purchase_count") - 1)
     silent = month_number(F.col("last_day")) - month_number(F.col("last"))
     people = people.withColumns({"avg_cadence_days": cadence, "months_silent": silent})
@@ -110,16 +111,18 @@ def _growth(before: Column, after: Column) -> Column:
 
 def product_trends(sales: DataFrame, t: Thresholds) -> DataFrame:
     """Growth of each product from the first half of the months to the second, beside the company's in stores open in both."""
-    months = sales.select(month(F.col("date")).alias("m")).distinct()
+    # Cut, so that sales are read once; months, stores and products are sums of these groups.
+    sums = cut(sales.groupBy("product", "store", month(F.col("date")).alias("m")).agg(F.sum("value").alias("value")))
+    months = sums.select("m").distinct()
     numbered = months.withColumns({"i": F.row_number().over(Window.orderBy("m")) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
     middle = F.broadcast(numbered.filter(F.col("i") == F.floor(F.col("n") / 2)).select(F.col("m").alias("middle")))  # one row
-    early = month(F.col("date")) < F.col("middle")
+    early = F.col("m") < F.col("middle")
     halves = [F.sum(F.when(early, F.col("value")).otherwise(0.0)).alias("before"), F.sum(F.when(~early, F.col("value")).otherwise(0.0)).alias("after")]
-    split = sales.crossJoin(middle)
+    split = sums.crossJoin(middle)
     stores = split.groupBy("store").agg(*halves, F.bool_or(early).alias("x"), F.bool_or(~early).alias("y"))
     company = stores.filter("x AND y").agg(F.coalesce(F.sum("before"), F.lit(0.0)).alias("b"), F.coalesce(F.sum("after"), F.lit(0.0)).alias("a"))
     company = company.select(_growth(F.col("b"), F.col("a")).alias("company_growth_pct"))
-    products = split.filter("product IS NOT NULL").groupBy("product").agg(*halves, F.max(month(F.col("date"))).alias("last"))
+    products = split.filter("product IS NOT NULL").groupBy("product").agg(*halves, F.max("m").alias("last"))
     products = products.crossJoin(F.broadcast(company)).withColumn("product_growth_pct", _growth(F.col("before"), F.col("after")))
     apart = (F.col("company_growth_pct") - F.col("product_growth_pct") > t.decoupling_pct) & F.lit(t.decoupling_pct > 0)
     return products.select("product", "company_growth_pct", "product_growth_pct", apart.alias("decoupled"), month_text(F.col("last")).alias("last_sale_month"))
@@ -147,9 +150,10 @@ def rfm_champions(sales: DataFrame, t: Thresholds) -> DataFrame:
     people = rows.groupBy("customer").agg(
         F.min("date").alias("first"), F.max("date").alias("last"), F.count_distinct("date").alias("frequency"), F.sum("value").alias("monetary")
     )
-    people = people.crossJoin(F.broadcast(rows.agg(F.max("date").alias("newest"))))
-    # Cut once: each ranking looks at its rows twice, for the bounds of the ranges and to deal them out.
-    people = cut(people.withColumns({"recency_days": F.datediff("newest", "last"), "_r": -F.datediff("newest", "last")}))
+    # Cut once: the newest day is the groups', and each ranking looks at its rows twice, for the bounds of the ranges and to deal them out.
+    people = cut(people)
+    people = people.crossJoin(F.broadcast(people.agg(F.max("last").alias("newest"))))
+    people = people.withColumns({"recency_days": F.datediff("newest", "last"), "_r": -F.datediff("newest", "last")})
     for name, by in (("fs", "frequency"), ("ms", "monetary"), ("rs", "_r")):
         people = ranked(people, [by, "customer"], name)
     people = people.crossJoin(F.broadcast(people.agg(F.count("*").alias("n"))))
@@ -329,12 +333,14 @@ def service_decomposition(sales: DataFrame, t: Thresholds) -> DataFrame:
         price = lambda c: F.coalesce(F.sum(F.when(use & priced(), F.col(c))), F.lit(0.0))
         return price("value") * (1 - t.variable_cost_pct / 100.0) - price("entry_cost")
 
-    margins = rows.groupBy("store").agg(total(~F.col("service")).alias("product_margin"), total(F.col("service")).alias("service_margin"))
-    people = rows.filter(own).groupBy("store", "customer").agg(
+    # By customer first, known or not, and cut, so that sales are read once.
+    people = cut(rows.groupBy("store", "customer").agg(
+        total(~F.col("service")).alias("product_margin"), total(F.col("service")).alias("service_margin"),
         F.min_by(F.when(F.col("category").isNotNull(), F.col("category")), F.when(F.col("category").isNotNull(), when)).alias("first_category"),
         F.sum(F.when(~F.col("service"), F.col("value")).otherwise(0.0)).alias("bought"),
-    )
-    follow = people.filter(F.col("first_category") == t.service_category).groupBy("store").agg(F.sum("bought").alias("follow"))
+    ))
+    margins = people.groupBy("store").agg(F.sum("product_margin").alias("product_margin"), F.sum("service_margin").alias("service_margin"))
+    follow = people.filter(own & (F.col("first_category") == t.service_category)).groupBy("store").agg(F.sum("bought").alias("follow"))
     out = margins.join(follow, "store", "left").withColumn("total_margin", F.col("product_margin") + F.col("service_margin"))
     return out.select(
         "store", "product_margin", "service_margin", "total_margin", ((F.col("product_margin") < 0) & (F.col("total_margin") > 0)).alias("masks_negative_product_margin"),

@@ -1,11 +1,14 @@
 """What must hold of large tables, shown on small ones."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cellarium.catalog.spreadsheet import by_formulas
 from cellarium.functions.library_stats import inverse, t_cdf
 from cellarium.functions.registry import python_number
+from cellarium.operators import audit as A
+from cellarium.operators.thresholds import Thresholds
 
 
 def test_formulas_are_spread_over_tasks(spark):
@@ -34,3 +37,23 @@ def test_arguments_that_recur_are_computed_once(spark):
 
     got = spark.range(1000).coalesce(1).select(F.sum(python_number(f)(F.col("id") % 4))).first()[0]
     assert got == pytest.approx(250 * (1 + 1 / 2 + 1 / 3)) and called.value == 4
+
+
+@pytest.mark.parametrize("name", ["churn", "leaks_by_product", "product_trends", "rfm_champions", "service_decomposition"])
+def test_sales_are_read_once(spark, name):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays(b.columns, schema=b.schema)
+
+    rows = [(f"p{i % 3}", f"c{i % 5}", float(i), i) for i in range(60)]
+    sales = spark.createDataFrame(rows, "product string, customer string, value double, i long")
+    sales = sales.select(
+        F.expr("timestamp_ntz'2023-01-01' + make_interval(0, 0, 0, cast(i * 7 as int))").alias("date"),
+        "product", "customer", "value", F.lit(1.0).alias("quantity"), F.lit(0.5).alias("entry_cost"), F.lit("A").alias("category"), F.lit("s").alias("store"), F.lit("v").alias("salesperson"),
+        F.lit("x").alias("payment_method"), F.lit("f").alias("source_file"), F.col("i").alias("source_row"),
+    )
+    getattr(A, name)(sales.mapInArrow(counted, sales.schema), Thresholds()).collect()
+    assert read.value == 60
