@@ -1,5 +1,7 @@
 """What must hold of large tables, shown on small ones."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from cellarium.catalog.spreadsheet import by_formulas
 from cellarium.functions.library_stats import inverse, t_cdf
 from cellarium.functions.registry import python_number
 from cellarium.operators import audit as A
+from cellarium.operators import runs as R
 from cellarium.operators.thresholds import Thresholds
 
 
@@ -57,3 +60,21 @@ def test_sales_are_read_once(spark, name):
     )
     getattr(A, name)(sales.mapInArrow(counted, sales.schema), Thresholds()).collect()
     assert read.value == 60
+
+
+def test_stretches_over_tiles(spark, monkeypatch):
+    """Against plain stretches, with tiles of four cells; every group that is ordered has few rows."""
+    monkeypatch.setattr(R, "LONG", 2)
+    draw = random.Random(3)
+    cells = [("f", "s", r, c, draw.choice("AAAAAB")) for c in (1, 2) for r in range(1, 60) if draw.random() < 0.9]
+    frame = spark.createDataFrame(cells, "file string, sheet string, row int, col int, template string")
+    got = {(r.row, r.col): (r.a, r.b) for r in R._stretches(frame, "col", "row").collect()}
+    there = {(r, c): t for _, _, r, c, t in cells}
+    for (r, c), t in there.items():
+        a = b = r
+        while there.get((a - 1, c)) == t:
+            a -= 1
+        while there.get((b + 1, c)) == t:
+            b += 1
+        assert got[r, c] == (a, b)
+    assert len(got) == len(there)
