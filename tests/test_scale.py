@@ -5,13 +5,17 @@ import random
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+from cellarium.catalog.ledgers import filled, sheet
 from cellarium.catalog.spreadsheet import by_formulas
 from cellarium.functions.library_stats import inverse, t_cdf
 from cellarium.functions.registry import python_number
 from cellarium.operators import audit as A
+from cellarium.operators import graph as G
 from cellarium.operators import runs as R
 from cellarium.operators.thresholds import Thresholds
+from cellarium.session import cut
 
 
 def test_formulas_are_spread_over_tasks(spark):
@@ -78,3 +82,20 @@ def test_stretches_over_tiles(spark, monkeypatch):
             b += 1
         assert got[r, c] == (a, b)
     assert len(got) == len(there)
+
+
+def test_cells_are_not_broadcast_by_estimate(spark, monkeypatch):
+    """Cells that explode from few rows look small to estimates; their joins must not go through the driver."""
+    plans, checkpoint = [], DataFrame.checkpoint
+
+    def seen(df, eager=True):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df, eager)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", seen)
+    rows = spark.range(20).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    cells = sheet(rows, {1: F.col("r")}, {}, {2: filled("=A{r}*2")}, F.col("id").cast("string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert cut(R.placed(G.parsed(cells))).count() == 100
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
