@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cellarium.llm import bpe, mixcoder, packing, token_files
@@ -258,3 +259,30 @@ def test_packing_awkward(awkward, none, vocab):
         assert at == len(ids)
     assert sum(r.length for r in rows if r.doc_id == 5) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 5) and any(r.doc_id is None for r in rows)
     assert packing.pack(none, bpe.default_path()).count() == 0
+
+
+def test_white_space_beside_white_space_is_split_as_by_the_library(monkeypatch):
+    """The pattern without lookahead serves where no white space follows white space, and only there."""
+    vocab, looked = bpe.Vocabulary(bpe.default_path()), []
+    fast = vocab.fast
+
+    class Seen:
+        def encode_to_numpy(self, text, **how):
+            looked.append(text)
+            return fast.encode_to_numpy(text, **how)
+
+    monkeypatch.setattr(vocab, "fast", Seen())
+    plain = ["one two\nthree 4,5 don't é ’x’ «y» ÿ", "<|endoftext|>a <|endoftext|>", "", " ", "\n", " a ", "a　b"]
+    double = ["a  b", "a\n\nb", "a \nb", "a\n b", "a　　b", "a 　b", "a  b", "  x", "a\x85\x85b", "é\t\tb", "a  b"]
+    for text in plain + double:
+        assert vocab.encode(text).tolist() == vocab.plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert looked == double
+    assert vocab.encode("x" + " " * 3000 + "y").tolist() == vocab.plain.encode("x" + " " * 3000 + "y", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("most", [200, 50_000, 1 << 20])
+def test_ids_are_packed_by_their_width(most):
+    ids = np.random.default_rng(most).integers(0, most, 500).astype(np.uint32)
+    data = packing._packed(ids, zstandard.ZstdCompressor(level=1))
+    assert packing._unpacked(data, len(ids), zstandard.ZstdDecompressor()) == ids.astype("<u4").tobytes()
+    assert len(zstandard.ZstdDecompressor().decompress(data)) == len(ids) * (4 if most > 1 << 16 else 2)
