@@ -29,6 +29,8 @@ from cellarium.llm.bpe import default_path, vocabulary
 from cellarium.llm.common import bounded_batches, cut, shared_dir, small, table
 
 BLOCK, LANES, END_ID = 4096, 2048, 2
+#: Blocks up to which the last ones of a task are coded together, as a few blocks take nearly as long as LANES.
+LAST = LANES * 5 // 4
 #: Bytes of text in a file, about: no more than the first, nor fewer than the second just to give every core a file.
 FILE_BYTES, LEAST_BYTES = 512_000_000, 16_000_000
 
@@ -65,12 +67,12 @@ class _Cutter:
             self.full.append((np.concatenate(self.ids).astype(np.uint16), self.pieces))
             self.ids, self.pieces, self.held = [], [], 0
 
-    def coded(self) -> pa.RecordBatch:
-        rows = []
-        for (ids, pieces), coded in zip(self.full, mixcoder.encode([b for b, _ in self.full]), strict=True):
+    def coded(self, blocks: int) -> pa.RecordBatch:
+        rows, full = [], self.full[:blocks]
+        for (ids, pieces), coded in zip(full, mixcoder.encode([b for b, _ in full]), strict=True):
             rows.append((self.part, self.block, len(ids), *map(list, zip(*pieces, strict=True)), coded, zlib.crc32(coded)))
             self.block += 1
-        self.full = []
+        self.full = self.full[blocks:]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FILE_ARROW, strict=True)], schema=FILE_ARROW)
 
 
@@ -89,11 +91,11 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cutter.add(doc_id, np.append(vocab.encode(text), np.uint32(end_id)))
-                if len(cutter.full) >= LANES:
-                    yield cutter.coded()
+                while len(cutter.full) >= LAST:
+                    yield cutter.coded(LANES)
         cutter.close()
         if cutter.full:
-            yield cutter.coded()
+            yield cutter.coded(LAST)
 
     # Equal rows may change places, so which of them a range takes doesn't matter.
     order = ["doc_id", "_text", "_row"]
@@ -114,8 +116,23 @@ def _joined_crc(parts: list[dict]) -> int:
 PIECES = "part int, ordinal long, doc_id long, start long, piece int, n long, crc long"
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones put together up to LAST rows."""
+    held = None
     for batch in batches:
+        if held is None:
+            held = batch
+        elif held.num_rows + batch.num_rows <= LAST:
+            held = pa.concat_batches([held, batch])
+        else:
+            yield held
+            held = batch
+    if held is not None:
+        yield held
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _together(batches):
         rows = batch.to_pylist()
         for r in rows:
             if zlib.crc32(r["coded"]) != r["crc"]:

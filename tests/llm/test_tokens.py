@@ -286,3 +286,29 @@ def test_ids_are_packed_by_their_width(most):
     data = packing._packed(ids, zstandard.ZstdCompressor(level=1))
     assert packing._unpacked(data, len(ids), zstandard.ZstdDecompressor()) == ids.astype("<u4").tobytes()
     assert len(zstandard.ZstdDecompressor().decompress(data)) == len(ids) * (4 if most > 1 << 16 else 2)
+
+
+def test_white_space_beside_white_space_is_found():
+    texts = ["", " ", "\n", " a ", "a b\nc", "é ü ÿ", "a　b", "a\xa0b", "　", "\xa0a\xa0"]
+    double = ["  ", "a  b", "a\n b", "a\t\tb ", " \n", "a　　b", "é\xa0 b", "a  ", "\x85\x85"]
+    assert [bpe.doubled(t) for t in texts + double] == [False] * len(texts) + [True] * len(double)
+
+
+def test_an_id_takes_one_digit_at_most():
+    """The least likely stretch still leaves a span that one digit fills up."""
+    assert mixcoder.FULL == 1 << 2 * mixcoder.DIGIT and mixcoder.TOP - mixcoder.WHOLE + mixcoder.DIGIT >= mixcoder.TOP
+    rng = np.random.default_rng(3)
+    blocks = [np.tile([7, 8], 1500).astype(np.uint32), rng.permutation(65536)[:4096].astype(np.uint32), np.concatenate((np.zeros(2500, np.uint32), rng.integers(0, 3, 600).astype(np.uint32)))]
+    coded = mixcoder.encode(blocks)
+    for a, b in zip(blocks, mixcoder.decode(coded, np.array([len(b) for b in blocks])), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_last_blocks_are_coded_together(monkeypatch):
+    import pyarrow as pa
+
+    sizes = [token_files.LANES, 100, 5, token_files.LANES, token_files.LANES, 1]
+    batches = [pa.record_batch({"n": list(range(n))}) for n in sizes]
+    found = list(token_files._together(iter(batches)))
+    assert [b.num_rows for b in found] == [token_files.LANES + 105, token_files.LANES, token_files.LANES + 1]
+    assert sum((b.column(0).to_pylist() for b in found), []) == sum((b.column(0).to_pylist() for b in batches), [])
