@@ -28,6 +28,8 @@ CAPTURED = "1970-01-01T00:00:00Z"
 
 #: HTML elements that start a new line in text.
 LINE_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
+#: The same by what they begin with, which a matcher leaves sooner.
+LINE_TREE = "a(?:ddress|rticle|side)|b(?:lockquote|r)|d(?:d|iv|l|t)|fo(?:oter|rm)|h(?:[1-6r]|eader)|li|main|nav|ol|p(?:re)?|section|t(?:able|d|h|itle|r)|ul"
 #: Characters by the names of HTML 4.
 NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 LONGEST = max(map(len, NAMED))
@@ -52,14 +54,20 @@ def decoded(text: Column) -> Column:
     """text with its entities decoded, once. It is split at ampersands, so only what follows one is looked at."""
     names = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
 
-    def part(p: Column, i: Column) -> Column:
+    def named(p: Column) -> Column:
         name = F.regexp_extract(p, rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z0-9]{{2,{LONGEST}}});", 1)
+        return F.struct(p.alias("part"), name.alias("name"))
+
+    def part(found: Column, i: Column) -> Column:
+        p, name = found["part"], found["name"]
         code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
         sign = F.when(name == "", F.lit(None).cast("string")).when(name.startswith("#"), _character(code)).otherwise(F.try_element_at(names, name))
         rest = F.substring(p, F.length(name) + 2, F.length(p))
         return F.when(i == 0, p).otherwise(F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), p)))
 
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
+    # The name is looked for once a part; inside one lambda it would be at each use.
+    parts = F.transform(F.split(text, "&", -1), named)
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, part), "")).otherwise(text)
 
 
 def header_safe(url: Column) -> Column:
@@ -72,7 +80,7 @@ def header_safe(url: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """The text of a page: no scripts, styles or comments, line elements on lines of their own, entities decoded."""
     out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{LINE_TAGS})\b[^>]*>", "\n")
+    out = F.regexp_replace(out, rf"(?i)</?(?:{LINE_TREE})\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[a-zA-Z/!?][^>]*>", "")
     out = F.regexp_replace(decoded(out), r"[ \t\r\f\x{00A0}]+", " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
@@ -98,20 +106,21 @@ def derivatives(records: DataFrame) -> DataFrame:
     """Two rows, a metadata and a conversion record, for each of records(page_id, record_id, target_uri, date,
     http_headers, payload): page_id, record_type, record_id, refers_to, target_uri, payload_digest, headers, block,
     block_digest."""
-    source = records.withColumns({"payload_digest": digest(F.col("payload")), "text": plain_text(F.col("payload"))})
+    source = records.withColumns({"payload_digest": digest(F.col("payload")), "text": plain_text(F.col("payload"))}).withColumn("text_digest", digest(F.col("text")))
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
     language = F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)
     links = F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*\bhref="), F.lit(0))).cast("string")
     fields = [
         ("sourceDigest", F.col("payload_digest")), ("sourceLength", F.octet_length("payload").cast("string")), ("title", title),
-        ("language", language), ("outlinks", links), ("textDigest", digest(F.col("text"))),
+        ("language", language), ("outlinks", links), ("textDigest", F.col("text_digest")),
         ("httpHeader", F.replace(F.regexp_replace("http_headers", r"\r\n$", ""), F.lit(END), F.lit(f"{END}httpHeader: "))),
     ]
     about = F.concat(*(F.concat(F.lit(f"{n}: "), v, F.lit(END)) for n, v in fields))
-    kinds = [("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", F.col("text"))]
-    made = F.array(*(F.struct(F.lit(k).alias("record_type"), F.lit(c).alias("content_type"), b.alias("block")) for k, c, b in kinds))
+    source = source.withColumn("about", about)
+    kinds = [("metadata", "application/warc-fields", F.col("about"), digest(F.col("about"))), ("conversion", "text/plain; charset=utf-8", F.col("text"), F.col("text_digest"))]
+    made = F.array(*(F.struct(F.lit(k).alias("record_type"), F.lit(c).alias("content_type"), b.alias("block"), d.alias("block_digest")) for k, c, b, d in kinds))
     rows = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", F.inline(made))
-    rows = rows.withColumns({"block_digest": digest(F.col("block")), "record_id": identifier(F.col("record_type"), F.col("refers_to"))})
+    rows = rows.withColumns({"record_id": identifier(F.col("record_type"), F.col("refers_to"))})
     headers = _headers(
         ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", F.col("date")),
         ("WARC-Target-URI", header_safe(F.col("target_uri"))), ("WARC-Refers-To", F.col("refers_to")), ("WARC-Refers-To-Target-URI", header_safe(F.col("target_uri"))),

@@ -254,3 +254,16 @@ def test_entities_and_headers(spark):
     rows = warc.derivatives(warc.responses(pages)).collect()
     assert len(rows) == 4 and all(line.count(": ") >= 1 and not line.startswith("WARC-Type: warcinfo") for r in rows for line in r.headers.split("\r\n")[1:-1] if line)
     assert max(len(r.block) for r in rows if r.record_type == "conversion") == 7 * 20_000 - 1
+
+
+def test_warc_entities_are_looked_for_once_a_part(spark):
+    """Line elements by their tree are those of the list, and a name is extracted at one place of the plan."""
+    import re
+
+    names = [*warc.LINE_TAGS.split("|"), "a", "t", "head", "thead", "f", "o", "h7", "preq", "link", "dx"]
+    assert [bool(re.fullmatch(warc.LINE_TREE, n)) for n in names] == [n in warc.LINE_TAGS.split("|") for n in names]
+    pages = spark.createDataFrame([(1, "u", "<P>a &amp;&#x41;&#65;&nope;&amp<br/>b<hr>c")], "page_id long, url string, html string")
+    found = warc.derivatives(warc.responses(pages))
+    rows = {r.record_type: r for r in found.collect()}
+    assert rows["conversion"].block == "a &AA&nope;&amp\nb\nc" and f"textDigest: {rows['conversion'].block_digest}" in rows["metadata"].block
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("#[xX]") == 1
