@@ -15,6 +15,7 @@ other than those named are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,11 @@ LINE_TREE = "a(?:ddress|rticle|side)|b(?:lockquote|r)|d(?:d|iv|l|t)|fo(?:oter|rm
 #: Characters by the names of HTML 4.
 NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 LONGEST = max(map(len, NAMED))
+#: What counts as a space in text, apart from the space.
+BLANKS = ("\t", "\r", "\f", "\u00a0")
+#: Fixed patterns. Word ends and white space are those of ASCII, as in the SQL; Java's own take in more.
+SPACE = r"[\t\n\f\r ]"
+HIDDEN = rf"(?is)<(?:script(?!\w).*?</script{SPACE}*>|style(?!\w).*?</style{SPACE}*>|!--.*?-->)"
 
 
 def digest(text: Column) -> Column:
@@ -55,7 +61,8 @@ def decoded(text: Column) -> Column:
     names = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
 
     def named(p: Column) -> Column:
-        name = F.regexp_extract(p, rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z0-9]{{2,{LONGEST}}});", 1)
+        # No more than an entity's length, as a matcher would go on through the whole part.
+        name = F.regexp_extract(F.substring(p, 1, LONGEST + 1), rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z0-9]{{2,{LONGEST}}});", 1)
         return F.struct(p.alias("part"), name.alias("name"))
 
     def part(found: Column, i: Column) -> Column:
@@ -65,9 +72,9 @@ def decoded(text: Column) -> Column:
         rest = F.substring(p, F.length(name) + 2, F.length(p))
         return F.when(i == 0, p).otherwise(F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), p)))
 
-    # The name is looked for once a part; inside one lambda it would be at each use.
-    parts = F.transform(F.split(text, "&", -1), named)
-    return F.when(text.contains("&"), F.array_join(F.transform(parts, part), "")).otherwise(text)
+    # The name is looked for once a part; inside one lambda it would be at each use. The text is named once too: a lambda
+    # hides it from Spark's search for common expressions, so a condition on it would make it again.
+    return F.array_join(F.transform(F.transform(F.split(text, "&", -1), named), part), "")
 
 
 def header_safe(url: Column) -> Column:
@@ -77,13 +84,23 @@ def header_safe(url: Column) -> Column:
     return F.when(url.rlike(r"[\x00-\x1F\x7F]"), F.array_join(safe, "")).otherwise(url)
 
 
+def tidied(text: Column) -> Column:
+    """text with one space for a stretch of spaces, one line end for a stretch that has any, and none at its ends."""
+
+    def blanked(lines: Column, sign: str) -> Column:
+        return F.transform(lines, lambda line: F.when(line.contains(sign), F.replace(line, F.lit(sign), F.lit(" "))).otherwise(line))
+
+    # Line by line, as plain searches pass a text much faster than patterns, which only lines that need them see.
+    lines = functools.reduce(blanked, BLANKS, F.split(text, "\n", -1))
+    lines = F.transform(lines, lambda line: F.trim(F.when(line.contains("  "), F.regexp_replace(line, " {2,}", " ")).otherwise(line)))
+    return F.array_join(F.array_remove(lines, ""), "\n")
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: no scripts, styles or comments, line elements on lines of their own, entities decoded."""
-    out = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{LINE_TREE})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[a-zA-Z/!?][^>]*>", "")
-    out = F.regexp_replace(decoded(out), r"[ \t\r\f\x{00A0}]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(html, HIDDEN, " ")
+    out = F.regexp_replace(out, rf"(?i)</?(?:{LINE_TREE})(?!\w)[^>]*>", "\n")
+    return tidied(decoded(F.regexp_replace(out, r"<[a-zA-Z/!?][^>]*>", "")))
 
 
 def responses(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
@@ -107,9 +124,9 @@ def derivatives(records: DataFrame) -> DataFrame:
     http_headers, payload): page_id, record_type, record_id, refers_to, target_uri, payload_digest, headers, block,
     block_digest."""
     source = records.withColumns({"payload_digest": digest(F.col("payload")), "text": plain_text(F.col("payload"))}).withColumn("text_digest", digest(F.col("text")))
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
-    language = F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)
-    links = F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*\bhref="), F.lit(0))).cast("string")
+    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), f"{SPACE}+", " ")
+    language = F.regexp_extract("payload", r"(?i)<html(?!\w)[^>]*(?<!\w)lang=[\"']?([a-zA-Z-]+)", 1)
+    links = F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a(?!\w)[^>]*(?<!\w)href="), F.lit(0))).cast("string")
     fields = [
         ("sourceDigest", F.col("payload_digest")), ("sourceLength", F.octet_length("payload").cast("string")), ("title", title),
         ("language", language), ("outlinks", links), ("textDigest", F.col("text_digest")),

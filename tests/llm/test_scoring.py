@@ -267,3 +267,20 @@ def test_warc_entities_are_looked_for_once_a_part(spark):
     rows = {r.record_type: r for r in found.collect()}
     assert rows["conversion"].block == "a &AA&nope;&amp\nb\nc" and f"textDigest: {rows['conversion'].block_digest}" in rows["metadata"].block
     assert found._jdf.queryExecution().optimizedPlan().toString().count("#[xX]") == 1
+
+
+def test_warc_texts_are_made_once_and_equal_the_sql(spark, tmp_path):
+    """A page's tags are looked for at one place of the plan, and pages with signs that Java takes for word ends, white space or line ends give the SQL's rows."""
+    import duckdb
+
+    htmls = [
+        "<b>a  </b>", "a \u0085", "x<pé>y<h́>z<hŕ>", "<styleª>q</style>r", "<script>s</script\x0b>t</script \n>u", "<title>v\x0b\t w</title>", "<html élang=fr>", "<html x lang='de'>",
+        "<aé href=x><a éhref=y><A HREF=z>", " \t&nbsp;&#10; \r\n\f  ", " a\t\tb  c &#32;&#9; d　 e <br> f  ", "&thetasym;&thetasymx;&#1234567;&#12345678;&&amp", "<x <p> y> < z", "", "\n", None,
+    ]
+    spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").selectExpr("page_id", "'http://e.org/' || page_id AS url", "html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = warc.op9_warc_derivatives(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({warc.SQL})").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) == 2 * len(htmls)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("</script") == 1
