@@ -36,6 +36,8 @@ NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"a
 LONGEST = max(map(len, NAMED))
 #: What counts as a space in text, apart from the space.
 BLANKS = ("\t", "\r", "\f", "\u00a0")
+#: Bytes of a text beyond which its lines are not put in an array, as each would take some 100 bytes more.
+LONG = 1 << 20
 #: Fixed patterns. Word ends and white space are those of ASCII, as in the SQL; Java's own take in more.
 SPACE = r"[\t\n\f\r ]"
 HIDDEN = rf"(?is)<(?:script(?!\w).*?</script{SPACE}*>|style(?!\w).*?</style{SPACE}*>|!--.*?-->)"
@@ -84,18 +86,29 @@ def header_safe(url: Column) -> Column:
     return F.when(url.rlike(r"[\x00-\x1F\x7F]"), F.array_join(safe, "")).otherwise(url)
 
 
-def tidied(text: Column) -> Column:
-    """text with one space for a stretch of spaces, one line end for a stretch that has any, and none at its ends."""
+def _by_lines(text: Column) -> Column:
+    """Plain searches pass a text much faster than patterns, which only lines that need them see."""
 
     def blanked(lines: Column, sign: str) -> Column:
         return F.transform(lines, lambda line: F.when(line.contains(sign), F.replace(line, F.lit(sign), F.lit(" "))).otherwise(line))
 
-    # Line by line, as plain searches pass a text much faster than patterns, which only lines that need them see.
     lines = functools.reduce(blanked, BLANKS, F.split(text, "\n", -1))
     lines = F.transform(lines, lambda line: F.trim(F.when(line.contains("  "), F.regexp_replace(line, " {2,}", " ")).otherwise(line)))
     return F.array_join(F.array_remove(lines, ""), "\n")
 
 
+def _by_patterns(text: Column) -> Column:
+    """The same without a value for each line."""
+    out = F.regexp_replace(text, f"[ {''.join(BLANKS)}]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+\z", "")
+
+
+def tidied(text: Column) -> Column:
+    """text with one space for a stretch of spaces, one line end for a stretch that has any, and none at its ends."""
+    # In a lambda text is made once for all its uses.
+    return F.transform(F.array(text), lambda t: F.when(F.octet_length(t) > LONG, _by_patterns(t)).otherwise(_by_lines(t)))[0]
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: no scripts, styles or comments, line elements on lines of their own, entities decoded."""
     out = F.regexp_replace(html, HIDDEN, " ")

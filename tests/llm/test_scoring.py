@@ -284,3 +284,19 @@ def test_warc_texts_are_made_once_and_equal_the_sql(spark, tmp_path):
         want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({warc.SQL})").fetchall()
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) == 2 * len(htmls)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("</script") == 1
+
+
+def test_warc_texts_beyond_a_megabyte(spark, tmp_path):
+    """Long texts take another way, which gives the SQL's rows too and has no value for each line of a page of twelve million line ends."""
+    import duckdb
+
+    long = "\n \u0085" + "<p>a \t\u00a0<br>\n\r b\f  c\u3000 \n\n" * 130_000 + "\u0085 \u2028"
+    spark.createDataFrame([(1, "u", long), (2, "u", long[: len(long) // 9] + " \n ")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = warc.op9_warc_derivatives(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({warc.SQL})").fetchall()
+    sizes = sorted(len(r.block.encode()) > warc.LONG for r in found.collect() if r.record_type == "conversion")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and sizes == [False, True]
+    ends = spark.range(1).selectExpr("id AS page_id", "'u' AS url", "concat('a', repeat('\\n', 12000000), 'b') AS html")
+    assert [r.block for r in warc.derivatives(warc.responses(ends)).filter("record_type = 'conversion'").collect()] == ["a\nb"]
