@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -209,6 +210,23 @@ def test_neighbours_from_the_whole_corpus(documents, vocab, monkeypatch, index_t
             assert of[d] == s or scaled[of[d], d] >= scaled[s, d] * (1 - 1e-5)
 
 
+def test_index_comes_in_small_pieces(monkeypatch):
+    """No row holds a whole shard, and the pieces hold all of its seeds and terms."""
+    monkeypatch.setattr(packing, "PIECE_TERMS", 40)
+    monkeypatch.setattr(packing, "STEP", 3)
+    lists = [np.arange(i % 7, 12 * (i % 7) + 1, dtype="<u4") for i in range(20)]
+    ones = [np.ones(len(t), "<u4").tobytes() for t in lists]
+    group = pa.table({"doc_id": range(20, 0, -1), "row": range(20), "n": [len(t) for t in lists], "terms": [t.tobytes() for t in lists], "times": ones, "shard": [0] * 20})
+    ranking = packing.Ranking(np.bincount(np.concatenate(lists)), 20, sum(map(len, lists)))
+    seeds, held = [], 0
+    for row in packing._pieces(ranking)(group).to_pylist():
+        piece = packing.Piece(ranking, **row)
+        assert len(piece.seeds) == 1 or len(piece.seeds) <= 3 and np.frombuffer(row["sizes"], "<i4").sum() <= 40
+        seeds += piece.keys.tolist()
+        held += np.count_nonzero(piece.matrix) + len(piece.seed)
+    assert seeds == list(range(1, 21)) and held == sum(map(len, lists))
+
+
 def test_equal_scores_go_to_the_first_seed(documents, monkeypatch):
     monkeypatch.setattr(packing, "INDEX_SEEDS", 1)
     monkeypatch.setattr(packing, "SEEDS", 10)
