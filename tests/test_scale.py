@@ -1,6 +1,8 @@
 """What must hold of large tables, shown on small ones."""
 
 import random
+import time
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -99,3 +101,15 @@ def test_cells_are_not_broadcast_by_estimate(spark, monkeypatch):
     assert cut(R.placed(G.parsed(cells))).count() == 100
     assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_shuffle_files_go_with_what_needed_them(spark):
+    """They don't wait for the driver to collect garbage, which a large disk's worth of them may come before."""
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for at in places for f in Path(at).rglob("shuffle_*.data")}
+    before = files()
+    frame = cut(spark.range(1000).repartition(5, "id"))
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and frame.count() == 1000
