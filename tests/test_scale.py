@@ -17,6 +17,7 @@ from cellarium.operators import audit as A
 from cellarium.operators import graph as G
 from cellarium.operators import runs as R
 from cellarium.operators.thresholds import Thresholds
+from cellarium.plans import recalc
 from cellarium.session import cut
 
 
@@ -113,3 +114,19 @@ def test_shuffle_files_go_with_what_needed_them(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before and frame.count() == 1000
+
+
+def test_parts_make_up_ranges(spark, monkeypatch):
+    """Each range is its rows, each once, in few parts, however many tiles it reaches over."""
+    monkeypatch.setattr(recalc, "TILE", 2)
+    heights = recalc.heights_of(90)
+    ranges = [(t, b) for t in (1, 2, 4, 5, 16, 17, 30) for b in (*range(t, 91, 3), None)]
+    df = spark.createDataFrame(ranges, "t int, b int").select("t", "b", recalc._parts_of(F.col("t"), F.col("b"), heights).alias("parts"))
+    for r in df.collect():
+        rows = []
+        for p in r.parts:
+            tile = p.k >> 2 << 2
+            units = {recalc.FROM: range(p.k, tile + 4), recalc.TO: range(tile, p.k + 1), recalc.WITHIN: range(p.k << p.h, p.k + 1 << p.h)}[p.kind]
+            rows += [u * 4**p.level + i + 1 for u in units for i in range(4**p.level)]
+        assert sorted(rows) == list(range(r.t, (r.b or 1 << heights - 1) + 1))
+        assert len(r.parts) <= recalc._tiles_over(heights) * (1 if r.t == 1 else 2)
